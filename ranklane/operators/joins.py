@@ -1,0 +1,21 @@
+"""Join helpers: broadcast only behind a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# rows of a side that may be broadcast (a few tens of MB of narrow rows)
+DEFAULT_BROADCAST_ROWS = 2_000_000
+
+
+def sized_join(big: DataFrame, small: DataFrame, on, how: str = "inner",
+               max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Join ``big`` with ``small``; ``small`` is broadcast only when its
+    counted row number is within ``max_rows``. Beyond that a shuffle join is
+    planned (AQE splits skewed partitions). The small side is counted with a
+    cheap job; callers cache it when it is reused."""
+    n = small.count()
+    if n <= max_rows:
+        return big.join(F.broadcast(small), on, how)
+    return big.join(small, on, how)
