@@ -83,9 +83,28 @@ def seeded_bucket(c, seed: int, n: int) -> Column:
 
 
 def char_grams(c, n: int = 3) -> Column:
-    """All character n-grams of the whole lower-cased text (padded by a blank)."""
+    """All overlapping character n-grams of the whole lower-cased text,
+    padded by a blank on each side. One linear regex pass (a zero-width
+    lookahead capturing the next ``n`` code points at every position);
+    per-position ``substring`` would rescan the string and be quadratic."""
     s = F.concat(F.lit(" "), F.lower(F.coalesce(_col(c), F.lit(""))), F.lit(" "))
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))),
-        lambda i: F.substring(s, i, n),
-    )
+    return F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
+
+
+def registrable_domain(host, suffixes: list[str]) -> Column:
+    """Longest public-suffix match plus one label (P13). Without a match the
+    last label is the suffix (the implicit ``*`` rule); a host that is itself
+    a suffix is returned whole; NULL host → NULL. The suffix list is a
+    bounded parameter evaluated as a hash-set membership test per row, so no
+    join or shuffle is needed."""
+    h = _col(host)
+    labels = F.split(h, r"\.")
+    n = F.size(labels)
+    depths = F.transform(
+        F.sequence(F.lit(1), n),
+        lambda d: F.when(F.array_join(F.slice(labels, n - d + 1, d), ".").isin(*suffixes), d)
+        .otherwise(F.lit(0)))
+    ps = F.greatest(F.coalesce(F.array_max(depths), F.lit(0)), F.lit(1))
+    take = F.least(ps + 1, n)
+    return F.when(h.isNull(), F.lit(None).cast("string")).otherwise(
+        F.array_join(F.slice(labels, n - take + 1, take), "."))

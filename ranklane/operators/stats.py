@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ranklane.functions.constants import TEXT_LENGTH_LIMIT
 from ranklane.functions.text import is_valid_token, shorten_text, tokenize
+from ranklane.operators.common import one_row
 
 FIELDS = ("title", "text")
 
@@ -38,17 +39,16 @@ def valid_term_freq(field_tokens: DataFrame, stop_words: list[str] | None = None
 def collection_stats(field_tokens: DataFrame, bag: DataFrame | None = None):
     """Collection statistics (A6) over every field as one document.
 
-    Returns ``(term_stats, coll_stats)``: ``term_stats(term, df, cf)`` and a
-    one-row ``coll_stats(dn, cn, vocab, avgdlen)``. ``dn`` counts fields,
+    Returns ``(term_stats, coll)``: ``term_stats(term, df, cf)`` and a dict
+    ``{dn, cn, vocab, avgdlen}`` (one-row aggregates). ``dn`` counts fields,
     empty ones included; ``cn`` counts all tokens.
     """
     bag = term_freq(field_tokens) if bag is None else bag
     term_stats = bag.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    fields = field_tokens.agg(F.count("*").alias("dn"), F.sum(F.size("tokens")).alias("cn"))
-    vocab = term_stats.agg(F.count("*").alias("vocab"))
-    coll = fields.crossJoin(vocab).select(
-        "dn", F.coalesce("cn", F.lit(0)).alias("cn"), "vocab",
-        F.when(F.col("dn") > 0, F.col("cn") / F.col("dn")).otherwise(F.lit(0.0)).alias("avgdlen"))
+    coll = one_row(field_tokens.agg(F.count("*").alias("dn"), F.sum(F.size("tokens")).alias("cn")))
+    coll["cn"] = coll.get("cn") or 0
+    coll["vocab"] = one_row(term_stats.agg(F.count("*").alias("vocab")))["vocab"]
+    coll["avgdlen"] = coll["cn"] / coll["dn"] if coll["dn"] else 0.0
     return term_stats, coll
 
 
@@ -60,15 +60,14 @@ def sld_counts(docs_with_sld: DataFrame) -> DataFrame:
 def standard_scale(df: DataFrame, key: str, value_cols: list[str]) -> DataFrame:
     """Population z-score per column; a zero deviation scales by 1.
     Statistics are one global aggregate joined back as a one-row table."""
-    stats = df.agg(*[F.avg(c).alias(f"__m_{c}") for c in value_cols],
-                   *[F.stddev_pop(c).alias(f"__s_{c}") for c in value_cols])
-    out = df.crossJoin(F.broadcast(stats))
+    st = one_row(df.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(value_cols)],
+                        *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(value_cols)]))
     cols = [F.col(key)]
-    for c in value_cols:
-        s = F.col(f"__s_{c}")
-        cols.append(((F.col(c) - F.col(f"__m_{c}")) /
-                     F.when(s.isNull() | (s == 0), F.lit(1.0)).otherwise(s)).alias(c))
-    return out.select(*cols)
+    for i, c in enumerate(value_cols):
+        s = st[f"s_{i}"]
+        s = 1.0 if (s is None or s == 0) else s
+        cols.append(((F.col(c) - F.lit(st[f"m_{i}"])) / F.lit(s)).alias(c))
+    return df.select(*cols)
 
 
 def zscore_per_query(long_features: DataFrame, keys=("query_id",)) -> DataFrame:

@@ -106,7 +106,7 @@ FROM (SELECT count(*) AS dn, sum(len(tokens)) AS cn FROM field_tokens_web) f,
 """)
 
 # ---- BM25 retrieval (M2) -----------------------------------------------------
-for _c in ("web", "conv"):
+def bm25_views(_c: str, negatives: int = 10) -> None:
     view(f"postings_{_c}", f"""
 SELECT doc_id, dl, term, count(*) AS tf
 FROM (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term
@@ -142,7 +142,100 @@ SELECT query_id, doc_id, score, rank FROM (
   SELECT query_id, doc_id, score,
          row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank
   FROM bm25_scores_{_c}) r
-WHERE rank <= (SELECT max_pos + 10 FROM maxpos_{_c})
+WHERE rank <= (SELECT max_pos + {negatives} FROM maxpos_{_c})
+""")
+
+
+
+for _c in ("web", "conv"):
+    bm25_views(_c)
+
+
+def grams_sql(expr: str, n: int = 3) -> str:
+    s = f"(' ' || lower(coalesce({expr}, '')) || ' ')"
+    return (f"list_transform(range(1, length({s}) - {n - 1} + 1), "
+            f"lambda i: substring({s}, i, {n}))")
+
+
+view("lang_grams", f"""
+SELECT label, gram, count(*) AS c
+FROM (SELECT lang AS label, unnest({grams_sql('text')}) AS gram FROM documents)
+GROUP BY label, gram
+""")
+view("lang_profile", """
+SELECT g.label, g.gram, ln((g.c + 1) / (t.n_label + v.v)) AS logp, ln(1.0 / (t.n_label + v.v)) AS dflt
+FROM lang_grams g
+JOIN (SELECT label, sum(c) AS n_label FROM lang_grams GROUP BY label) t ON g.label = t.label
+CROSS JOIN (SELECT count(DISTINCT gram) AS v FROM lang_grams) v
+""")
+
+
+def lang_detect_sql(src: str, id_col: str, text_col: str, out: str) -> str:
+    return f"""
+SELECT s.{id_col} AS {id_col}, coalesce(b.label, '') AS {out}
+FROM {src} s LEFT JOIN (
+  SELECT id, label FROM (
+    SELECT sc.id, sc.label,
+           row_number() OVER (PARTITION BY sc.id ORDER BY round(sc.score, 6) DESC, sc.label) AS r
+    FROM (SELECT t.id, d.label, t.total * d.dflt + coalesce(p.part, 0.0) AS score
+          FROM (SELECT id, sum(tf) AS total FROM g GROUP BY id) t
+          CROSS JOIN (SELECT label, first(dflt) AS dflt FROM lang_profile GROUP BY label) d
+          LEFT JOIN (SELECT g.id, lp.label, sum(g.tf * (lp.logp - lp.dflt)) AS part
+                     FROM g JOIN lang_profile lp ON g.gram = lp.gram
+                     GROUP BY g.id, lp.label) p
+            ON p.id = t.id AND p.label = d.label) sc) x
+  WHERE r = 1) b ON b.id = s.{id_col}
+""".replace("FROM g", f"""FROM (SELECT id, gram, count(*) AS tf
+      FROM (SELECT {id_col} AS id, unnest({grams_sql(text_col)}) AS gram FROM {src}
+            WHERE length(trim(coalesce({text_col}, ''))) > 0)
+      GROUP BY id, gram) g""".replace("FROM {src}", "FROM " + src)).replace("FROM (SELECT id, gram, count(*) AS tf", "FROM (SELECT id, gram, count(*) AS tf", 1)
+
+
+view("doc_lang_web", f"""
+SELECT t.doc_id, t.title_language, x.text_language
+FROM ({lang_detect_sql('docs_web', 'doc_id', 'title', 'title_language')}) t
+JOIN ({lang_detect_sql('docs_web', 'doc_id', 'text', 'text_language')}) x ON t.doc_id = x.doc_id
+""")
+view("query_lang_web", lang_detect_sql("queries_web", "query_id", "text", "text_language"))
+
+# ---- judgements over the language-filtered web collection ---------------
+view("doc_lang_decl_web", "SELECT doc_id, lang AS title_language, lang AS text_language FROM docs_web")
+view("query_lang_decl_web", "SELECT doc_id AS query_id, lang AS text_language FROM docs_web")
+view("kept_docs_web", """
+SELECT DISTINCT doc_id FROM doc_lang_decl_web WHERE title_language IN ('en') AND text_language IN ('en')
+""")
+view("kept_queries_web", "SELECT DISTINCT query_id FROM query_lang_decl_web WHERE text_language IN ('en')")
+view("qrels_webf", """
+SELECT DISTINCT query_id, doc_id FROM qrels_web
+WHERE query_id IN (SELECT query_id FROM kept_queries_web) AND doc_id IN (SELECT doc_id FROM kept_docs_web)
+""")
+view("queries_webf", """
+SELECT query_id, text FROM (
+  SELECT i.query_id, coalesce(q.text, '') AS text
+  FROM (SELECT query_id FROM qrels_webf INTERSECT SELECT query_id FROM kept_queries_web) i
+  LEFT JOIN queries_web q ON q.query_id = i.query_id)
+WHERE text <> ''
+""")
+view("docs_webf", "SELECT * FROM docs_web WHERE doc_id IN (SELECT doc_id FROM kept_docs_web)")
+bm25_views("webf")
+view("ranked_webf", """
+SELECT * FROM bm25_topk_webf WHERE query_id IN (
+  SELECT query_id FROM (SELECT DISTINCT query_id FROM bm25_topk_webf)
+  ORDER BY md5('42:' || query_id) LIMIT 360000)
+""")
+view("negatives_webf", """
+SELECT query_id, doc_id, rank FROM (
+  SELECT r.query_id, r.doc_id, r.rank,
+         row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank) AS n
+  FROM ranked_webf r
+  WHERE NOT EXISTS (SELECT 1 FROM qrels_webf q WHERE q.query_id = r.query_id AND q.doc_id = r.doc_id))
+WHERE n <= 10
+""")
+view("judgements_webf", """
+SELECT query_id, doc_id, 1 AS relevance FROM qrels_webf
+WHERE query_id IN (SELECT query_id FROM ranked_webf)
+UNION ALL
+SELECT query_id, doc_id, 0 AS relevance FROM negatives_webf
 """)
 
 

@@ -75,7 +75,8 @@ FROM term_stats_web t CROSS JOIN coll_stats_web c
 """, ("term_stats_web", "coll_stats_web"))
 def collection_stats(spark, sf_dir):
     ts, cs = stats.collection_stats(_tokens(spark, sf_dir))
-    return finish(ts.crossJoin(F.broadcast(cs)))
+    return finish(ts.select("term", "df", "cf", *[F.lit(cs[k]).alias(k) for k in
+                                                 ("dn", "cn", "vocab", "avgdlen")]))
 
 
 def web_bm25_topk(spark, sf_dir):
