@@ -33,8 +33,8 @@ def is_valid_sql(t: str) -> str:
 
 
 def r6(expr: str) -> str:
-    """Round like the Spark side (6 decimals, no negative zero)."""
-    return f"(round(CAST({expr} AS DOUBLE), 6) + 0.0)"
+    """Round like the Spark side (6 decimals through DECIMAL, no negative zero)."""
+    return f"CAST(CAST(CAST({expr} AS DOUBLE) AS DECIMAL(38,6)) AS DOUBLE)"
 
 
 VIEWS: dict[str, str] = {}

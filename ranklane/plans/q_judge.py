@@ -94,7 +94,7 @@ SELECT doc_id, CAST(CAST(('0x' || doc_id) AS UBIGINT) AS VARCHAR) AS id_key FROM
 """, ("docs_web", "docs_conv"))
 def hex_id_key(spark, sf_dir):
     d = _docs(spark, sf_dir).unionByName(conv_collection(spark, sf_dir).docs)
-    return finish(d.select("doc_id", tx.hex_key("doc_id").alias("id_key")))
+    return finish(d.select("doc_id", tx.hex_key("doc_id").cast("string").alias("id_key")))
 
 
 @register("sort_by_hex_id", """

@@ -6,6 +6,8 @@ to materialise (``ranklane.sources.formats.materialize``).
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,24 +26,60 @@ def declared_languages(docs: DataFrame):
     return doc_lang, query_lang
 
 
-def judgements_stage(coll: Collection, doc_lang: DataFrame, query_lang: DataFrame,
-                     labels=("en",), negatives: int = NEGATIVE_COUNT,
-                     query_limit: int = 360_000, seed: int = SEED) -> dict[str, DataFrame]:
-    """Entry A: language filter → BM25 top-k → sampled queries → judgements."""
-    labels = list(labels)
-    kept_docs = qr.check_nonempty(qr.filter_docs_by_lang(doc_lang, labels), "documents")
-    kept_queries = qr.check_nonempty(qr.filter_queries_by_lang(query_lang, labels), "queries")
-    fqrels = qr.filter_qrels(coll.qrels, kept_queries, kept_docs)
-    with_pos = qr.queries_with_positives(fqrels, kept_queries)
-    qtext = qr.nonempty_queries(qr.query_lookup(with_pos, coll.queries))
-    docs_f = coll.docs.join(kept_docs, "doc_id", "left_semi")
-    k = qr.max_positive_count(qr.relevant_doc_counts(fqrels)) + negatives
-    ranked = retrieval.bm25_topk(docs_f, qtext, k)
-    sampled = retrieval.rank_sampled_queries(ranked, qtext, query_limit, seed)
-    judgements = qr.attach_qrels(sampled, fqrels, negatives)
-    return {
-        "kept_docs": kept_docs, "kept_queries": kept_queries, "qrels": fqrels,
-        "queries_with_positives": with_pos, "queries": qtext, "docs": docs_f,
-        "ranked": sampled, "negatives": qr.negatives_topn(sampled, fqrels, negatives),
-        "judgements": judgements,
-    }
+class JudgementStage:
+    """Entry A: language filter → BM25 top-k → sampled queries → judgements.
+
+    Outputs are built on first access, so asking for the kept ids does not
+    run the retrieval's scalar jobs (k, index statistics)."""
+
+    def __init__(self, coll: Collection, doc_lang: DataFrame, query_lang: DataFrame,
+                 labels=("en",), negatives: int = NEGATIVE_COUNT,
+                 query_limit: int = 360_000, seed: int = SEED):
+        self.coll, self.labels = coll, list(labels)
+        self.doc_lang, self.query_lang = doc_lang, query_lang
+        self.negatives, self.query_limit, self.seed = negatives, query_limit, seed
+
+    @cached_property
+    def kept_docs(self):
+        return qr.check_nonempty(qr.filter_docs_by_lang(self.doc_lang, self.labels), "documents")
+
+    @cached_property
+    def kept_queries(self):
+        return qr.check_nonempty(qr.filter_queries_by_lang(self.query_lang, self.labels), "queries")
+
+    @cached_property
+    def qrels(self):
+        return qr.filter_qrels(self.coll.qrels, self.kept_queries, self.kept_docs)
+
+    @cached_property
+    def queries_with_positives(self):
+        return qr.queries_with_positives(self.qrels, self.kept_queries)
+
+    @cached_property
+    def queries(self):
+        return qr.nonempty_queries(qr.query_lookup(self.queries_with_positives, self.coll.queries))
+
+    @cached_property
+    def docs(self):
+        return self.coll.docs.join(self.kept_docs, "doc_id", "left_semi")
+
+    @cached_property
+    def ranked(self):
+        k = qr.max_positive_count(qr.relevant_doc_counts(self.qrels)) + self.negatives
+        ranked = retrieval.bm25_topk(self.docs, self.queries, k)
+        return retrieval.rank_sampled_queries(ranked, self.queries, self.query_limit, self.seed)
+
+    @cached_property
+    def negatives_topn(self):
+        return qr.negatives_topn(self.ranked, self.qrels, self.negatives)
+
+    @cached_property
+    def judgements(self):
+        return qr.attach_qrels(self.ranked, self.qrels, self.negatives)
+
+    def __getitem__(self, name):
+        return getattr(self, {"negatives": "negatives_topn"}.get(name, name))
+
+
+def judgements_stage(coll: Collection, doc_lang: DataFrame, query_lang: DataFrame, **kw) -> JudgementStage:
+    return JudgementStage(coll, doc_lang, query_lang, **kw)
