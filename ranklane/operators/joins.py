@@ -14,7 +14,10 @@ def sized_join(big: DataFrame, small: DataFrame, on, how: str = "inner",
     """Join ``big`` with ``small``; ``small`` is broadcast only when its
     counted row number is within ``max_rows``. Beyond that a shuffle join is
     planned (AQE splits skewed partitions). The small side is counted with a
-    cheap job; callers cache it when it is reused."""
+    job and kept persisted, so the join reads the counted rows instead of
+    recomputing them."""
+    from pyspark import StorageLevel
+    small = small.persist(StorageLevel.MEMORY_AND_DISK)
     n = small.count()
     if n <= max_rows:
         return big.join(F.broadcast(small), on, how)

@@ -11,7 +11,6 @@ from ranklane.plans.q_judge import _stage
 from ranklane.plans.registry import finish, register
 from ranklane.sources.tables import web_collection
 
-_CACHE: dict = {}
 
 
 def feature_stage(spark, sf_dir):
@@ -22,6 +21,20 @@ def feature_stage(spark, sf_dir):
     return fx.features_stage(judg, c.docs, c.queries, DEFAULT_PUBLIC_SUFFIXES)
 
 
+def feature_table(spark, sf_dir):
+    """The assembled feature rows, materialised once per input folder in the
+    shared checkpoint folder (a finished copy is reused: stage skip, S20)."""
+    import hashlib
+
+    from ranklane.session import checkpoint_dir
+    from ranklane.sources.formats import materialize
+    from ranklane.sources.formats import has_success
+    path = f"{checkpoint_dir(spark)}/features-{hashlib.md5(sf_dir.encode()).hexdigest()[:12]}"
+    if has_success(spark, path):
+        return spark.read.parquet(path)
+    return materialize(feature_stage(spark, sf_dir)["features"], path)
+
+
 @register("q_features", "SELECT * FROM q_feat", ("q_feat",))
 def q_features(spark, sf_dir):
     return finish(feature_stage(spark, sf_dir)["q_features"])

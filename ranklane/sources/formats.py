@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 # ---- materialised stages (S20) --------------------------------------------------
 
-def _has_success(spark: SparkSession, path: str) -> bool:
+def has_success(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
@@ -27,7 +27,7 @@ def materialize(df: DataFrame, path: str, override: bool = False) -> DataFrame:
     then read it back: a stage computed once, surviving lost executors.
     ``override=True`` recomputes and replaces it."""
     spark = df.sparkSession
-    if override or not _has_success(spark, path):
+    if override or not has_success(spark, path):
         df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -145,11 +145,11 @@ def parse_letor(lines: DataFrame, col: str = "value") -> DataFrame:
 # ---- partitioned dataset tree (S14, S15) ------------------------------------------------
 
 def write_partitioned(df: DataFrame, path: str, keys: list[str], sort: list[str] | None = None) -> None:
-    """One folder per key combination; rows of a folder are clustered in one
-    task (repartition on the keys) and sorted inside it (O2)."""
-    out = df.repartition(*keys)
-    if sort:
-        out = out.sortWithinPartitions(*keys, *sort)
+    """One folder per key combination, files sorted by ``sort`` inside (O2).
+    Rows are range-partitioned on (keys, sort): a folder holding a third of
+    all rows is written by many tasks (several ordered files), never one."""
+    order = [*keys, *(sort or [])]
+    out = df.repartitionByRange(*order).sortWithinPartitions(*order)
     out.write.mode("overwrite").partitionBy(*keys).parquet(path)
 
 
