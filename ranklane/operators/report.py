@@ -38,8 +38,8 @@ def markdown_lines(per_query: DataFrame, metrics=METRIC_ORDER) -> DataFrame:
     metrics at 4 decimals; datasets are 'average' and each domain."""
     r = report_grouping_sets(per_query)
     p = r.groupBy("dataset", "model").pivot("metric", list(metrics)).agg(F.first("value"))
-    # round half-up first, so the text does not depend on the formatter's tie rule
-    cells = [F.format_string("%.4f", F.round(F.col(f"`{m}`"), 4)) for m in metrics]
+    # 4 decimals by exact decimal rounding (half-up), independent of float formatting
+    cells = [F.col(f"`{m}`").cast("decimal(38,6)").cast("decimal(38,4)").cast("string") for m in metrics]
     line = F.concat(F.lit("| "), F.col("model"), F.lit(" | "), F.concat_ws(" | ", *cells), F.lit(" |"))
     return p.select("dataset", "model", line.alias("line"))
 

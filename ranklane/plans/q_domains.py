@@ -436,8 +436,9 @@ def meta_training_frame(spark, sf_dir):
 
 
 @register("markdown_report", """
-SELECT dataset, model, '| ' || model || ' | ' || printf('%.4f', round(n, 4)) || ' | ' || printf('%.4f', round(e, 4))
-       || ' | ' || printf('%.4f', round(a, 4)) || ' |' AS line
+SELECT dataset, model, '| ' || model || ' | ' || CAST(CAST(CAST(n AS DECIMAL(38,6)) AS DECIMAL(38,4)) AS VARCHAR)
+       || ' | ' || CAST(CAST(CAST(e AS DECIMAL(38,6)) AS DECIMAL(38,4)) AS VARCHAR)
+       || ' | ' || CAST(CAST(CAST(a AS DECIMAL(38,6)) AS DECIMAL(38,4)) AS VARCHAR) || ' |' AS line
 FROM (SELECT dataset, model, max(CASE WHEN metric = 'nDCG@10' THEN value END) AS n,
              max(CASE WHEN metric = 'ERR@10' THEN value END) AS e,
              max(CASE WHEN metric = 'AP' THEN value END) AS a

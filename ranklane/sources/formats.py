@@ -71,12 +71,18 @@ def save_store(df: DataFrame, path: str, key: str, order: Column | None = None)
 
 # ---- delimited text (S8, S9, S10) -----------------------------------------------------
 
+_TSV = {"sep": "\t", "header": "true", "ignoreLeadingWhiteSpace": "false",
+        "ignoreTrailingWhiteSpace": "false", "escape": "\"", "multiLine": "false"}
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("sep", "\t").option("header", "true").csv(path)
+    df.write.mode("overwrite").options(**_TSV).csv(path)
 
 
 def read_tsv(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).option("sep", "\t").option("header", "true").csv(path)
+    """Header TSV with an explicit schema; whitespace is kept as written and
+    an empty field reads as an empty string (no text is taken for NULL)."""
+    return spark.read.schema(schema).options(**_TSV).option("nullValue", "\u0000").csv(path)
 
 
 def write_vector_csv(df: DataFrame, path: str, id_cols: list[str], vec: str = "features", n: int | None = None) -> None:
