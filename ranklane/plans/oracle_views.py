@@ -170,7 +170,7 @@ CROSS JOIN (SELECT count(DISTINCT gram) AS v FROM lang_grams) v
 """)
 
 
-def lang_detect_sql(src: str, id_col: str, text_col: str, out: str) -> str:
+def lang_detect_sql(src: str, id_col: str, text_col: str, out: str, profile: str = "lang_profile") -> str:
     return f"""
 SELECT s.{id_col} AS {id_col}, coalesce(b.label, '') AS {out}
 FROM {src} s LEFT JOIN (
@@ -179,9 +179,9 @@ FROM {src} s LEFT JOIN (
            row_number() OVER (PARTITION BY sc.id ORDER BY round(sc.score, 6) DESC, sc.label) AS r
     FROM (SELECT t.id, d.label, t.total * d.dflt + coalesce(p.part, 0.0) AS score
           FROM (SELECT id, sum(tf) AS total FROM g GROUP BY id) t
-          CROSS JOIN (SELECT label, first(dflt) AS dflt FROM lang_profile GROUP BY label) d
+          CROSS JOIN (SELECT label, first(dflt) AS dflt FROM {profile} GROUP BY label) d
           LEFT JOIN (SELECT g.id, lp.label, sum(g.tf * (lp.logp - lp.dflt)) AS part
-                     FROM g JOIN lang_profile lp ON g.gram = lp.gram
+                     FROM g JOIN {profile} lp ON g.gram = lp.gram
                      GROUP BY g.id, lp.label) p
             ON p.id = t.id AND p.label = d.label) sc) x
   WHERE r = 1) b ON b.id = s.{id_col}
