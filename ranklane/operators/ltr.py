@@ -87,6 +87,31 @@ def ideal_dcg(frame: DataFrame, keys: list[str], k: int = CUTOFF) -> DataFrame:
         F.sum((F.pow(F.lit(2.0), F.col("relevance")) - 1) / F.log2(F.col("__rk") + 1)).alias("idcg"))
 
 
+def query_lists(zwide: DataFrame, keys: list[str], n_features: int, k: int = CUTOFF) -> DataFrame:
+    """One row per judged list: (…keys, query_id, docs ARRAY<STRUCT<doc_id, rel, z>>, idcg).
+    A list holds the judged documents of one query — bounded by construction
+    (max positives + negatives), so packing it never gathers an unbounded group."""
+    from ranklane.operators.domains import fcols
+    cols = fcols(zwide, "s")[:n_features]
+    doc = F.struct(F.col("doc_id"), F.col("relevance").cast("double").alias("rel"),
+                   F.array(*[F.col(c).cast("double") for c in cols]).alias("z"))
+    lists = zwide.groupBy(*keys, "query_id").agg(F.collect_list(doc).alias("docs"))
+    gains = F.transform(F.slice(F.sort_array(F.transform("docs", lambda d: d["rel"]), asc=False), 1, k),
+                        lambda r, i: (F.pow(F.lit(2.0), r) - 1) / F.log2(i + 2))
+    return lists.withColumn("idcg", F.aggregate(gains, F.lit(0.0), lambda a, x: a + x))
+
+
+def list_ndcg(docs, w, idcg, k: int = CUTOFF):
+    """NDCG@k of one packed list under weights ``w`` — row-local array work."""
+    scored = F.transform(docs, lambda d: F.struct(
+        (-F.round(F.aggregate(F.zip_with(w, d["z"], lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y), 9))
+        .alias("neg"), d["doc_id"].alias("doc_id"), d["rel"].alias("rel")))
+    top = F.slice(F.array_sort(scored), 1, k)
+    dcg = F.aggregate(F.transform(top, lambda d, i: (F.pow(F.lit(2.0), d["rel"]) - 1) / F.log2(i + 2)),
+                      F.lit(0.0), lambda a, x: a + x)
+    return F.when(idcg > 0, dcg / idcg).otherwise(F.lit(0.0))
+
+
 def coordinate_ascent(zwide: DataFrame, keys: list[str], n_features: int, restarts: int = 16,
                       sweeps: int = 3, reg: float = 0.1, k: int = CUTOFF, seed: int = SEED,
                       tolerance: float = 0.001, steps: int = 6) -> DataFrame:
@@ -95,15 +120,15 @@ def coordinate_ascent(zwide: DataFrame, keys: list[str], n_features: int, restar
     ``zwide``: (…keys, query_id, doc_id, relevance, s0…) already z-scored.
     Candidates per coordinate: w_f + δ for δ ∈ ±0.001·4^j (j < ``steps``)
     and w_f = 0; objective = NDCG@k − reg·‖w − w_start‖₂ on L1-normalised
-    weights. Returns (…keys, restart, idx, w, objective)."""
-    from ranklane.operators.domains import fcols
+    weights. Each (sweep, coordinate) is one job: packed lists ⋈ the
+    broadcast candidate table (models × candidates, bounded) → row-local
+    NDCG → mean per (model, candidate) with map-side partial aggregation.
+    Returns (…keys, restart, idx, w, objective)."""
     spark = zwide.sparkSession
-    cols = fcols(zwide, "s")[:n_features]
-    base = zwide.select(*keys, "query_id", "doc_id", "relevance",
-                        F.array(*[F.col(c).cast("double") for c in cols]).alias("z"))
-    base = base.join(ideal_dcg(base, keys, k), [*keys, "query_id"])
-    base = base.checkpoint(eager=True)
-    key_rows = [tuple(r) for r in base.select(*keys).distinct().collect()]  # bounded: domains
+    key_expr = F.concat_ws("|", *[F.col(c).cast("string") for c in keys])
+    lists = query_lists(zwide, keys, n_features, k).withColumn("mk", key_expr)
+    lists = lists.select("mk", *keys, "query_id", "docs", "idcg").checkpoint(eager=True)
+    key_rows = [tuple(r) for r in lists.select(*keys).distinct().collect()]  # bounded: model keys
     models = [(kr, r) for kr in key_rows for r in range(restarts)]
     start = [1.0 / n_features] * n_features
     weights = {m: list(start) for m in models}
@@ -112,46 +137,43 @@ def coordinate_ascent(zwide: DataFrame, keys: list[str], n_features: int, restar
     orders = {m: rng.sample(range(n_features), n_features) if m[1] > 0 else list(range(n_features))
               for m in models}
     deltas = [s * 0.001 * (4 ** j) for j in range(steps) for s in (1, -1)]
+    name = {m: "|".join(str(v) for v in m[0]) for m in models}
 
-    key_expr = F.concat_ws("|", *[F.col(c).cast("string") for c in keys])
-    for sweep in range(sweeps):
+    for _sweep in range(sweeps):
         improved = False
         for pos in range(n_features):
-            # per model: the coordinate to move and its candidate weights
-            cand_rows = []
-            for (kr, r) in models:
-                f = orders[(kr, r)][pos]
-                w = weights[(kr, r)]
-                cands = [w[f] + d for d in deltas] + [0.0, w[f]]
-                for ci, cv in enumerate(cands):
+            cand_rows, cand_w = [], {}
+            for m in models:
+                f = orders[m][pos]
+                w = weights[m]
+                for ci, cv in enumerate([w[f] + d for d in deltas] + [0.0, w[f]]):
                     nw = list(w)
                     nw[f] = cv
                     l1 = sum(abs(x) for x in nw) or 1.0
                     nw = [x / l1 for x in nw]
                     pen = reg * math.sqrt(sum((a - b) ** 2 for a, b in zip(nw, start)))
-                    cand_rows.append(("|".join(str(v) for v in kr), r, ci, nw, pen))
+                    cand_rows.append((name[m], m[1], ci, nw, pen))
+                    cand_w[(name[m], m[1], ci)] = nw
             cand_df = spark.createDataFrame(
                 cand_rows, "mk string, restart int, cand int, w array<double>, pen double")
-            frame = (base.withColumn("mk", key_expr)
-                     .join(F.broadcast(cand_df), "mk")
-                     .withColumn("score", F.aggregate(F.zip_with("w", "z", lambda a, b: a * b),
-                                                      F.lit(0.0), lambda acc, x: acc + x)))
-            nd = _ndcg_by_key(frame, ["mk", "restart", "cand", "pen"], "score", k)
-            res = nd.withColumn("obj", F.col("ndcg") - F.col("pen")).groupBy("mk", "restart").agg(
-                F.max_by("cand", F.struct(F.round("obj", 12), -F.col("cand"))).alias("cand"),
-                F.max("obj").alias("obj")).collect()
-            by = {(row["mk"], row["restart"]): (row["cand"], row["obj"]) for row in res}
-            lookup = {("|".join(str(v) for v in kr), r): (kr, r) for (kr, r) in models}
-            new_w = {}
-            for c in cand_rows:
-                mk = (c[0], c[1])
-                if mk in by and by[mk][0] == c[2]:
-                    new_w[lookup[mk]] = (c[3], by[mk][1])
-            for m, (nw, obj) in new_w.items():
+            frame = lists.join(F.broadcast(cand_df), "mk")
+            res = (frame.groupBy("mk", "restart", "cand", "pen")
+                   .agg(F.avg(list_ndcg(F.col("docs"), F.col("w"), F.col("idcg"), k)).alias("ndcg"))
+                   .withColumn("obj", F.col("ndcg") - F.col("pen"))
+                   .groupBy("mk", "restart")
+                   .agg(F.max_by("cand", F.struct(F.round("obj", 12), -F.col("cand"))).alias("cand"),
+                        F.max("obj").alias("obj"))
+                   .collect())
+            by_name = {(r["mk"], r["restart"]): (r["cand"], r["obj"]) for r in res}
+            for m in models:
+                hit = by_name.get((name[m], m[1]))
+                if hit is None:
+                    continue
+                cand, obj = hit
                 if obj > best_obj[m] + 1e-12:
                     if obj > best_obj[m] + tolerance:
                         improved = True
-                    weights[m], best_obj[m] = nw, obj
+                    weights[m], best_obj[m] = cand_w[(name[m], m[1], cand)], obj
         if not improved:
             break
     rows = [(*kr, r, i, float(wv), float(best_obj[(kr, r)]))

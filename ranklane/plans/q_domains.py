@@ -469,7 +469,7 @@ def train_global_ranker(spark, sf_dir):
     tr = ltr.zscore_wide(d.where(F.col("step") == "train").withColumn("model", F.lit("global")), ["model"])
     w = ltr.coordinate_ascent(tr, ["model"], len(LTR), restarts=16, sweeps=1)
     va = ltr.zscore_wide(d.where(F.col("step") == "valid").withColumn("model", F.lit("global")), ["model"])
-    long = ltr.to_long(va, ["model"])
+    long = ltr.to_long(va, [])
     s = ltr.score_models(long.withColumn("domain_id", F.lit(None).cast("int")),
                          w.select(F.concat(F.lit("r"), F.col("restart").cast("string")).alias("model"),
                                   F.lit(None).cast("int").alias("domain_id"), "idx", "w"), keys=())
