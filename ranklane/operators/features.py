@@ -14,6 +14,7 @@ every judged document.
 from __future__ import annotations
 
 import math
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -303,34 +304,95 @@ def uniform_topics(docs: DataFrame, n_topics: int = N_TOPICS) -> DataFrame:
     return docs.select("doc_id", F.array_repeat(F.lit(1.0 / n_topics), n_topics).alias("probability"))
 
 
-def features_stage(judgements: DataFrame, docs: DataFrame, queries: DataFrame,
-                   suffixes: list[str], topic_proba: DataFrame | None = None,
-                   n_topics: int = N_TOPICS, stop_words=None) -> dict[str, DataFrame]:
+class FeatureStage:
     """Entry B: judged ids → details → statistics → Q, D, Q-D → assembly.
 
-    The judgements enter as a checkpoint in the shared checkpoint folder
-    (the stage boundary: computed once, lineage cut, survives lost
-    executors); the tokenised details are persisted because six aggregates
-    read them."""
-    from pyspark import StorageLevel
-    judgements = judgements.checkpoint(eager=True)
-    jd = judged_docs(judgements, docs)
-    details = doc_details(jd, suffixes).persist(StorageLevel.MEMORY_AND_DISK)
-    ftoks = detail_field_tokens(details)
-    term_stats, coll = st.collection_stats(ftoks)
-    slds = st.sld_counts(details)
-    qdet = query_details(judged_queries(judgements, queries))
-    qterms = query_valid_terms(qdet, stop_words)
-    vpost = st.valid_term_freq(ftoks, stop_words)
-    fstats = field_stats(ftoks, stop_words)
-    qf = q_features(qdet, term_stats, coll, stop_words)
-    dfb = d_features(details, slds, stop_words)
-    tp = uniform_topics(jd, n_topics) if topic_proba is None else topic_proba
-    dfeat = with_topics(dfb, tp, n_topics)
-    pairs = judgements.select("query_id", "doc_id")
-    qdf = qd_features(pairs, qterms, vpost, fstats, term_stats, coll)
-    assembled = assemble_features(judgements, qf, dfeat, qdf, n_topics)
-    return {"details": details, "field_tokens": ftoks, "term_stats": term_stats, "coll": coll,
-            "sld_counts": slds, "query_details": qdet, "query_terms": qterms,
-            "postings": vpost, "field_stats": fstats, "q_features": qf, "d_features": dfeat,
-            "d_features_base": dfb, "qd_features": qdf, "features": assembled}
+    Outputs are built on first access (a key asking for Q features does not
+    build the Q-D job). The judgements enter as a checkpoint in the shared
+    checkpoint folder (the stage boundary: computed once, lineage cut,
+    survives lost executors); the tokenised details are persisted because
+    several aggregates read them."""
+
+    def __init__(self, judgements, docs, queries, suffixes, topic_proba=None, n_topics=N_TOPICS,
+                 stop_words=None):
+        self._judgements, self._docs, self._queries = judgements, docs, queries
+        self.suffixes, self._topic_proba, self.n_topics, self.stop_words = suffixes, topic_proba, n_topics, stop_words
+
+    @cached_property
+    def judgements(self):
+        return self._judgements.checkpoint(eager=True)
+
+    @cached_property
+    def details(self):
+        from pyspark import StorageLevel
+        return doc_details(judged_docs(self.judgements, self._docs), self.suffixes).persist(
+            StorageLevel.MEMORY_AND_DISK)
+
+    @cached_property
+    def field_tokens(self):
+        return detail_field_tokens(self.details)
+
+    @cached_property
+    def _stats(self):
+        return st.collection_stats(self.field_tokens)
+
+    @property
+    def term_stats(self):
+        return self._stats[0]
+
+    @property
+    def coll(self):
+        return self._stats[1]
+
+    @cached_property
+    def sld_counts(self):
+        return st.sld_counts(self.details)
+
+    @cached_property
+    def query_details(self):
+        return query_details(judged_queries(self.judgements, self._queries))
+
+    @cached_property
+    def query_terms(self):
+        return query_valid_terms(self.query_details, self.stop_words)
+
+    @cached_property
+    def postings(self):
+        return st.valid_term_freq(self.field_tokens, self.stop_words)
+
+    @cached_property
+    def field_stats(self):
+        return field_stats(self.field_tokens, self.stop_words)
+
+    @cached_property
+    def q_features(self):
+        return q_features(self.query_details, self.term_stats, self.coll, self.stop_words)
+
+    @cached_property
+    def d_features_base(self):
+        return d_features(self.details, self.sld_counts, self.stop_words)
+
+    @cached_property
+    def d_features(self):
+        tp = (uniform_topics(judged_docs(self.judgements, self._docs), self.n_topics)
+              if self._topic_proba is None else self._topic_proba)
+        return with_topics(self.d_features_base, tp, self.n_topics)
+
+    @cached_property
+    def qd_features(self):
+        pairs = self.judgements.select("query_id", "doc_id")
+        return qd_features(pairs, self.query_terms, self.postings, self.field_stats, self.term_stats, self.coll)
+
+    @cached_property
+    def features(self):
+        return assemble_features(self.judgements, self.q_features, self.d_features, self.qd_features,
+                                 self.n_topics)
+
+    def __getitem__(self, name):
+        return getattr(self, name)
+
+
+def features_stage(judgements: DataFrame, docs: DataFrame, queries: DataFrame,
+                   suffixes: list[str], topic_proba: DataFrame | None = None,
+                   n_topics: int = N_TOPICS, stop_words=None) -> FeatureStage:
+    return FeatureStage(judgements, docs, queries, suffixes, topic_proba, n_topics, stop_words)

@@ -138,17 +138,36 @@ class Collection:
         self.qrels = qrels
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-repartition on ``key`` only when the scan yields fewer partitions
+    than the cluster runs tasks (a few large files / row groups): the per-row
+    text work then uses every core. A large input already has more splits
+    than cores and is left as scanned — no extra shuffle of the corpus."""
+    spark = df.sparkSession
+    par = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par, key)
+    return df
+
+
+def _keep(df: DataFrame) -> DataFrame:
+    """Parsed collections are read by many jobs (filters, index, features):
+    persisted once; Spark's cache manager matches the same plan on later calls."""
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def web_collection(spark: SparkSession, sf_dir: str) -> Collection:
-    docs = web_docs(read_table(spark, sf_dir, "pages"))
+    docs = _keep(web_docs(spread(read_table(spark, sf_dir, "pages"), "page_id")))
     return Collection(docs, web_queries(docs), web_qrels(docs))
 
 
 def conv_collection(spark: SparkSession, sf_dir: str) -> Collection:
-    conv = read_table(spark, sf_dir, "conversations")
-    return Collection(conv_docs(conv), conv_queries(conv), conv_qrels(conv))
+    conv = spread(read_table(spark, sf_dir, "conversations"), "conv_id")
+    return Collection(_keep(conv_docs(conv)), conv_queries(conv), conv_qrels(conv))
 
 
 def lang_training_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled text for the language profile: documents(doc_id, text, lang)."""
-    return read_table(spark, sf_dir, "documents").select(
+    return spread(read_table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("lang").alias("label"))
