@@ -20,8 +20,10 @@ from ranklane.operators.joins import sized_join
 
 def train_profile(labelled: DataFrame, n: int = 3) -> DataFrame:
     """(label, gram, logp, default) from ``labelled(text, label)``."""
+    from pyspark import StorageLevel
+    # read by the vocabulary count and by the profile itself
     grams = (labelled.select("label", F.explode(char_grams("text", n)).alias("gram"))
-             .groupBy("label", "gram").agg(F.count("*").alias("c")))
+             .groupBy("label", "gram").agg(F.count("*").alias("c"))).persist(StorageLevel.MEMORY_AND_DISK)
     totals = grams.groupBy("label").agg(F.sum("c").alias("n_label"))
     v = one_row(grams.agg(F.count_distinct("gram").alias("v")))["v"]
     # one row per label: bounded by the class count
