@@ -314,13 +314,15 @@ class FeatureStage:
     several aggregates read them."""
 
     def __init__(self, judgements, docs, queries, suffixes, topic_proba=None, n_topics=N_TOPICS,
-                 stop_words=None):
+                 stop_words=None, checkpoint=True):
         self._judgements, self._docs, self._queries = judgements, docs, queries
+        self._checkpoint = checkpoint
         self.suffixes, self._topic_proba, self.n_topics, self.stop_words = suffixes, topic_proba, n_topics, stop_words
 
     @cached_property
     def judgements(self):
-        return self._judgements.checkpoint(eager=True)
+        # a stage boundary; an input read from a written table needs no checkpoint
+        return self._judgements.checkpoint(eager=True) if self._checkpoint else self._judgements
 
     @cached_property
     def details(self):
@@ -394,5 +396,5 @@ class FeatureStage:
 
 def features_stage(judgements: DataFrame, docs: DataFrame, queries: DataFrame,
                    suffixes: list[str], topic_proba: DataFrame | None = None,
-                   n_topics: int = N_TOPICS, stop_words=None) -> FeatureStage:
-    return FeatureStage(judgements, docs, queries, suffixes, topic_proba, n_topics, stop_words)
+                   n_topics: int = N_TOPICS, stop_words=None, checkpoint: bool = True) -> FeatureStage:
+    return FeatureStage(judgements, docs, queries, suffixes, topic_proba, n_topics, stop_words, checkpoint)

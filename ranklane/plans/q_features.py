@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ranklane.functions.constants import DEFAULT_PUBLIC_SUFFIXES, QD_FEATURE_NAMES
 from ranklane.operators import features as fx
 from ranklane.plans import oracle_features  # noqa: F401  (registers the oracle views)
-from ranklane.plans.q_judge import _stage
+from ranklane.plans.q_judge import judgement_table
 from ranklane.plans.registry import finish, register
 from ranklane.sources.tables import web_collection
 
@@ -17,8 +17,8 @@ def feature_stage(spark, sf_dir):
     """Judgements → features for the web collection (built lazily; the
     collection statistics are two bounded scalar jobs)."""
     c = web_collection(spark, sf_dir)
-    judg = _stage(spark, sf_dir)["judgements"]
-    return fx.features_stage(judg, c.docs, c.queries, DEFAULT_PUBLIC_SUFFIXES)
+    return fx.features_stage(judgement_table(spark, sf_dir), c.docs, c.queries, DEFAULT_PUBLIC_SUFFIXES,
+                             checkpoint=False)
 
 
 def feature_table(spark, sf_dir):
@@ -53,7 +53,7 @@ JOIN jvpost v ON v.doc_id = p.doc_id AND v.term = qt.term
 """, ("judgements_webf", "jqterms", "jvpost"))
 def qd_matched_terms(spark, sf_dir):
     st = feature_stage(spark, sf_dir)
-    pairs = _stage(spark, sf_dir)["judgements"].select("query_id", "doc_id").distinct()
+    pairs = judgement_table(spark, sf_dir).select("query_id", "doc_id").distinct()
     m = fx.qd_matched_terms(pairs, st["query_terms"], st["postings"])
     return finish(m.select("query_id", "doc_id", "field", "term", "qtf", "tf"))
 
@@ -86,7 +86,7 @@ FROM judgements_webf j JOIN jdetails d ON d.doc_id = j.doc_id JOIN d_feat_base f
 """, ("judgements_webf", "jdetails", "d_feat_base"))
 def judged_doc_join(spark, sf_dir):
     st = feature_stage(spark, sf_dir)
-    j = (_stage(spark, sf_dir)["judgements"]
+    j = (judgement_table(spark, sf_dir)
          .join(st["details"].select("doc_id", "sentence_count", "sld"), "doc_id")
          .join(st["d_features_base"].select("doc_id", "text_len"), "doc_id"))
     return finish(j.select("query_id", "doc_id", "relevance", "sentence_count", "text_len", "sld"))
@@ -98,7 +98,7 @@ FROM judgements_webf j JOIN jqdet q ON q.query_id = j.query_id JOIN q_feat f ON
 """, ("judgements_webf", "jqdet", "q_feat"))
 def judged_query_join(spark, sf_dir):
     st = feature_stage(spark, sf_dir)
-    judg = _stage(spark, sf_dir)["judgements"]
+    judg = judgement_table(spark, sf_dir)
     qd = st["query_details"].select("query_id", F.size("tokens").alias("n_tokens"))
     missing = judg.join(qd, "query_id", "left_anti")
     if missing.take(1):

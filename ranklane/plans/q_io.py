@@ -13,7 +13,7 @@ from ranklane.functions.text import hex_key
 from ranklane.operators import stats
 from ranklane.plans.q_domains import LTR, SCOLS, _divided, fixed_weights
 from ranklane.plans.q_features import feature_table
-from ranklane.plans.q_judge import _stage
+from ranklane.plans.q_judge import _stage, judgement_table
 from ranklane.plans.registry import finish, register
 from ranklane.session import scratch_path
 from ranklane.sources import formats as io
@@ -25,7 +25,7 @@ JUDG_SCHEMA = "query_id string, doc_id string, relevance int"
 @register("jsonl_roundtrip", "SELECT query_id, doc_id, relevance FROM judgements_webf", ("judgements_webf",))
 def jsonl_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "judgements-jsonl")
-    io.write_jsonl(_stage(spark, sf_dir)["judgements"], path)
+    io.write_jsonl(judgement_table(spark, sf_dir), path)
     return finish(io.read_jsonl(spark, path, JUDG_SCHEMA))
 
 
@@ -33,7 +33,7 @@ def jsonl_roundtrip(spark, sf_dir):
 def id_list_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "doc-ids")
     # every judged row's id (repeats included), padded like hand-edited lines
-    ids = _stage(spark, sf_dir)["judgements"].select(F.concat(F.lit("  "), "doc_id", F.lit(" ")).alias("doc_id"))
+    ids = judgement_table(spark, sf_dir).select(F.concat(F.lit("  "), "doc_id", F.lit(" ")).alias("doc_id"))
     io.write_id_list(ids, path, "doc_id")
     return finish(io.load_id_set(spark, path, "doc_id"))
 

@@ -125,6 +125,19 @@ def _stage(spark, sf_dir):
     return judgements_stage(c, doc_lang, query_lang)
 
 
+def judgement_table(spark, sf_dir):
+    """The judgements, materialised once per input folder in the shared
+    checkpoint folder; later stages read the finished copy (stage skip, S20)."""
+    import hashlib
+
+    from ranklane.session import checkpoint_dir
+    from ranklane.sources.formats import has_success, materialize
+    path = f"{checkpoint_dir(spark)}/judgements-{hashlib.md5(sf_dir.encode()).hexdigest()[:12]}"
+    if has_success(spark, path):
+        return spark.read.parquet(path)
+    return materialize(_stage(spark, sf_dir)["judgements"], path)
+
+
 @register("filter_docs_by_lang", "SELECT doc_id FROM kept_docs_web", ("kept_docs_web",))
 def filter_docs_by_lang(spark, sf_dir):
     return finish(_stage(spark, sf_dir)["kept_docs"])
@@ -174,8 +187,7 @@ SELECT d.doc_id, d.title, d.url FROM (SELECT DISTINCT doc_id FROM judgements_web
 JOIN docs_web d ON d.doc_id = j.doc_id
 """, ("judgements_webf", "docs_web"))
 def doc_lookup(spark, sf_dir):
-    st = _stage(spark, sf_dir)
-    return finish(qr.doc_lookup(st["judgements"], web_collection(spark, sf_dir).docs)
+    return finish(qr.doc_lookup(judgement_table(spark, sf_dir), web_collection(spark, sf_dir).docs)
                   .select("doc_id", "title", "url"))
 
 
@@ -214,6 +226,6 @@ UNION ALL
 SELECT DISTINCT 'query' AS kind, query_id AS id FROM judgements_webf
 """, ("judgements_webf",))
 def distinct_judged_ids(spark, sf_dir):
-    d, q = qr.distinct_judged_ids(_stage(spark, sf_dir)["judgements"])
+    d, q = qr.distinct_judged_ids(judgement_table(spark, sf_dir))
     return finish(d.select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id")).unionByName(
         q.select(F.lit("query").alias("kind"), F.col("query_id").alias("id"))))
