@@ -27,3 +27,19 @@ def test_entry_and_registry(spark):
     assert df.count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
     assert len(e.queries()) >= 85
+
+
+BAD = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
+       "SinglePartition")
+
+
+@pytest.mark.parametrize("key", ["bm25_topk", "qd_features", "equal_freq_domains", "split_queries",
+                                 "sort_by_hex_id", "rank_sampled_queries", "compare_models", "sample_n"])
+def test_scale_critical_plans(spark, key):
+    """No all-pairs joins, no Python evaluation, no single-task exchange."""
+    import __spark_entry__ as e
+    df = e.queries()[key](spark, SMOKE)
+    df.write.format("noop").mode("overwrite").save()  # run once so AQE settles the final plan
+    p = plan(df)
+    for bad in BAD:
+        assert bad not in p, (key, bad)
