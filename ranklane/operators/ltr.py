@@ -157,14 +157,16 @@ def coordinate_ascent(zwide: DataFrame, keys: list[str], n_features: int, restar
             cand_df = spark.createDataFrame(
                 cand_rows, "mk string, restart int, cand int, w array<double>, pen double")
             frame = lists.join(F.broadcast(cand_df), "mk")
+            # one row per (model, candidate): bounded, so the arg-max runs on the collected rows
             res = (frame.groupBy("mk", "restart", "cand", "pen")
                    .agg(F.avg(list_ndcg(F.col("docs"), F.col("w"), F.col("idcg"), k)).alias("ndcg"))
-                   .withColumn("obj", F.col("ndcg") - F.col("pen"))
-                   .groupBy("mk", "restart")
-                   .agg(F.max_by("cand", F.struct(F.round("obj", 12), -F.col("cand"))).alias("cand"),
-                        F.max("obj").alias("obj"))
                    .collect())
-            by_name = {(r["mk"], r["restart"]): (r["cand"], r["obj"]) for r in res}
+            by_name = {}
+            for r in sorted(res, key=lambda r: r["cand"]):
+                obj = round(r["ndcg"] - r["pen"], 12)
+                cur = by_name.get((r["mk"], r["restart"]))
+                if cur is None or obj > cur[1]:
+                    by_name[(r["mk"], r["restart"])] = (r["cand"], obj)
             for m in models:
                 hit = by_name.get((name[m], m[1]))
                 if hit is None:
