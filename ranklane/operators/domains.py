@@ -135,11 +135,14 @@ def unknown_queries(features: DataFrame, query_split: DataFrame) -> DataFrame:
     return features.join(query_split, "query_id", "left_anti")
 
 
-def domain_features(divided: DataFrame, positive_only: bool = False) -> DataFrame:
-    """Domain vector = mean over queries of the per-query mean."""
+def domain_features(divided: DataFrame, positive_only: bool = False, keep=None) -> DataFrame:
+    """Domain vector = mean over queries of the per-query mean.
+    ``keep`` (plug-in X3) is a Column predicate on the rows to use."""
     d = divided
     if positive_only:
         d = d.where((F.col("relevance") > 0) & F.col("step").isin("train", "valid"))
+    if keep is not None:
+        d = d.where(keep)
     cols = fcols(d, "s")
     per_q = d.groupBy("meta_step", "domain_id", "query_id").agg(*[F.avg(c).alias(c) for c in cols])
     return per_q.groupBy("meta_step", "domain_id").agg(*[F.avg(c).alias(c) for c in cols])
@@ -148,3 +151,25 @@ def domain_features(divided: DataFrame, positive_only: bool = False) -> DataFram
 def global_dataset(divided: DataFrame) -> DataFrame:
     """All domains of each meta step as one dataset."""
     return divided.drop("domain_id")
+
+
+# plug-in X2: domain aggregation methods by name
+DOMAIN_AGGREGATIONS = {
+    "from_all_instances": lambda divided: domain_features(divided),
+    "from_positive_instances": lambda divided: domain_features(divided, positive_only=True),
+}
+
+
+def cluster(method: str, vectors: DataFrame, k: int, key: str = "query_id", seed: int = SEED) -> DataFrame:
+    """Plug-in X7: clustering by name. ``equal_freq`` needs a one-column
+    vector; an unknown name raises."""
+    if method == "random":
+        return random_domains(vectors.select(key), k, seed, key)
+    if method == "kmeans":
+        return kmeans_domains(vectors, k, key=key)
+    if method == "equal_freq":
+        cols = fcols(vectors)
+        if len(cols) != 1:
+            raise ValueError("equal_freq clustering needs exactly one feature")
+        return equal_freq_domains(vectors.select(key, F.col(cols[0]).alias("value")), k, key)
+    raise ValueError(f"unknown clustering method: {method}")

@@ -198,8 +198,13 @@ def _fx(field: str, coll: dict) -> dict[str, Column]:
 
 
 def qd_features(pairs: DataFrame, qterms: DataFrame, vpostings: DataFrame, fstats: DataFrame,
-                term_stats: DataFrame, coll: dict) -> DataFrame:
-    """(query_id, doc_id, title_<f>…, text_<f>…) for the 15 features × 2 fields."""
+                term_stats: DataFrame, coll: dict, extra: dict | None = None) -> DataFrame:
+    """(query_id, doc_id, title_<f>…, text_<f>…) for the 15 features × 2 fields.
+
+    ``extra`` (plug-in X1): name → function(coll) returning a Column over a
+    matched row (columns tf, qtf, df, cf, dlen, nuniq); each is summed over
+    the matched terms of a field and appended as ``<field>_<name>``."""
+    extra = extra or {}
     cn, vocab = float(coll["cn"]), float(coll["vocab"])
     pairs = pairs.select("query_id", "doc_id").distinct()
     ts_q = _stats_for_terms(term_stats, qterms)
@@ -210,6 +215,9 @@ def qd_features(pairs: DataFrame, qterms: DataFrame, vpostings: DataFrame, fstat
     for field in FIELDS:
         for name, c in _fx(field, coll).items():
             aggs.append(F.sum(c).alias(f"{field}_{name}"))
+        for name, fn in extra.items():
+            aggs.append(F.sum(F.when(F.col("field") == field, fn(coll)).otherwise(F.lit(0.0)))
+                        .alias(f"{field}_{name}"))
     m = matched.groupBy("query_id", "doc_id").agg(*aggs)
 
     # query-level parts: qlen and Σ ln p over the distinct query terms
@@ -256,6 +264,8 @@ def qd_features(pairs: DataFrame, qterms: DataFrame, vpostings: DataFrame, fstat
         }
         for name in QD_FEATURE_NAMES:
             cols.append(vals[name].alias(f"{f}_{name}"))
+        for name in extra:
+            cols.append(g(name).alias(f"{f}_{name}"))
     return base.select(*cols)
 
 

@@ -49,3 +49,13 @@ def test_split_domains_exact_counts(spark):
     steps = [r["meta_step"] for r in rows]
     assert (steps.count("train"), steps.count("valid"), steps.count("test")) == (5, 1, 2)
     assert sorted(r["domain_id"] for r in rows) == list(range(8))
+
+
+def test_cluster_registry_and_unknown(spark):
+    import pytest
+    df = spark.createDataFrame([(f"q{i}", float(i)) for i in range(9)], "query_id string, f0 double")
+    eq = {r["query_id"]: r["domain_id"] for r in dm.cluster("equal_freq", df, 3).collect()}
+    assert sorted(eq.values()) == [0, 0, 0, 1, 1, 1, 2, 2, 2]
+    assert dm.cluster("random", df, 3).count() == 9
+    with pytest.raises(ValueError):
+        dm.cluster("spectral", df, 3)
