@@ -153,11 +153,19 @@ def letor_parse(spark, sf_dir):
 
 @register("weights_roundtrip", "SELECT model, domain_id, idx, w FROM fixed_weights", ("fixed_weights",))
 def weights_roundtrip(spark, sf_dir):
+    """Model files: one weight line per (model, domain), written as text in
+    folders per model and domain ('global' for the shared model), then
+    gathered back into the weight table (S16)."""
     path = scratch_path(spark, "weights")
     w = fixed_weights(spark).withColumn("domain", F.coalesce(F.col("domain_id").cast("string"), F.lit("global")))
-    io.write_partitioned(w, path, ["model"], ["domain_id", "idx"])
-    back = io.read_partitioned(spark, path, "domain_id int, idx int, w double, domain string, model string")
-    return finish(back.select("model", "domain_id", "idx", "w"))
+    lines = io.weights_to_lines(w, ["model", "domain"])
+    lines.select("model", "domain", "line").write.mode("overwrite").partitionBy("model", "domain").text(path)
+    back = spark.read.schema("line string, model string, domain string").text(path)
+    back = back.select(F.col("value").alias("line") if "value" in back.columns else F.col("line"),
+                       "model", "domain")
+    g = io.lines_to_weights(back, ["model", "domain"])
+    return finish(g.select("model", F.when(F.col("domain") == "global", F.lit(None))
+                           .otherwise(F.col("domain")).cast("int").alias("domain_id"), "idx", "w"))
 
 
 @register("materialize_stage", "SELECT query_id, doc_id, relevance FROM judgements_webf", ("judgements_webf",))

@@ -163,3 +163,22 @@ def read_partitioned(spark: SparkSession, path: str, schema) -> DataFrame:
     """Partition discovery on the folder names; filters on partition columns
     prune folders. A missing step folder is simply an empty group."""
     return spark.read.schema(schema).parquet(path)
+
+
+# ---- model weight files (S16) ----------------------------------------------------------
+
+def weights_to_lines(weights: DataFrame, keys: list[str]) -> DataFrame:
+    """One ``1:w 2:w …`` line per model key (1-based feature numbers, the
+    shortest decimal that reads back to the same double)."""
+    g = weights.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", "w"))).alias("ws"))
+    line = F.array_join(F.transform("ws", lambda e: F.concat((e["idx"] + 1).cast("string"), F.lit(":"),
+                                                           e["w"].cast("string"))), " ")
+    return g.select(*keys, line.alias("line"))
+
+
+def lines_to_weights(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Gather model lines back into (…keys, idx, w)."""
+    pairs = F.split(F.trim(F.col("line")), r"\s+")
+    return lines.select(*keys, F.posexplode(pairs).alias("__p", "__kv")).select(
+        *keys, (F.split_part(F.col("__kv"), F.lit(":"), F.lit(1)).cast("int") - 1).alias("idx"),
+        F.split_part(F.col("__kv"), F.lit(":"), F.lit(2)).cast("double").alias("w"))
