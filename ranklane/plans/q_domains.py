@@ -239,9 +239,17 @@ def split_queries(spark, sf_dir):
     return finish(dm.split_queries(_assign(spark, sf_dir)))
 
 
-@register("split_domains", "SELECT domain_id, meta_step FROM dsplit", ("dsplit",))
+@register("split_domains", """
+SELECT d.domain_id, d.meta_step, coalesce(a.n, 0) AS n_queries
+FROM dsplit d LEFT JOIN (SELECT domain_id, count(*) AS n FROM qassign GROUP BY domain_id) a
+  ON a.domain_id = d.domain_id
+""", ("dsplit", "qassign"))
 def split_domains(spark, sf_dir):
-    return finish(dm.split_domains(spark, N_DOMAINS))
+    """Step of every domain id (those without queries included) with the
+    number of queries the dataset puts in it."""
+    counts = _assign(spark, sf_dir).groupBy("domain_id").agg(F.count("*").alias("n_queries"))
+    d = dm.split_domains(spark, N_DOMAINS).join(counts, "domain_id", "left")
+    return finish(d.select("domain_id", "meta_step", F.coalesce("n_queries", F.lit(0)).alias("n_queries")))
 
 
 @register("divide_dataset", "SELECT * FROM divided", ("divided",))

@@ -151,13 +151,19 @@ def letor_parse(spark, sf_dir):
                            *[F.get("features", k).alias(f"v{k}") for k in range(len(LTR))]))
 
 
-@register("weights_roundtrip", "SELECT model, domain_id, idx, w FROM fixed_weights", ("fixed_weights",))
+@register("weights_roundtrip", """
+SELECT model, domain_id, idx, w FROM fixed_weights
+WHERE domain_id IS NULL OR domain_id IN (SELECT domain_id FROM divided)
+""", ("fixed_weights", "divided"))
 def weights_roundtrip(spark, sf_dir):
-    """Model files: one weight line per (model, domain), written as text in
-    folders per model and domain ('global' for the shared model), then
-    gathered back into the weight table (S16)."""
+    """Model files for the domains that hold queries (and the global model):
+    one weight line per (model, domain), written as text in folders per model
+    and domain ('global' for the shared model), then gathered back (S16)."""
     path = scratch_path(spark, "weights")
-    w = fixed_weights(spark).withColumn("domain", F.coalesce(F.col("domain_id").cast("string"), F.lit("global")))
+    doms = _divided(spark, sf_dir).select("domain_id").distinct()
+    w = fixed_weights(spark)
+    w = w.where(F.col("domain_id").isNull()).unionByName(w.join(doms, "domain_id", "left_semi"))
+    w = w.withColumn("domain", F.coalesce(F.col("domain_id").cast("string"), F.lit("global")))
     lines = io.weights_to_lines(w, ["model", "domain"])
     lines.select("model", "domain", "line").write.mode("overwrite").partitionBy("model", "domain").text(path)
     back = spark.read.schema("line string, model string, domain string").text(path)
