@@ -472,7 +472,8 @@ def train_domain_rankers(spark, sf_dir):
 
 @register("train_global_ranker")
 def train_global_ranker(spark, sf_dir):
-    """16 single-restart fits on all train rows; the best on valid is kept."""
+    """16 single-restart fits on all train rows; the best on valid is kept
+    (on the training objective when the data has no valid lists)."""
     d = _divided(spark, sf_dir)
     tr = ltr.zscore_wide(d.where(F.col("step") == "train").withColumn("model", F.lit("global")), ["model"])
     w = ltr.coordinate_ascent(tr, ["model"], len(LTR), restarts=16, sweeps=1)
@@ -485,5 +486,8 @@ def train_global_ranker(spark, sf_dir):
     keys = s.select("model", "query_id").distinct().join(q, "query_id")
     ev = metrics.ndcg_at_k(s, keys, keys=["model"]).groupBy("model").agg(F.avg("value").alias("score"))
     ev = ev.withColumn("restart", F.substring("model", 2, 10).cast("int")).withColumn("model", F.lit("global"))
+    if not ev.take(1):
+        # no valid lists (tiny data): fall back to the training objective
+        ev = w.groupBy("restart").agg(F.first("objective").alias("score")).withColumn("model", F.lit("global"))
     best = ltr.best_restart(ev)
     return finish(w.join(best.select("restart"), "restart").select("restart", "idx", "w"))
