@@ -112,6 +112,16 @@ def list_ndcg(docs, w, idcg, k: int = CUTOFF):
     return F.when(idcg > 0, dcg / idcg).otherwise(F.lit(0.0))
 
 
+def ndcg_from_scores(docs, scores, idcg, k: int = CUTOFF):
+    """NDCG@k of a packed list given one score per document (same order)."""
+    scored = F.zip_with(docs, scores, lambda d, sc: F.struct((-F.round(sc, 9)).alias("neg"),
+                                                            d["doc_id"].alias("doc_id"), d["rel"].alias("rel")))
+    top = F.slice(F.array_sort(scored), 1, k)
+    dcg = F.aggregate(F.transform(top, lambda d, i: (F.pow(F.lit(2.0), d["rel"]) - 1) / F.log2(i + 2)),
+                      F.lit(0.0), lambda a, x: a + x)
+    return F.when(idcg > 0, dcg / idcg).otherwise(F.lit(0.0))
+
+
 def coordinate_ascent(zwide: DataFrame, keys: list[str], n_features: int, restarts: int = 16,
                       sweeps: int = 3, reg: float = 0.1, k: int = CUTOFF, seed: int = SEED,
                       tolerance: float = 0.001, steps: int = 6) -> DataFrame:
@@ -152,14 +162,28 @@ def coordinate_ascent(zwide: DataFrame, keys: list[str], n_features: int, restar
                     l1 = sum(abs(x) for x in nw) or 1.0
                     nw = [x / l1 for x in nw]
                     pen = reg * math.sqrt(sum((a - b) ** 2 for a, b in zip(nw, start)))
-                    cand_rows.append((name[m], m[1], ci, nw, pen))
+                    cand_rows.append((name[m], m[1], ci, nw, pen, float(cv - w[f])))
                     cand_w[(name[m], m[1], ci)] = nw
+            # ranking is invariant to the positive L1 rescaling, so a candidate's
+            # scores are the model's base scores plus delta * z_f: one dot product
+            # per document and model, then one multiply-add per candidate
+            model_df = spark.createDataFrame(
+                [(name[m], m[1], weights[m], orders[m][pos]) for m in models],
+                "mk string, restart int, w array<double>, f int")
             cand_df = spark.createDataFrame(
-                cand_rows, "mk string, restart int, cand int, w array<double>, pen double")
-            frame = lists.join(F.broadcast(cand_df), "mk")
+                [(c[0], c[1], c[2], c[5], c[4]) for c in cand_rows],
+                "mk string, restart int, cand int, delta double, pen double")
+            frame = (lists.join(F.broadcast(model_df), "mk")
+                     .select("mk", "restart", "docs", "idcg",
+                             F.transform("docs", lambda d: F.aggregate(
+                                 F.zip_with(F.col("w"), d["z"], lambda a, b: a * b), F.lit(0.0),
+                                 lambda x, y: x + y)).alias("base"),
+                             F.transform("docs", lambda d: F.element_at(d["z"], F.col("f") + 1)).alias("zf"))
+                     .join(F.broadcast(cand_df), ["mk", "restart"]))
+            scores = F.zip_with("base", "zf", lambda b, zf: b + F.col("delta") * zf)
             # one row per (model, candidate): bounded, so the arg-max runs on the collected rows
             res = (frame.groupBy("mk", "restart", "cand", "pen")
-                   .agg(F.avg(list_ndcg(F.col("docs"), F.col("w"), F.col("idcg"), k)).alias("ndcg"))
+                   .agg(F.avg(ndcg_from_scores(F.col("docs"), scores, F.col("idcg"), k)).alias("ndcg"))
                    .collect())
             by_name = {}
             for r in sorted(res, key=lambda r: r["cand"]):
