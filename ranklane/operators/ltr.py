@@ -69,16 +69,6 @@ def best_restart(evals: DataFrame, keys=("model",)) -> DataFrame:
 
 # ---- coordinate ascent --------------------------------------------------------------
 
-def _ndcg_by_key(frame: DataFrame, key_cols: list[str], score: str, k: int) -> DataFrame:
-    """Mean NDCG@k (gain 2^rel − 1) per key, from a frame carrying ``idcg``."""
-    w = Window.partitionBy(*key_cols, "query_id").orderBy(F.round(score, 9).desc(), F.col("doc_id"))
-    ranked = frame.withColumn("__rk", F.row_number().over(w)).where(F.col("__rk") <= k)
-    dcg = ranked.groupBy(*key_cols, "query_id", "idcg").agg(
-        F.sum((F.pow(F.lit(2.0), F.col("relevance")) - 1) / F.log2(F.col("__rk") + 1)).alias("dcg"))
-    nd = F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(F.lit(0.0))
-    return dcg.groupBy(*key_cols).agg(F.avg(nd).alias("ndcg"))
-
-
 def ideal_dcg(frame: DataFrame, keys: list[str], k: int = CUTOFF) -> DataFrame:
     """Per list ideal DCG@k (constant during training: computed once)."""
     w = Window.partitionBy(*keys, "query_id").orderBy(F.col("relevance").desc(), F.col("doc_id"))
@@ -101,17 +91,6 @@ def query_lists(zwide: DataFrame, keys: list[str], n_features: int, k: int = CUT
     return lists.withColumn("idcg", F.aggregate(gains, F.lit(0.0), lambda a, x: a + x))
 
 
-def list_ndcg(docs, w, idcg, k: int = CUTOFF):
-    """NDCG@k of one packed list under weights ``w`` — row-local array work."""
-    scored = F.transform(docs, lambda d: F.struct(
-        (-F.round(F.aggregate(F.zip_with(w, d["z"], lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y), 9))
-        .alias("neg"), d["doc_id"].alias("doc_id"), d["rel"].alias("rel")))
-    top = F.slice(F.array_sort(scored), 1, k)
-    dcg = F.aggregate(F.transform(top, lambda d, i: (F.pow(F.lit(2.0), d["rel"]) - 1) / F.log2(i + 2)),
-                      F.lit(0.0), lambda a, x: a + x)
-    return F.when(idcg > 0, dcg / idcg).otherwise(F.lit(0.0))
-
-
 def ndcg_from_scores(docs, scores, idcg, k: int = CUTOFF):
     """NDCG@k of a packed list given one score per document (same order)."""
     scored = F.zip_with(docs, scores, lambda d, sc: F.struct((-F.round(sc, 9)).alias("neg"),

@@ -1,7 +1,7 @@
 """Composed stages (the reference's entry points) built from the operators.
 
-Each stage returns a dict of lazily-built DataFrames; the caller decides what
-to materialise (``ranklane.sources.formats.materialize``).
+A stage is an object whose outputs are DataFrames built on first access;
+the caller decides what to materialise (``ranklane.sources.formats.materialize``).
 """
 
 from __future__ import annotations

@@ -1,7 +1,7 @@
 """Scans of the driver tables and the derived ranking collections.
 
 The ranking collections are defined identically in the DuckDB oracle
-(``ranklane.plans.oracle``): web pages become documents, known-item queries
+(``ranklane.plans.oracle_views``): web pages become documents, known-item queries
 and their single positive; conversations give a second collection.
 """
 
