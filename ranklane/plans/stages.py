@@ -65,8 +65,11 @@ class JudgementStage:
 
     @cached_property
     def ranked(self):
+        from pyspark import StorageLevel
         k = qr.max_positive_count(qr.relevant_doc_counts(self.qrels)) + self.negatives
-        ranked = retrieval.bm25_topk(self.docs, self.queries, k)
+        # bounded by queries × k and read twice (queries with hits, then the
+        # rankings of the chosen ones): kept instead of recomputing retrieval
+        ranked = retrieval.bm25_topk(self.docs, self.queries, k).persist(StorageLevel.MEMORY_AND_DISK)
         return retrieval.rank_sampled_queries(ranked, self.queries, self.query_limit, self.seed)
 
     @cached_property
