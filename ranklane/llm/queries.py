@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranklane.llm import langid, simhash, suffix_dedup
+from ranklane.llm import decontaminate, langid, simhash, suffix_dedup
 from ranklane.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_language_backoff")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
+@query("op10_spaced_seeds", decontaminate.ORACLE)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
