@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranklane.llm import decontaminate, langid, simhash, suffix_dedup
+from ranklane.llm import bpe, decontaminate, langid, simhash, suffix_dedup
 from ranklane.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +45,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_spaced_seeds", decontaminate.ORACLE)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_segment_tree_bpe")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_output=False)
