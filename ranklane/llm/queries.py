@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranklane.llm import bpe, decontaminate, langid, simhash, suffix_dedup
+from ranklane.llm import bpe, decontaminate, langid, quality, sharding, simhash, suffix_dedup, token_store
 from ranklane.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,32 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+@query("op1_quality_ledger", quality.ORACLE)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = quality.ledger(read_table(spark, sf_dir, "documents"))
+    base, corpus = quality.BASE, quality.policy("corpus", 1)
+    return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                          (~quality.passes(base)).alias("base_failed"), quality.passes(corpus).alias("kept"), "failed")
+
+
+@query("quality_ablations")
+def op1_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.ablations(quality.ledger(read_table(spark, sf_dir, "documents")))
+
+
 @query("op2_segment_tree_bpe")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_output=False)
+
+
+@query("op5_differencing_shards")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.balanced_shards(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op7_seekable_tokens")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_store.write_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.token_digests(token_store.read_tokens(manifest))
