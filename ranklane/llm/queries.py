@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranklane.llm import bpe, decontaminate, langid, quality, sharding, simhash, suffix_dedup, token_store
+from ranklane.llm import bpe, decontaminate, langid, quality, sharding, simhash, suffix_dedup, token_store, warc
 from ranklane.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_store.write_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_store.token_digests(token_store.read_tokens(manifest))
+
+
+@query("op6_warc_ranges")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(read_table(spark, sf_dir, "pages")))

@@ -2,10 +2,12 @@
 
 A partial partition is a tuple of part sizes. The two of largest spread are
 combined oppositely ordered, the largest part of one with the smallest of the
-other, until one is left. Groups (documents of equal text) are differenced in
-blocks chosen by hash; each block leaves a partial partition, and those are
-differenced in turn, ``FAN`` at a time, so no task holds more than a block of
-groups or ``FAN`` tuples and the driver holds none.
+other, until one is left. Groups
+(documents of equal text) are first differenced in blocks chosen by hash, each
+into ``BUNDLES`` bundles; the bundles are differenced like groups in turn, until
+one block holds them all and is differenced into the shards. A large group is a
+bundle of its own, so it is weighed against all others at the end. No task
+holds more than a block of sizes, and the driver none.
 
 Defined cases: a null text counts as empty, and is in its group; a null id has
 a row like any other; repeated rows each have a slot; fewer groups than shards
@@ -25,9 +27,9 @@ from ranklane.llm.common import id_and_text, written
 
 SHARDS = 40
 OVERHEAD = 16
-#: groups in a block, and partial partitions combined in one task
-BLOCK = 20_000
-FAN = 2_000
+#: groups (or bundles) differenced in one task, and the bundles it makes of them
+BLOCK = 10_000
+BUNDLES = 400
 #: rows of a (shard, chunk) numbered together, about
 CHUNK_ROWS = 50_000
 
@@ -57,35 +59,30 @@ def difference(tuples: np.ndarray) -> np.ndarray:
     return part[:n]
 
 
-def partition_groups(groups: DataFrame, shards: int = SHARDS, block: int = BLOCK, fan: int = FAN) -> DataFrame:
-    """(digest, shard) for distinct (digest, bytes)."""
-    blocks = max(1, -(-groups.count() // block))
-
-    def leaf(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["bytes", "digest"], ascending=[False, True])
-        tuples = np.zeros((len(rows), shards), np.int64)
-        tuples[:, 0] = rows["bytes"]
-        return pd.DataFrame({"digest": rows["digest"], "bytes": rows["bytes"], "node": rows["node"],
-                             "part": difference(tuples)[:, 0].astype(np.int32)})
-
-    def inner(rows: pd.DataFrame) -> pd.DataFrame:
-        nodes, at = np.unique(rows["node"].to_numpy(), return_inverse=True)
-        tuples = np.zeros((len(nodes), shards), np.int64)
-        tuples[at, rows["part"].to_numpy()] = rows["bytes"].to_numpy()
-        into = difference(tuples)
-        return pd.DataFrame({"node": rows["node"], "part": rows["part"], "bytes": rows["bytes"], "up": rows["up"],
-                             "up_part": into[at, rows["part"].to_numpy()].astype(np.int32)})
-
-    placed = written(groups.withColumn("node", F.pmod(F.xxhash64("digest"), F.lit(blocks)))
-                     .groupBy("node").applyInPandas(leaf, "digest string, bytes long, node long, part int"), "shard-leaves")
-    while blocks > 1:
-        tuples = placed.groupBy("node", "part").agg(F.sum("bytes").alias("bytes"))
-        blocks = -(-blocks // fan)
-        moved = (tuples.withColumn("up", F.pmod("node", F.lit(blocks)))
-                 .groupBy("up").applyInPandas(inner, "node long, part int, bytes long, up long, up_part int"))
-        placed = written(placed.join(moved.select("node", "part", "up", "up_part"), ["node", "part"])
-                         .select("digest", "bytes", F.col("up").alias("node"), F.col("up_part").alias("part")), "shard-nodes")
-    return placed.select("digest", F.col("part").alias("shard"))
+def partition_groups(groups: DataFrame, shards: int = SHARDS, block: int = BLOCK, bundles: int = BUNDLES) -> DataFrame:
+    """(item, shard) for distinct (item, bytes)."""
+
+    def level(parts: int):
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(["bytes", "item"], ascending=[False, True])
+            tuples = np.zeros((len(rows), parts), np.int64)
+            tuples[:, 0] = rows["bytes"]
+            return pd.DataFrame({"item": rows["item"], "bytes": rows["bytes"],
+                                 "up": rows["node"].to_numpy() * parts + difference(tuples)[:, 0]})
+        return run
+
+    items, placed = groups, None
+    while True:
+        blocks = max(1, -(-items.count() // block))
+        parts = shards if blocks == 1 else min(bundles, block // 4)  # each level has fewer items
+        moved = written(items.withColumn("node", F.pmod(F.xxhash64("item"), F.lit(blocks))).groupBy("node")
+                        .applyInPandas(level(parts), "item long, bytes long, up long"), "shard-level")
+        step = moved.select(F.col("item").alias("now"), "up")
+        placed = (moved.select("item", F.col("up").alias("now")) if placed is None else
+                  placed.join(step, "now").select("item", F.col("up").alias("now")))
+        if blocks == 1:
+            return placed.select("item", F.col("now").cast("int").alias("shard"))
+        items = moved.groupBy(F.col("up").alias("item")).agg(F.sum("bytes").alias("bytes"))
 
 
 def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS,
@@ -96,11 +93,12 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = written(id_and_text(docs, id_col, text_col).select(
         "doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.sha2(F.encode(text, "UTF-8"), 256).alias("digest")), "shard-marked")
-    groups = marked.groupBy("digest").agg(F.sum("size").alias("bytes"))
-    where = partition_groups(groups, shards, block)
+    # two groups whose digests share this hash would only be kept together
+    marked = marked.withColumn("item", F.xxhash64("digest"))
+    where = partition_groups(marked.groupBy("item").agg(F.sum("size").alias("bytes")), shards, block)
     # a group of very many copies is spread over the numbered chunks, in one shard
     chunks = max(1, marked.count() // (shards * CHUNK_ROWS))
-    placed = written(marked.join(where, "digest").withColumn(
+    placed = written(marked.join(where, "item").withColumn(
         "chunk", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(chunks))), "shard-placed")
     counts = placed.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))

@@ -38,19 +38,20 @@ def check(rows, shards=40):
 def test_balance_of_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
-    for block in (sh.BLOCK, 100):  # one block, and many combined in turn
+    for block, spread in ((sh.BLOCK, 0.01), (600, 0.25)):  # one block, and a few bundles of two
         rows = sh.balanced_shards(docs, block=block).collect()
         assert {r.doc_id: (r.size, r.text_crc32) for r in rows} == {
             i: (len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in texts.items()}
         sums = check(rows)
-        assert max(sums) - min(sums) < 0.01 * np.mean(sums)
+        assert max(sums) - min(sums) < spread * np.mean(sums)
 
 
-def test_several_levels(spark):
-    groups = spark.createDataFrame([(str(i), (i * 7919) % 1000 + 1) for i in range(300)], "digest string, bytes long")
-    got = sh.partition_groups(groups, 4, block=10, fan=5).join(groups, "digest").collect()
-    sums = np.bincount([r.shard for r in got], [r.bytes for r in got], 4)
-    assert len(got) == 300 and np.ptp(sums) < 0.02 * sums.mean()
+def test_several_levels_and_a_hot_group(spark):
+    sizes = {i: (i * 7919) % 1000 + 1 for i in range(3000)} | {9999: 300_000}
+    groups = spark.createDataFrame(list(sizes.items()), "item long, bytes long")
+    got = {r.item: r.shard for r in sh.partition_groups(groups, 4, block=1000, bundles=250).collect()}
+    sums = np.bincount(list(got.values()), [sizes[i] for i in got], 4)
+    assert got.keys() == sizes.keys() and np.ptp(sums) < 0.01 * sums.mean()
 
 
 def test_odd_rows(odd, empty):
