@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranklane.llm import bpe, decontaminate, langid, quality, sharding, simhash, suffix_dedup, token_store, warc
+from ranklane.llm import bpe, decontaminate, langid, quality, sharding, simhash, suffix_dedup, token_store, toxicity, warc
 from ranklane.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_warc_ranges")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(read_table(spark, sf_dir, "pages")))
+
+
+@query("op4_toxicity_trees")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
