@@ -7,8 +7,9 @@ three things keep that small:
 * Anchors. Of the ``GRAM``-byte grams in a string of ``length`` bytes, the one
   with the smallest hash is its anchor. Equal strings have equal anchors at
   equal places, so only suffixes at anchors are sorted: about one byte in
-  fourteen. With a suffix goes the left context that a string around the
-  anchor may need.
+  sixteen. A string goes with one anchor (the leftmost, of equal hashes), so a
+  suffix needs only the bytes, and the left context, of the strings that go
+  with its anchor.
 * Repeats only. Blocks of documents first exchange the hashes of their anchors;
   suffixes whose anchor occurs in one document alone are never sent.
 * Front coding. Each block sorts its suffixes into runs, one a merge part,
@@ -45,10 +46,10 @@ from pyspark.sql import functions as F
 from ranklane.llm.common import written
 
 LENGTH = 50
-GRAM = 24
+GRAM = 20
 BLOCK = 8 << 20
 #: anchors a hash bucket, and suffixes a merge part, about
-BUCKET = 1 << 20
+BUCKET = 1 << 18
 _CHUNK = 1 << 17
 _BYTE = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -69,10 +70,9 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
         return x[:n] * np.uint64(pow(_BASE, nx, 1 << 64)) + y[nx:]
     h = _BYTE[data]
     two = joined(h, 1, h)
-    three = joined(two, 2, h)
-    six = joined(three, 3, three)
-    twelve = joined(six, 6, six)
-    h = joined(twelve, 12, twelve)
+    four = joined(two, 2, two)
+    eight = joined(four, 4, four)
+    h = joined(joined(eight, 8, eight), 16, four)
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
@@ -89,9 +89,26 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return x
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the anchors of all strings of ``length`` bytes
-    that lie within one document; ``ends`` are the documents' ends in ``data``."""
+def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(positions, hashes, least and largest offset) of the anchors of all
+    strings of ``length`` bytes that lie within one document; ``ends`` are the
+    documents' ends in ``data``. A string that goes with an anchor starts an
+    offset before it, and every offset in the range is such a string."""
+    at, h = _anchor_places(data, ends, length)
+    reach = length - GRAM
+    low, high = at - reach, at.copy()  # first and last start of a string
+    if len(at):
+        wins = h[:-1] <= h[1:]  # of two anchors in a string, the smaller hash, then the left one
+        low[1:] = np.where(wins, np.maximum(low[1:], at[:-1] + 1), low[1:])
+        high[:-1] = np.where(wins, high[:-1], np.minimum(high[:-1], at[1:] - reach - 1))
+        doc = np.searchsorted(ends, at, "right")
+        low = np.maximum(low, np.concatenate([[0], ends])[doc])
+        high = np.minimum(high, ends[doc] - length)
+    use = low <= high
+    return at[use], h[use], (at - high)[use], (at - low)[use]
+
+
+def _anchor_places(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     width = length - GRAM + 1
     found, hashes = [], []
     if not len(data):
@@ -150,17 +167,15 @@ def blocks_of(docs: DataFrame, size: int = BLOCK) -> DataFrame:
     return docs.mapInPandas(run, "block long, n_bytes long, ids binary, sizes binary, data binary")
 
 
-def _unique_anchors(data, ends, ids, length):
-    """Positions, inverse and distinct hashes of a block's anchors, and whether
-    a hash is in two documents of the block."""
-    at, hashes = anchors(data, ends, length)
+def _distinct(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes, the place of each hash in them, and whether it is in
+    two documents of the block."""
     distinct, inverse = np.unique(hashes, return_inverse=True)
-    doc = ids[np.searchsorted(ends, at, "right")]
     low = np.full(len(distinct), np.iinfo(np.int64).max)
     high = np.full(len(distinct), np.iinfo(np.int64).min)
     np.minimum.at(low, inverse, doc)
     np.maximum.at(high, inverse, doc)
-    return at, inverse, distinct, low != high, doc
+    return distinct, inverse, low != high
 
 
 def _cut(distinct: np.ndarray, bits: int) -> np.ndarray:
@@ -178,7 +193,9 @@ def repeated_anchors(blocks: DataFrame, bits: int, width: int, length: int) -> D
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for r in rows.itertuples():
-                _, _, distinct, twice, _ = _unique_anchors(*_read_block(r), length)
+                data, ends, ids = _read_block(r)
+                at, hashes, _, _ = anchors(data, ends, length)
+                distinct, _, twice = _distinct(hashes, ids[np.searchsorted(ends, at, "right")])
                 cut = _cut(distinct, bits)
                 short = ((distinct << np.uint64(bits)) >> np.uint64(64 - 8 * width)).astype("<u8")
                 short = short.view(np.uint8).reshape(-1, 8)[:, :width]
@@ -204,22 +221,18 @@ def repeated_anchors(blocks: DataFrame, bits: int, width: int, length: int) -> D
     return sent.groupBy("bucket").applyInPandas(count, "block long, bucket int, flags binary")
 
 
-def _contexts(data, ends, at, length) -> np.ndarray:
-    """A row per anchor: the suffix (``length`` bytes), the left context
-    backwards, and how much of each lies in the document."""
+def _contexts(data, at, least, most, length) -> np.ndarray:
+    """A row per anchor: the suffix, the left context backwards, and how many
+    bytes of each belong to strings of the anchor (the others are 0)."""
     left = length - GRAM
-    doc = np.searchsorted(ends, at, "right")
-    right_n = np.minimum(ends[doc] - at, length)
-    left_n = np.minimum(at - np.concatenate([[0], ends])[doc], left)
     padded = np.concatenate([np.zeros(left, np.uint8), data, np.zeros(length, np.uint8)])
-    view = np.lib.stride_tricks.sliding_window_view(padded, left + length)
-    both = view[at]
+    both = np.lib.stride_tricks.sliding_window_view(padded, left + length)[at]
     out = np.zeros((len(at), length + left + 2), np.uint8)
     out[:, :length] = both[:, left:]
     out[:, length:length + left] = both[:, :left][:, ::-1]
-    out[:, :length][np.arange(length) >= right_n[:, None]] = 0
-    out[:, length:length + left][np.arange(left) >= left_n[:, None]] = 0
-    out[:, -2], out[:, -1] = right_n, left_n
+    out[:, :length][np.arange(length) >= (length - least)[:, None]] = 0
+    out[:, length:length + left][np.arange(left) >= most[:, None]] = 0
+    out[:, -2], out[:, -1] = length - least, most
     return out
 
 
@@ -236,48 +249,53 @@ def _sorted_rows(keys: np.ndarray) -> np.ndarray:
     return np.argsort(np.ascontiguousarray(keys).view(f"S{keys.shape[1]}").ravel(), kind="stable")
 
 
-def suffix_runs(blocks: DataFrame, flags: DataFrame, bits: int, length: int) -> DataFrame:
-    """Front-coded sorted runs (kind 0, one a block and merge part) and the
-    places of their entries (kind 1, one a block)."""
+class _Suffixes:
+    """The sorted suffixes of a block whose anchors are in two documents."""
+
+    def __init__(self, r, bits: int, length: int):
+        self.data, self.ends, self.ids = _read_block(r)
+        at, hashes, least, most = anchors(self.data, self.ends, length)
+        doc = self.ids[np.searchsorted(self.ends, at, "right")]
+        distinct, inverse, _ = _distinct(hashes, doc)
+        cut, repeated = _cut(distinct, bits), np.zeros(len(distinct), bool)
+        for f in r.flags if r.flags is not None else ():
+            lo, hi = cut[f["bucket"]], cut[f["bucket"] + 1]
+            repeated[lo:hi] = np.unpackbits(np.frombuffer(f["flags"], np.uint8), count=hi - lo)
+        use = repeated[inverse]
+        at, least, most, doc = at[use], least[use], most[use], doc[use]
+        part = (hashes[use] >> np.uint64(64 - bits)).astype(np.int64)
+        keys = _contexts(self.data, at, least, most, length)
+        order = _sorted_rows(keys)
+        order = order[np.argsort(part[order], kind="stable")]
+        self.at, self.least, self.most, self.doc = at[order], least[order], most[order], doc[order]
+        keys, part = keys[order], part[order]
+        shared = _shared_prefix(keys)
+        shared[np.concatenate([[False], part[1:] != part[:-1]])[:len(shared)]] = 0
+        new = shared < keys.shape[1]
+        #: the entry (distinct context) of each suffix, and per entry its
+        #: context, shared prefix, merge part and smallest document
+        self.entry, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        self.keys, self.shared, self.part = keys[first], shared[first], part[first]
+        self.low = np.minimum.reduceat(self.doc, first) if len(first) else np.zeros(0, np.int64)
+
+
+def suffix_runs(flagged: DataFrame, bits: int, length: int) -> DataFrame:
+    """Front-coded sorted runs, one a block and merge part, of blocks with the
+    flags of their anchors."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for r in rows.itertuples():
-                data, ends, ids = _read_block(r)
-                at, inverse, distinct, _, doc = _unique_anchors(data, ends, ids, length)
-                cut, repeated = _cut(distinct, bits), np.zeros(len(distinct), bool)
-                for f in r.flags:
-                    lo, hi = cut[f["bucket"]], cut[f["bucket"] + 1]
-                    repeated[lo:hi] = np.unpackbits(np.frombuffer(f["flags"], np.uint8), count=hi - lo)
-                use = repeated[inverse]
-                at, doc = at[use], doc[use]
-                part = (distinct[inverse[use]] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(at), np.int64)
-                if not len(at):
-                    continue
-                keys = _contexts(data, ends, at, length)
-                order = _sorted_rows(keys)
-                order = order[np.argsort(part[order], kind="stable")]
-                keys, at, doc, part = keys[order], at[order], doc[order], part[order]
-                shared = _shared_prefix(keys)
-                shared[np.concatenate([[False], part[1:] != part[:-1]])] = 0
-                new = shared < keys.shape[1]
-                entry = np.cumsum(new) - 1
-                first = np.flatnonzero(new)
-                low = np.minimum.reduceat(doc, first)
-                keys, shared, part = keys[first], shared[first], part[first]
-                yield pd.DataFrame({"kind": [1], "part": [-1], "block": [r.block], "n": [len(first)], "shared": [None],
-                                    "tails": [None], "docs": [_pack(low)], "places": [_pack(at)], "entries": [_pack(entry)]})
-                bounds = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
+                s = _Suffixes(r, bits, length)
+                bounds = np.flatnonzero(np.concatenate([[True], s.part[1:] != s.part[:-1], [True]])) if len(s.part) else []
                 made = []
                 for lo, hi in zip(bounds[:-1], bounds[1:]):
-                    tails = keys[lo:hi][np.arange(keys.shape[1]) >= shared[lo:hi, None]]
-                    made.append((0, int(part[lo]), r.block, int(hi - lo), _pack(shared[lo:hi].astype(np.uint8)),
-                                 _pack(tails), _pack(low[lo:hi]), None, None))
-                yield pd.DataFrame(made, columns=["kind", "part", "block", "n", "shared", "tails", "docs", "places", "entries"])
+                    tails = s.keys[lo:hi][np.arange(s.keys.shape[1]) >= s.shared[lo:hi, None]]
+                    made.append((int(s.part[lo]), r.block, int(hi - lo), _pack(s.shared[lo:hi].astype(np.uint8)),
+                                 _pack(tails), _pack(s.low[lo:hi])))
+                yield pd.DataFrame(made, columns=["part", "block", "n", "shared", "tails", "docs"])
 
-    by_block = flags.groupBy("block").agg(F.collect_list(F.struct("bucket", "flags")).alias("flags"))
-    return blocks.join(by_block, "block").select("block", "ids", "sizes", "data", "flags").mapInPandas(
-        run, "kind int, part int, block long, n int, shared binary, tails binary, docs binary, places binary, entries binary")
+    return flagged.mapInPandas(run, "part int, block long, n int, shared binary, tails binary, docs binary")
 
 
 def _decoded(shared: list[int], tails: bytes, width: int) -> Iterator[tuple[int, bytes]]:
@@ -398,37 +416,34 @@ def earlier_strings(runs: DataFrame, length: int) -> DataFrame:
         back = np.split(both, np.cumsum(rows["n"].to_numpy())[:-1])
         return pd.DataFrame({"block": rows["block"], "part": rows["part"], "offsets": [_pack(b) for b in back]})
 
-    return (runs.where("kind = 0").select("part", "block", "n", "shared", "tails", "docs")
-            .groupBy("part").applyInPandas(merge, "block long, part int, offsets binary"))
+    return runs.groupBy("part").applyInPandas(merge, "block long, part int, offsets binary")
 
 
-def _covered(size, ends, ids, length, r) -> np.ndarray:
-    """Which bytes of a block go."""
-    marks = np.zeros(size + 1, np.int32)
-    if r.places is not None:
-        at, entry, low = _unpack(r.places, np.int64), _unpack(r.entries, np.int64), _unpack(r.docs, np.int64)
-        offsets = np.concatenate([_unpack(o["offsets"], np.uint8).reshape(-1, 2)
-                                  for o in sorted(r.offsets, key=lambda o: o["part"])])[entry].astype(np.int64)
-        doc = np.searchsorted(ends, at, "right")
-        later = ids[doc] > low[entry]  # the entry's own first document has all its strings
-        least = np.where(later, np.maximum(0, length - (ends[doc] - at)), offsets[:, 0])
-        most = np.where(later, np.minimum(length - GRAM, at - np.concatenate([[0], ends])[doc]), offsets[:, 1])
+def _covered(r, bits: int, length: int) -> tuple[_Suffixes, np.ndarray]:
+    """A block's suffixes, and which of its bytes go."""
+    s = _Suffixes(r, bits, length)
+    marks = np.zeros(len(s.data) + 1, np.int32)
+    if len(s.at):
+        offsets = np.concatenate([_unpack(o["offsets"], np.uint8).reshape(-1, 2) for o in
+                                  sorted(r.offsets, key=lambda o: o["part"])])[s.entry].astype(np.int64)
+        later = s.doc > s.low[s.entry]  # the entry's own first document has all its strings
+        least, most = np.where(later, s.least, offsets[:, 0]), np.where(later, s.most, offsets[:, 1])
         use = least <= most
         # strings around one anchor overlap, so together they are one stretch
-        np.add.at(marks, (at - most)[use], 1)
-        np.add.at(marks, (at - least + length)[use], -1)
-    return np.cumsum(marks[:-1]) > 0
+        np.add.at(marks, (s.at - most)[use], 1)
+        np.add.at(marks, (s.at - least + length)[use], -1)
+    return s, np.cumsum(marks[:-1]) > 0
 
 
-def without_covered(blocks: DataFrame, runs: DataFrame, offsets: DataFrame, length: int) -> DataFrame:
+def without_covered(flagged: DataFrame, offsets: DataFrame, bits: int, length: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for r in rows.itertuples():
-                data, ends, ids = _read_block(r)
-                gone = _covered(len(data), ends, ids, length, r)
+                s, gone = _covered(r, bits, length)
+                data, ends, ids = s.data, s.ends, s.ids
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 total = np.concatenate([[0], np.cumsum(gone)])
-                begins = gone & ~np.concatenate([[False], gone[:-1]])
+                begins = gone & ~np.concatenate([[False], gone[:-1]])[:len(gone)]
                 begins[starts[starts < len(gone)]] = gone[starts[starts < len(gone)]]
                 spans = np.concatenate([[0], np.cumsum(begins)])
                 removed = total[ends] - total[starts]
@@ -437,9 +452,8 @@ def without_covered(blocks: DataFrame, runs: DataFrame, offsets: DataFrame, leng
                 yield pd.DataFrame({"doc_id": ids, "n_bytes": ends - starts, "n_removed": removed,
                                     "n_spans": spans[ends] - spans[starts], "kept": kept})
 
-    places = runs.where("kind = 1").select("block", "docs", "places", "entries")
     found = offsets.groupBy("block").agg(F.collect_list(F.struct("part", "offsets")).alias("offsets"))
-    return blocks.join(places.join(found, "block"), "block", "left").mapInPandas(
+    return flagged.join(found, "block", "left").mapInPandas(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
@@ -454,9 +468,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     expected = total * 2 // (length - GRAM + 2)
     bits = max(2, (expected // BUCKET).bit_length())
     width = min(8 - (bits + 7) // 8, max(4, (total.bit_length() + 12 - bits + 7) // 8))
-    flags = repeated_anchors(blocks, bits, width, length)
-    runs = written(suffix_runs(blocks, flags, bits, length), "suffix-runs")
-    out = without_covered(blocks, runs, earlier_strings(runs, length), length)
+    flags = written(repeated_anchors(blocks, bits, width, length), "suffix-flags")
+    flags = flags.groupBy("block").agg(F.collect_list(F.struct("bucket", "flags")).alias("flags"))
+    flagged = blocks.join(flags, "block", "left").select("block", "ids", "sizes", "data", "flags")
+    offsets = written(earlier_strings(suffix_runs(flagged, bits, length), length), "suffix-offsets")
+    out = without_covered(flagged, offsets, bits, length)
     alone = rows.where("doc_id is null").select(
         "doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("kept"))
     return out.union(alone.select("doc_id", F.octet_length("kept").cast("long"), F.lit(0).cast("long"),
