@@ -61,11 +61,6 @@ def hex_key(c) -> Column:
     return F.conv(_col(c), 16, 10).cast("decimal(20,0)")
 
 
-def hex_sort_key(c, width: int = 16) -> Column:
-    """Order-preserving string key for hex ids of any length."""
-    return F.lpad(F.lower(_col(c)), width, "0")
-
-
 def hex_id(c, width: int = 16) -> Column:
     """Zero-padded lower-case hex string of an integer id."""
     return F.lpad(F.lower(F.hex(_col(c))), width, "0")

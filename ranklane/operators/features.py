@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ranklane.functions import text as tx
 from ranklane.functions.constants import (LM_ABS_DELTA, LM_DIR_MU, LM_JM_LAMBDA, N_TOPICS,
-                                          QD_BM25_B, QD_BM25_K1, QD_FEATURE_NAMES, TEXT_LENGTH_LIMIT,
+                                          QD_BM25_B, QD_BM25_K1, QD_FEATURE_NAMES,
                                           feature_index)
 from ranklane.operators import stats as st
 from ranklane.operators.joins import sized_join
@@ -40,14 +40,18 @@ def judged_queries(judgements: DataFrame, queries: DataFrame) -> DataFrame:
     return queries.join(judgements.select("query_id").distinct(), "query_id", "left_semi")
 
 
-def doc_details(docs: DataFrame, suffixes: list[str], limit: int = TEXT_LENGTH_LIMIT) -> DataFrame:
+def _short(c: str, limit: int | None):
+    return tx.shorten_text(c, limit) if limit else F.col(c)
+
+
+def doc_details(docs: DataFrame, suffixes: list[str], limit: int | None = None) -> DataFrame:
     """(doc_id, title_tokens, text_tokens, sentence_count, sld, url) — row-local."""
     host = tx.url_host("url")
     return docs.select(
         "doc_id", "url",
-        tx.tokenize(tx.shorten_text("title", limit)).alias("title_tokens"),
-        tx.tokenize(tx.shorten_text("text", limit)).alias("text_tokens"),
-        tx.sentence_count(tx.shorten_text("text", limit)).alias("sentence_count"),
+        tx.tokenize(_short("title", limit)).alias("title_tokens"),
+        tx.tokenize(_short("text", limit)).alias("text_tokens"),
+        tx.sentence_count(_short("text", limit)).alias("sentence_count"),
         tx.registrable_domain(host, suffixes).alias("sld"),
     )
 
@@ -60,9 +64,9 @@ def detail_field_tokens(details: DataFrame) -> DataFrame:
     )).alias("ft")).select("doc_id", "ft.field", "ft.tokens")
 
 
-def query_details(queries: DataFrame, limit: int = TEXT_LENGTH_LIMIT) -> DataFrame:
-    """(query_id, tokens) — lower-cased tokens of the shortened query."""
-    return queries.select("query_id", tx.tokenize(tx.shorten_text("text", limit)).alias("tokens"))
+def query_details(queries: DataFrame, limit: int | None = None) -> DataFrame:
+    """(query_id, tokens) — lower-cased tokens of the query."""
+    return queries.select("query_id", tx.tokenize(_short("text", limit)).alias("tokens"))
 
 
 def query_valid_terms(qdetails: DataFrame, stop_words=None) -> DataFrame:
@@ -132,9 +136,13 @@ def d_features(details: DataFrame, sld_counts: DataFrame, stop_words=None) -> Da
 
 def with_topics(dfeat: DataFrame, topic_proba: DataFrame, n_topics: int = N_TOPICS) -> DataFrame:
     """Insert the topic block (columns topic_0..topic_{n-1}) between the
-    leading and trailing D features; missing documents get 0."""
-    tp = topic_proba.select("doc_id", *[F.get("probability", i).alias(f"topic_{i}")
-                                        for i in range(n_topics)])
+    leading and trailing D features; missing documents get 0. ``n_topics`` is
+    the number of classes: any other width of a document's probabilities fails."""
+    width = F.size("probability")
+    right = F.when(width == n_topics, F.col("probability")).otherwise(F.raise_error(F.concat(
+        F.lit(f"{n_topics} topic columns for "), width.cast("string"), F.lit(" classes"))).cast("array<double>"))
+    tp = topic_proba.select("doc_id", right.alias("__p")).select(
+        "doc_id", *[F.get("__p", i).alias(f"topic_{i}") for i in range(n_topics)])
     j = dfeat.join(tp, "doc_id", "left")
     return j.select("doc_id", *D_BASE_NAMES,
                     *[F.coalesce(f"topic_{i}", F.lit(0.0)).alias(f"topic_{i}") for i in range(n_topics)],

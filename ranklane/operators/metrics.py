@@ -27,6 +27,12 @@ def _judged(run: DataFrame, qrels: DataFrame, keys) -> DataFrame:
         "__rel", F.coalesce("__rel", F.lit(0)))
 
 
+def _every_list(values: DataFrame, qrels: DataFrame, keys) -> DataFrame:
+    """``values`` for every judged list, also one that the run has no row for
+    (its value is 0)."""
+    return qrels.select(*keys, "query_id").distinct().join(values, [*keys, "query_id"], "left")
+
+
 def ndcg_at_k(run: DataFrame, qrels: DataFrame, k: int = CUTOFF, keys=(),
               gain: str = "linear") -> DataFrame:
     """nDCG@k per list (W9): DCG of the run's top k over the ideal DCG of the
@@ -44,8 +50,8 @@ def ndcg_at_k(run: DataFrame, qrels: DataFrame, k: int = CUTOFF, keys=(),
              .withColumn("__r", F.row_number().over(wi)).where(F.col("__r") <= k)
              .groupBy(*keys, "query_id")
              .agg(F.sum(g(F.col("relevance")) / F.log2(F.col("__r") + 1)).alias("idcg")))
-    out = dcg.join(ideal, [*keys, "query_id"], "left")
-    val = F.when(F.coalesce("idcg", F.lit(0.0)) > 0, F.col("dcg") / F.col("idcg")).otherwise(F.lit(0.0))
+    out = _every_list(dcg, qrels, keys).join(ideal, [*keys, "query_id"], "left")
+    val = F.when(F.coalesce("idcg", F.lit(0.0)) > 0, F.coalesce("dcg", F.lit(0.0)) / F.col("idcg")).otherwise(F.lit(0.0))
     return out.select(*keys, "query_id", F.lit(f"nDCG@{k}").alias("metric"), val.alias("value"))
 
 
@@ -61,9 +67,10 @@ def err_at_k(run: DataFrame, qrels: DataFrame, k: int = CUTOFF, keys=()) -> Data
          .rowsBetween(Window.unboundedPreceding, -1))
     ranked = ranked.withColumn("__r", r)
     p = F.coalesce(F.exp(F.sum(F.ln(F.lit(1.0) - F.col("__r"))).over(w)), F.lit(1.0))
-    return (ranked.withColumn("__c", p * F.col("__r") / F.col("rank"))
-            .groupBy(*keys, "query_id").agg(F.sum("__c").alias("value"))
-            .select(*keys, "query_id", F.lit(f"ERR@{k}").alias("metric"), "value"))
+    sums = (ranked.withColumn("__c", p * F.col("__r") / F.col("rank"))
+            .groupBy(*keys, "query_id").agg(F.sum("__c").alias("value")))
+    return _every_list(sums, qrels, keys).select(*keys, "query_id", F.lit(f"ERR@{k}").alias("metric"),
+                                                 F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def map_metric(run: DataFrame, qrels: DataFrame, rel: int = MAP_REL_THRESHOLD, keys=()) -> DataFrame:
@@ -79,8 +86,8 @@ def map_metric(run: DataFrame, qrels: DataFrame, rel: int = MAP_REL_THRESHOLD, k
         F.sum(F.when(F.col("__hit") == 1, F.col("__p")).otherwise(F.lit(0.0))).alias("__s"))
     n_rel = (qrels.where(F.col("relevance") >= rel)
              .groupBy(*keys, "query_id").agg(F.count("*").alias("__n")))
-    out = ap_sum.join(n_rel, [*keys, "query_id"], "left")
-    val = F.when(F.coalesce("__n", F.lit(0)) > 0, F.col("__s") / F.col("__n")).otherwise(F.lit(0.0))
+    out = _every_list(ap_sum, qrels, keys).join(n_rel, [*keys, "query_id"], "left")
+    val = F.when(F.coalesce("__n", F.lit(0)) > 0, F.coalesce("__s", F.lit(0.0)) / F.col("__n")).otherwise(F.lit(0.0))
     return out.select(*keys, "query_id", F.lit("AP").alias("metric"), val.alias("value"))
 
 

@@ -38,8 +38,9 @@ def relevant_doc_counts(qrels: DataFrame) -> DataFrame:
 
 
 def relevant_docs(qrels: DataFrame) -> DataFrame:
-    """Sorted set of relevant docs per query (A1)."""
-    return qrels.groupBy("query_id").agg(F.sort_array(F.collect_set("doc_id")).alias("doc_ids"))
+    """The relevant documents of each query, one row per member (A1): a query
+    with very many is no oversized row."""
+    return qrels.select("query_id", "doc_id").distinct()
 
 
 def positive_count_hist(counts: DataFrame) -> DataFrame:

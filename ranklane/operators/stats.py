@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ranklane.functions.constants import TEXT_LENGTH_LIMIT
 from ranklane.functions.text import is_valid_token, shorten_text, tokenize
 from ranklane.operators.common import one_row
 
 FIELDS = ("title", "text")
 
 
-def field_token_arrays(docs: DataFrame, fields=FIELDS, limit: int | None = TEXT_LENGTH_LIMIT) -> DataFrame:
-    """(doc_id, field, tokens ARRAY) — one row per document field (P8 + P9).
+def field_token_arrays(docs: DataFrame, fields=FIELDS, limit: int | None = None) -> DataFrame:
+    """(doc_id, field, tokens ARRAY) — one row per document field (P8 + P9),
+    of the whole field unless a ``limit`` of characters is asked for.
     Empty or NULL fields keep a row with an empty array (they count in dn)."""
     rows = []
     for f in fields:

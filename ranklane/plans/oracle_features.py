@@ -10,7 +10,6 @@ from ranklane.functions.constants import (DEFAULT_PUBLIC_SUFFIXES, LM_ABS_DELTA,
 from ranklane.plans.oracle_views import tok, valid, view
 
 PSL = "[" + ", ".join(f"'{s}'" for s in DEFAULT_PUBLIC_SUFFIXES) + "]"
-L = 15000
 
 
 def sld_from(src: str) -> str:
@@ -33,9 +32,9 @@ SENT = r"'[.!?]+(\s|$)'"
 view("jdocs", "SELECT * FROM docs_web WHERE doc_id IN (SELECT doc_id FROM judgements_webf)")
 view("jdetails", f"""
 SELECT d.doc_id, d.url,
-       {tok(f"substring(d.title, 1, {L})")} AS title_tokens,
-       {tok(f"substring(d.text, 1, {L})")} AS text_tokens,
-       len(list_filter(regexp_split_to_array(coalesce(substring(d.text, 1, {L}), ''), {SENT}),
+       {tok("d.title")} AS title_tokens,
+       {tok("d.text")} AS text_tokens,
+       len(list_filter(regexp_split_to_array(coalesce(d.text, ''), {SENT}),
                        lambda x: length(trim(x)) > 0)) AS sentence_count,
        s.sld
 FROM jdocs d JOIN ({sld_from('jdocs')}) s ON s.doc_id = d.doc_id
@@ -63,7 +62,7 @@ SELECT doc_id, field, len({valid('tokens')}) AS dlen, len(list_distinct({valid('
 """)
 view("jsld", "SELECT sld, count(*) AS n FROM jdetails GROUP BY sld")
 view("jqdet", f"""
-SELECT query_id, {tok(f"substring(text, 1, {L})")} AS tokens
+SELECT query_id, {tok("text")} AS tokens
 FROM queries_web WHERE query_id IN (SELECT query_id FROM judgements_webf)
 """)
 view("jqterms", f"""

@@ -82,9 +82,9 @@ view("psl", "SELECT unnest([" + ", ".join(f"'{s}'" for s in DEFAULT_PUBLIC_SUFFI
 
 # ---- token tables (P8-P10, A4-A6) ------------------------------------------
 view("field_tokens_web", f"""
-SELECT doc_id, 'title' AS field, {tok("substring(title, 1, 15000)")} AS tokens FROM docs_web
+SELECT doc_id, 'title' AS field, {tok("title")} AS tokens FROM docs_web
 UNION ALL
-SELECT doc_id, 'text' AS field, {tok("substring(text, 1, 15000)")} AS tokens FROM docs_web
+SELECT doc_id, 'text' AS field, {tok("text")} AS tokens FROM docs_web
 """)
 view("tf_web", """
 SELECT doc_id, field, term, count(*) AS tf
@@ -219,9 +219,13 @@ WHERE text <> ''
 view("docs_webf", "SELECT * FROM docs_web WHERE doc_id IN (SELECT doc_id FROM kept_docs_web)")
 bm25_views("webf")
 view("ranked_webf", """
+SELECT * FROM bm25_topk_webf WHERE query_id IN (
+  SELECT DISTINCT query_id FROM bm25_topk_webf)
+""")
+view("sampled_webf", """
 SELECT * FROM bm25_topk_webf WHERE query_id IN (
   SELECT query_id FROM (SELECT DISTINCT query_id FROM bm25_topk_webf)
-  ORDER BY md5('42:' || query_id) LIMIT 360000)
+  ORDER BY md5('42:' || query_id), query_id LIMIT 20)
 """)
 view("negatives_webf", """
 SELECT query_id, doc_id, rank FROM (

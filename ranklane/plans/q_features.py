@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from ranklane.functions.constants import DEFAULT_PUBLIC_SUFFIXES, QD_FEATURE_NAMES
 from ranklane.operators import features as fx
 from ranklane.plans import oracle_features  # noqa: F401  (registers the oracle views)
-from ranklane.plans.q_judge import judgement_table
+from ranklane.plans.q_judge import JUDGEMENTS_VERSION, judgement_table
 from ranklane.plans.registry import finish, register
 from ranklane.sources.tables import web_collection
 
+#: raise with any change of what the stage computes
+FEATURES_VERSION = 2
 
 
 def feature_stage(spark, sf_dir):
@@ -22,14 +24,13 @@ def feature_stage(spark, sf_dir):
 
 
 def feature_table(spark, sf_dir):
-    """The assembled feature rows, materialised once per input folder in the
-    shared checkpoint folder (a finished copy is reused: stage skip, S20)."""
-    import hashlib
-
+    """The assembled feature rows, materialised once per state of the input
+    and version in the shared checkpoint folder (a finished copy is reused:
+    stage skip, S20)."""
     from ranklane.session import checkpoint_dir
-    from ranklane.sources.formats import materialize
-    from ranklane.sources.formats import has_success
-    path = f"{checkpoint_dir(spark)}/features-{hashlib.md5(sf_dir.encode()).hexdigest()[:12]}"
+    from ranklane.sources.formats import has_success, materialize, stage_path
+    path = stage_path(spark, checkpoint_dir(spark), "features", FEATURES_VERSION,
+                      [f"{sf_dir.rstrip('/')}/pages.parquet"], judgements=JUDGEMENTS_VERSION)
     if has_success(spark, path):
         return spark.read.parquet(path)
     return materialize(feature_stage(spark, sf_dir)["features"], path)

@@ -60,20 +60,23 @@ TOPIC_TSV_SCHEMA = T.StructType([
 ])
 TOPIC_TSV_SQL = r"""
 SELECT doc_id, lang AS language, (doc_id % 10) / 10.0 AS language_confidence,
-       substring(regexp_replace(text, '[\t\n\r]', ' ', 'g'), 1, 20) AS title,
-       substring(regexp_replace(text, '[\t\n\r]', ' ', 'g'), 21, 100) AS description,
+       regexp_replace(string_split(text, chr(10))[1], '[\t\r]', ' ', 'g') AS title,
+       regexp_replace(array_to_string(string_split(text, chr(10))[2:], ' '), '[\t\r]', ' ', 'g') AS description,
        source AS topic_main
 FROM documents
 """
 
 
 def topic_tsv(spark, sf_dir):
-    """The topic-training TSV built from ``documents`` (tabs/newlines → blanks)."""
+    """The topic-training TSV built from ``documents``: the first line is the
+    title, all others the description (tabs/newlines → blanks)."""
     d = read_table(spark, sf_dir, "documents")
-    clean = F.regexp_replace("text", r"[\t\n\r]", " ")
+    lines = F.split("text", "\n")
+    rest = F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), " ")
+    flat = lambda c: F.regexp_replace(c, r"[\t\r]", " ")
     return d.select("doc_id", F.col("lang").alias("language"),
                     ((F.col("doc_id") % 10) / 10.0).alias("language_confidence"),
-                    F.substring(clean, 1, 20).alias("title"), F.substring(clean, 21, 100).alias("description"),
+                    flat(F.get(lines, 0)).alias("title"), flat(rest).alias("description"),
                     F.col("source").alias("topic_main"))
 
 

@@ -31,13 +31,13 @@ def shorten_text(spark, sf_dir):
 
 
 @register("sentence_count", r"""
-SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(substring(text, 1, 15000), ''), '[.!?]+(\s|$)'),
+SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[.!?]+(\s|$)'),
                                lambda x: length(trim(x)) > 0)) AS sentence_count
 FROM docs_web
 """, ("docs_web",))
 def sentence_count(spark, sf_dir):
     return finish(_docs(spark, sf_dir).select(
-        "doc_id", tx.sentence_count(tx.shorten_text("text")).alias("sentence_count")))
+        "doc_id", tx.sentence_count("text").alias("sentence_count")))
 
 
 @register("url_host", """
@@ -119,23 +119,27 @@ def detect_languages(spark, sf_dir):
 
 # ---- judgements (declared page languages feed the filters) ------------------
 
-def _stage(spark, sf_dir):
+def _stage(spark, sf_dir, **options):
     c = web_collection(spark, sf_dir)
     doc_lang, query_lang = declared_languages(c.docs)
-    return judgements_stage(c, doc_lang, query_lang)
+    return judgements_stage(c, doc_lang, query_lang, **options)
 
 
-def judgement_table(spark, sf_dir):
-    """The judgements, materialised once per input folder in the shared
-    checkpoint folder; later stages read the finished copy (stage skip, S20)."""
-    import hashlib
+#: raise with any change of what the stage computes
+JUDGEMENTS_VERSION = 2
 
+
+def judgement_table(spark, sf_dir, **options):
+    """The judgements, materialised once per state of the input, parameters
+    and version in the shared checkpoint folder; later stages read the
+    finished copy (stage skip, S20)."""
     from ranklane.session import checkpoint_dir
-    from ranklane.sources.formats import has_success, materialize
-    path = f"{checkpoint_dir(spark)}/judgements-{hashlib.md5(sf_dir.encode()).hexdigest()[:12]}"
+    from ranklane.sources.formats import has_success, materialize, stage_path
+    path = stage_path(spark, checkpoint_dir(spark), "judgements", JUDGEMENTS_VERSION,
+                      [f"{sf_dir.rstrip('/')}/pages.parquet"], **options)
     if has_success(spark, path):
         return spark.read.parquet(path)
-    return materialize(_stage(spark, sf_dir)["judgements"], path)
+    return materialize(_stage(spark, sf_dir, **options)["judgements"], path)
 
 
 @register("filter_docs_by_lang", "SELECT doc_id FROM kept_docs_web", ("kept_docs_web",))
@@ -154,15 +158,12 @@ def filter_qrels(spark, sf_dir):
 
 
 @register("relevant_docs", """
-SELECT query_id, count(DISTINCT doc_id) AS n_docs, array_to_string(list_sort(list(DISTINCT doc_id)), ',') AS doc_ids
+SELECT DISTINCT query_id, doc_id
 FROM (SELECT query_id, doc_id FROM qrels_web UNION ALL SELECT query_id, doc_id FROM qrels_conv)
-GROUP BY query_id
 """, ("qrels_web", "qrels_conv"))
 def relevant_docs(spark, sf_dir):
     q = web_collection(spark, sf_dir).qrels.unionByName(conv_collection(spark, sf_dir).qrels)
-    r = qr.relevant_docs(q)
-    return finish(r.select("query_id", F.size("doc_ids").alias("n_docs"),
-                           F.array_join("doc_ids", ",").alias("doc_ids")))
+    return finish(qr.relevant_docs(q))
 
 
 @register("queries_with_positives", """
@@ -204,10 +205,11 @@ def positive_count_hist(spark, sf_dir):
 
 
 @register("rank_sampled_queries", """
-SELECT query_id, doc_id, round(score, 6) + 0.0 AS score, rank FROM ranked_webf
-""", ("ranked_webf",))
+SELECT query_id, doc_id, round(score, 6) + 0.0 AS score, rank FROM sampled_webf
+""", ("sampled_webf",))
 def rank_sampled_queries(spark, sf_dir):
-    return finish(_stage(spark, sf_dir)["ranked"])
+    """A limit that binds: 20 of the queries with hits, in seeded order."""
+    return finish(_stage(spark, sf_dir, query_limit=20)["ranked"])
 
 
 @register("negatives_topn", "SELECT query_id, doc_id, rank FROM negatives_webf", ("negatives_webf",))

@@ -113,17 +113,17 @@ def rank_by_score(spark, sf_dir):
 
 
 NDCG_SLICE_SQL = f"""
-SELECT r.query_id, 'nDCG@{CUTOFF}' AS metric,
-       {r6("CASE WHEN coalesce(i.idcg, 0) > 0 THEN r.dcg / i.idcg ELSE 0.0 END")} AS value
-FROM (SELECT t.query_id,
+SELECT j.query_id, 'nDCG@{CUTOFF}' AS metric,
+       {r6("CASE WHEN coalesce(i.idcg, 0) > 0 THEN coalesce(r.dcg, 0) / i.idcg ELSE 0.0 END")} AS value
+FROM (SELECT DISTINCT query_id FROM qrels_web) j LEFT JOIN (SELECT t.query_id,
              sum(CASE WHEN q.doc_id IS NULL THEN 0 ELSE 1 END / log2(t.rank + 1)) AS dcg
       FROM bm25_topk_web t LEFT JOIN qrels_web q ON q.query_id = t.query_id AND q.doc_id = t.doc_id
       WHERE t.rank <= {CUTOFF}
-      GROUP BY t.query_id) r
+      GROUP BY t.query_id) r ON r.query_id = j.query_id
 LEFT JOIN (SELECT query_id, sum(1.0 / log2(rn + 1)) AS idcg
            FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rn
                  FROM qrels_web) WHERE rn <= {CUTOFF} GROUP BY query_id) i
-  ON i.query_id = r.query_id
+  ON i.query_id = j.query_id
 """
 
 

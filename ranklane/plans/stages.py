@@ -34,7 +34,7 @@ class JudgementStage:
 
     def __init__(self, coll: Collection, doc_lang: DataFrame, query_lang: DataFrame,
                  labels=("en",), negatives: int = NEGATIVE_COUNT,
-                 query_limit: int = 360_000, seed: int = SEED):
+                 query_limit: int | None = None, seed: int = SEED):
         self.coll, self.labels = coll, list(labels)
         self.doc_lang, self.query_lang = doc_lang, query_lang
         self.negatives, self.query_limit, self.seed = negatives, query_limit, seed

@@ -11,24 +11,27 @@ from pyspark.sql import SparkSession
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "ranklane") -> SparkSession:
     """Session tuned for the library: AQE on (coalescing, skew-join splitting),
-    UI off, UTC, ANSI semantics kept (the library guards divisions itself)."""
+    UI off, UTC, ANSI semantics kept (the library guards divisions itself).
+    Settings given from outside (spark-submit, defaults file) are kept; master,
+    memory and shuffle partitions are chosen for a local run alone."""
+    from pyspark import SparkConf
+    given = SparkConf()  # what spark-submit and spark-defaults.conf have set
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    master = master or f"local[{cpus}]"
-    parts = shuffle_partitions or cpus
-    spark = (
-        SparkSession.builder.master(master)
-        .appName(app_name)
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", os.environ.get("RANKLANE_DRIVER_MEMORY", "16g"))
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
-    )
+    builder = SparkSession.builder.appName(app_name)
+    if master is not None or not given.contains("spark.master"):
+        builder = builder.master(master or f"local[{cpus}]")
+    local = (master or given.get("spark.master", "local")).split("[")[0] == "local"
+    wanted = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+              "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.coalescePartitions.enabled": "true",
+              "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC",
+              "spark.sql.execution.arrow.pyspark.enabled": "true"}
+    if local:
+        wanted |= {"spark.sql.shuffle.partitions": str(cpus),
+                   "spark.driver.memory": os.environ.get("RANKLANE_DRIVER_MEMORY", "8g")}
+    wanted = {k: v for k, v in wanted.items() if not given.contains(k)}
+    if shuffle_partitions:
+        wanted["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    spark = builder.config(map=wanted).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
     return spark

@@ -22,6 +22,30 @@ def has_success(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
+def input_state(spark: SparkSession, paths: list[str]) -> list[tuple[str, int, int]]:
+    """(path, bytes, modification time) of every file below ``paths``."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        files = p.getFileSystem(conf).listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(out)
+
+
+def stage_path(spark: SparkSession, base: str, name: str, version: int, paths: list[str], **params) -> str:
+    """Where a stage's result belongs: a folder named by the input files with
+    their sizes and times, the parameters and the version of its code, so a
+    changed input, parameter or version never finds an old result (S20)."""
+    import hashlib
+    import json
+    state = json.dumps([version, input_state(spark, paths), params], sort_keys=True, default=str)
+    return f"{base}/{name}-{hashlib.sha256(state.encode()).hexdigest()[:20]}"
+
+
 def materialize(df: DataFrame, path: str, override: bool = False) -> DataFrame:
     """Write ``df`` as Parquet unless a finished copy (``_SUCCESS``) exists,
     then read it back: a stage computed once, surviving lost executors.
