@@ -87,19 +87,32 @@ def char_grams(c, n: int = 3) -> Column:
 
 
 def registrable_domain(host, suffixes: list[str]) -> Column:
-    """Longest public-suffix match plus one label (P13). Without a match the
-    last label is the suffix (the implicit ``*`` rule); a host that is itself
-    a suffix is returned whole; NULL host → NULL. The suffix list is a
-    bounded parameter evaluated as a hash-set membership test per row, so no
-    join or shuffle is needed."""
+    """Public suffix plus one label (P13). The suffix is the longest rule that
+    matches: a plain rule, a wildcard (``*.ck``: any one label below) or, before
+    all others, an exception (``!www.ck``: the suffix is what follows its first
+    label). Without a match the last label is the suffix; a host that is
+    itself a suffix is returned whole; NULL host → NULL. The rules are a bounded
+    parameter evaluated as set membership per row, so no join is needed."""
     h = _col(host)
+    plain = [r for r in suffixes if r[:1] not in "*!"]
+    wild = [r[2:] for r in suffixes if r.startswith("*.")]
+    exempt = [r[1:] for r in suffixes if r.startswith("!")]
     labels = F.split(h, r"\.")
     n = F.size(labels)
-    depths = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda d: F.when(F.array_join(F.slice(labels, n - d + 1, d), ".").isin(*suffixes), d)
-        .otherwise(F.lit(0)))
-    ps = F.greatest(F.coalesce(F.array_max(depths), F.lit(0)), F.lit(1))
+
+    def among(depth: Column, rules: list[str]) -> Column:
+        return F.array_join(F.slice(labels, n - depth + 1, depth), ".").isin(*rules) if rules else F.lit(False)
+
+    def longest(match) -> Column:
+        found = F.transform(F.sequence(F.lit(1), n), lambda d: F.when(match(d), d).otherwise(F.lit(0)))
+        return F.coalesce(F.array_max(found), F.lit(0))
+
+    ps = F.greatest(longest(lambda d: among(d, plain)), F.lit(1))
+    if wild:
+        ps = F.greatest(ps, longest(lambda d: (d > 1) & among(F.greatest(d - 1, F.lit(1)), wild)))
+    if exempt:
+        spared = longest(lambda d: among(d, exempt))
+        ps = F.when(spared > 0, spared - 1).otherwise(ps)
     take = F.least(ps + 1, n)
     return F.when(h.isNull(), F.lit(None).cast("string")).otherwise(
         F.array_join(F.slice(labels, n - take + 1, take), "."))

@@ -76,8 +76,9 @@ def kmeans_domains(vectors: DataFrame, k: int, seeds=range(10), key: str = "quer
 
 
 def domain_members(assign: DataFrame, key: str = "query_id") -> DataFrame:
-    """Sorted member list per domain."""
-    return assign.groupBy("domain_id").agg(F.sort_array(F.collect_list(key)).alias("members"))
+    """The members of each domain, one row per member (A12): a domain with a
+    large share of all queries is no oversized row."""
+    return assign.select("domain_id", key).distinct()
 
 
 def rank_within(df: DataFrame, group: str, order: list, out: str = "rn") -> DataFrame:
@@ -121,18 +122,20 @@ def split_domains(spark, n_domains: int, train_rate: float = TRAIN_RATE, valid_r
 def divide_dataset(features: DataFrame, query_split: DataFrame, domain_split: DataFrame,
                    idx: list[int]) -> DataFrame:
     """(meta_step, domain_id, step, relevance, query_id, doc_id, s0…).
-    Both lookups are keyed joins; the domain table has one row per domain
-    (bounded by the domain count) and is broadcast."""
+    Both lookups are keyed joins. A query without a domain, or a domain
+    without a step, is an error, not a dropped row."""
     sub = features.select("relevance", "query_id", "doc_id",
                           *[F.col(f"f{i}").alias(f"s{k}") for k, i in enumerate(idx)])
-    j = sub.join(query_split, "query_id").join(F.broadcast(domain_split), "domain_id")
-    return j.select("meta_step", "domain_id", "step", "relevance", "query_id", "doc_id",
-                    *[f"s{k}" for k in range(len(idx))])
+    found = query_split.join(domain_split, "domain_id", "left").select(
+        "query_id", "step", "domain_id", "meta_step")
+    j = sub.join(found, "query_id", "left")
 
+    def known(c):
+        missing = F.raise_error(F.concat(F.lit(f"no {c} for query "), F.col("query_id")))
+        return F.when(F.col(c).isNull(), missing.cast(found.schema[c].dataType)).otherwise(F.col(c)).alias(c)
 
-def unknown_queries(features: DataFrame, query_split: DataFrame) -> DataFrame:
-    """Feature rows whose query has no domain (the reference raises)."""
-    return features.join(query_split, "query_id", "left_anti")
+    return j.select(known("meta_step"), known("domain_id"), "step", "relevance", "query_id", "doc_id",
+                    *[f"s{k}" for k in range(len(idx))])
 
 
 def domain_features(divided: DataFrame, positive_only: bool = False, keep=None) -> DataFrame:
@@ -153,13 +156,20 @@ def global_dataset(divided: DataFrame) -> DataFrame:
     return divided.drop("domain_id")
 
 
-# plug-in X2: domain aggregation methods by name
-DOMAIN_AGGREGATIONS = {
-    "from_all_instances": lambda divided: domain_features(divided),
-    "from_positive_instances": lambda divided: domain_features(divided, positive_only=True),
+# plug-in X2: ways to make a domain's vector, by name
+DOMAIN_VECTORS = {
+    "all_rows": domain_features,
+    "positive_rows": lambda divided: domain_features(divided, positive_only=True),
 }
 
 
+def domain_vectors(method: str, divided: DataFrame) -> DataFrame:
+    """Domain vectors by a registered method; an unknown name raises."""
+    if method not in DOMAIN_VECTORS:
+        raise ValueError(f"unknown domain vectors: {method}")
+    return DOMAIN_VECTORS[method](divided)
+
+
 def cluster(method: str, vectors: DataFrame, k: int, key: str = "query_id", seed: int = SEED) -> DataFrame:
     """Plug-in X7: clustering by name. ``equal_freq`` needs a one-column
     vector; an unknown name raises."""

@@ -24,7 +24,6 @@ from ranklane.functions.constants import (LM_ABS_DELTA, LM_DIR_MU, LM_JM_LAMBDA,
                                           QD_BM25_B, QD_BM25_K1, QD_FEATURE_NAMES,
                                           feature_index)
 from ranklane.operators import stats as st
-from ranklane.operators.joins import sized_join
 
 FIELDS = ("title", "text")
 
@@ -89,7 +88,7 @@ def q_features(qdetails: DataFrame, term_stats: DataFrame, coll: dict, stop_word
     an empty query gives 0 everywhere."""
     toks = qdetails.select("query_id", F.explode("tokens").alias("term"))
     ts = _stats_for_terms(term_stats, toks)
-    j = sized_join(toks, ts, "term", "left")
+    j = toks.join(ts, "term", "left")
     idf = F.ln(F.lit(float(coll["dn"])) / (F.coalesce("df", F.lit(0)) + 1)) + 1
     icf = F.ln(F.lit(float(coll["cn"])) / (F.coalesce("cf", F.lit(0)) + 1)) + 1
     agg = j.groupBy("query_id").agg(
@@ -161,7 +160,7 @@ def field_stats(field_tokens: DataFrame, stop_words=None) -> DataFrame:
 def qd_matched_terms(pairs: DataFrame, qterms: DataFrame, vpostings: DataFrame) -> DataFrame:
     """(query_id, doc_id, field, term, qtf, tf): query terms present in the
     document field (J12 as an equi-join on (doc_id, term))."""
-    pq = sized_join(pairs.select("query_id", "doc_id"), qterms, "query_id")
+    pq = pairs.select("query_id", "doc_id").join(qterms, "query_id")
     return pq.join(vpostings, ["doc_id", "term"])
 
 
@@ -218,7 +217,7 @@ def qd_features(pairs: DataFrame, qterms: DataFrame, vpostings: DataFrame, fstat
     ts_q = _stats_for_terms(term_stats, qterms)
     matched = (qd_matched_terms(pairs, qterms, vpostings)
                .join(fstats, ["doc_id", "field"]))
-    matched = sized_join(matched, ts_q, "term")
+    matched = matched.join(ts_q, "term")
     aggs = []
     for field in FIELDS:
         for name, c in _fx(field, coll).items():
@@ -229,7 +228,7 @@ def qd_features(pairs: DataFrame, qterms: DataFrame, vpostings: DataFrame, fstat
     m = matched.groupBy("query_id", "doc_id").agg(*aggs)
 
     # query-level parts: qlen and Σ ln p over the distinct query terms
-    qstats = sized_join(qterms, ts_q, "term", "left").groupBy("query_id").agg(
+    qstats = qterms.join(ts_q, "term", "left").groupBy("query_id").agg(
         F.sum("qtf").alias("qlen"),
         F.sum(F.ln((F.coalesce("cf", F.lit(0)) + 1) / F.lit(cn + vocab))).alias("sum_lnp"))
     fs = fstats.groupBy("doc_id").agg(

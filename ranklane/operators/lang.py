@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ranklane.functions.text import char_grams
 from ranklane.operators.common import label_array, one_row
-from ranklane.operators.joins import sized_join
 
 
 def train_profile(labelled: DataFrame, n: int = 3) -> DataFrame:
@@ -46,7 +45,7 @@ def detect(texts: DataFrame, profile: DataFrame, id_col: str = "doc_id", text_co
              .groupBy("__id", "gram").agg(F.count("*").alias("tf")))
     totals = grams.groupBy("__id").agg(F.sum("tf").alias("total"))
     deltas = profile.select("label", "gram", (F.col("logp") - F.col("default")).alias("delta"))
-    seen = (sized_join(grams, deltas, "gram")
+    seen = (grams.join(deltas, "gram")
             .groupBy("__id", "label").agg(F.sum(F.col("tf") * F.col("delta")).alias("part")))
     # one row per (text, label); the label list is bounded by the class count
     labels = [r.asDict() for r in label_defaults(profile).collect()]

@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from ranklane.functions.constants import CUTOFF, MAP_REL_THRESHOLD
 
 
-def rank_by_score(run: DataFrame, keys=()) -> DataFrame:
+def rank_by_score(run: DataFrame, keys=(), k: int | None = None) -> DataFrame:
     """1-based rank by score desc within each list, doc_id breaks ties.
-    Scores are compared at 1e-9 so ties do not depend on summation order."""
+    Scores are compared at 1e-9 so ties do not depend on summation order.
+    With ``k`` only the first ``k`` are kept, cut in each partition before the
+    lists are shuffled."""
     w = Window.partitionBy(*keys, "query_id").orderBy(F.round("score", 9).desc(), F.col("doc_id"))
-    return run.withColumn("rank", F.row_number().over(w))
+    ranked = run.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col("rank") <= F.lit(int(k)))
 
 
 def _judged(run: DataFrame, qrels: DataFrame, keys) -> DataFrame:

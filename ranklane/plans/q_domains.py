@@ -225,13 +225,10 @@ def kmeans_domains(spark, sf_dir):
 
 
 @register("domain_members", """
-SELECT domain_id, count(*) AS n_members, array_to_string(list_sort(list(query_id)), ',') AS members
-FROM qassign GROUP BY domain_id
+SELECT domain_id, query_id FROM qassign
 """, ("qassign",))
 def domain_members(spark, sf_dir):
-    m = dm.domain_members(_assign(spark, sf_dir))
-    return finish(m.select("domain_id", F.size("members").alias("n_members"),
-                           F.array_join("members", ",").alias("members")))
+    return finish(dm.domain_members(_assign(spark, sf_dir)))
 
 
 @register("split_queries", "SELECT query_id, domain_id, step FROM qsplit", ("qsplit",))
@@ -277,13 +274,13 @@ def _dom_sql(filter_sql: str) -> str:
 
 @register("domain_features_all", _dom_sql(""), ("divided",))
 def domain_features_all(spark, sf_dir):
-    return finish(dm.domain_features(_divided(spark, sf_dir)))
+    return finish(dm.domain_vectors("all_rows", _divided(spark, sf_dir)))
 
 
 @register("domain_features_positive",
           _dom_sql("WHERE relevance > 0 AND step IN ('train', 'valid')"), ("divided",))
 def domain_features_positive(spark, sf_dir):
-    return finish(dm.domain_features(_divided(spark, sf_dir), positive_only=True))
+    return finish(dm.domain_vectors("positive_rows", _divided(spark, sf_dir)))
 
 
 @register("zscore_per_query", "SELECT domain_id, query_id, doc_id, idx, z FROM zlong", ("zlong",))

@@ -116,20 +116,31 @@ def stats_map_roundtrip(spark, sf_dir):
 
 def _letor_df(spark, sf_dir):
     d = _divided(spark, sf_dir)
-    vec = F.array(*[F.col(c).cast("decimal(38,6)").cast("string") for c in SCOLS])
-    idx = F.transform(vec, lambda v, i: F.concat((i + 1).cast("string"), F.lit(":"), v))
-    line = F.concat_ws(" ", F.col("relevance").cast("string"),
-                       F.concat(F.lit("qid:"), hex_key("query_id").cast("string")),
-                       F.array_join(idx, " "), F.lit("#"), F.concat(F.lit("doc_id="), F.col("doc_id")))
+    line = io.letor_line(F.col("relevance"), hex_key("query_id"), F.array(*[F.col(c).cast("double") for c in SCOLS]),
+                         F.col("doc_id"))
     return d.select("meta_step", "domain_id", "step", hex_key("query_id").alias("qid_key"),
                     "doc_id", line.alias("line"))
 
 
-LETOR_SQL = ("SELECT meta_step, domain_id, step, concat_ws(' ', CAST(relevance AS VARCHAR), "
-             "'qid:' || CAST(CAST(('0x' || query_id) AS UBIGINT) AS VARCHAR), "
-             + " || ' ' || ".join(f"'{k + 1}:' || CAST(CAST({c} AS DECIMAL(38,6)) AS VARCHAR)"
-                                  for k, c in enumerate(SCOLS))
-             + ", '#', 'doc_id=' || doc_id) AS line FROM divided")
+def _letor_sql(keys):
+    """What lines of full doubles read back to; compared as values, since the
+    engines print exponents differently."""
+    return (f"SELECT {keys}relevance, CAST(CAST(('0x' || query_id) AS UBIGINT) AS VARCHAR) AS qid, "
+            "'doc_id=' || doc_id AS comment, doc_id, "
+            + ", ".join(f"CAST({c} AS DOUBLE) AS v{k}" for k, c in enumerate(SCOLS)) + " FROM divided")
+
+
+def _parsed(lines, keys=()):
+    """Parsed lines beside the columns of their folders."""
+    cols = [F.col(c).alias(c) for c in keys]
+    p = lines.select(*cols, F.col("line").alias("value"))
+    both = io.parse_letor(p, keep=keys)
+    return both.select(*keys, "relevance", "qid", "comment", "doc_id",
+                       *[F.get("features", k).alias(f"v{k}") for k in range(len(LTR))])
+
+
+LETOR_KEYS = ("meta_step", "domain_id", "step")
+LETOR_SQL = _letor_sql("meta_step, domain_id, step, ")
 
 
 @register("letor_write", LETOR_SQL, ("divided",))
@@ -137,21 +148,15 @@ def letor_write(spark, sf_dir):
     path = scratch_path(spark, "letor")
     _letor_df(spark, sf_dir).select("meta_step", "domain_id", "step", "line").write.mode("overwrite") \
         .partitionBy("meta_step", "domain_id", "step").text(path)
-    back = spark.read.schema("line string, meta_step string, domain_id int, step string").text(path)
-    return finish(back.select("meta_step", "domain_id", "step", F.col("value").alias("line"))
-                  if "value" in back.columns else back.select("meta_step", "domain_id", "step", "line"))
+    back = spark.read.schema("value string, meta_step string, domain_id int, step string").text(path)
+    return finish(_parsed(back.withColumnRenamed("value", "line"), LETOR_KEYS))
 
 
-@register("letor_parse", "SELECT relevance, CAST(CAST(('0x' || query_id) AS UBIGINT) AS VARCHAR) AS qid, "
-          "'doc_id=' || doc_id AS comment, doc_id, "
-          + ", ".join(f"CAST(CAST({c} AS DECIMAL(38,6)) AS DOUBLE) AS v{k}" for k, c in enumerate(SCOLS))
-          + " FROM divided", ("divided",))
+@register("letor_parse", _letor_sql(""), ("divided",))
 def letor_parse(spark, sf_dir):
     path = scratch_path(spark, "letor-lines")
     _letor_df(spark, sf_dir).select(F.col("line").alias("value")).write.mode("overwrite").text(path)
-    p = io.parse_letor(spark.read.text(path))
-    return finish(p.select("relevance", "qid", "comment", "doc_id",
-                           *[F.get("features", k).alias(f"v{k}") for k in range(len(LTR))]))
+    return finish(_parsed(spark.read.text(path).withColumnRenamed("value", "line")))
 
 
 @register("weights_roundtrip", """
@@ -191,7 +196,7 @@ def partitioned_ltr_sink(spark, sf_dir):
     io.write_partitioned(_letor_df(spark, sf_dir), path, ["meta_step", "domain_id", "step"], ["qid_key", "doc_id"])
     back = io.read_partitioned(spark, path, "qid_key decimal(20,0), doc_id string, line string, "
                                             "meta_step string, domain_id int, step string")
-    return finish(back.select("meta_step", "domain_id", "step", "line"))
+    return finish(_parsed(back, LETOR_KEYS))
 
 
 @register("partition_pruned_scan", """

@@ -101,15 +101,20 @@ def bm25_topk_conv(spark, sf_dir):
     return finish(retrieval.bm25_topk(c.docs, c.queries, k))
 
 
+#: depth of the ranked lists of this report
+LIST_DEPTH = 50
+
+
 @register("rank_by_score", f"""
-SELECT query_id, doc_id, {r6("score")} AS score,
-       row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
-FROM (SELECT query_id, doc_id, round(score, 9) AS score FROM bm25_scores_web)
+SELECT query_id, doc_id, {r6("score")} AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
+  FROM (SELECT query_id, doc_id, round(score, 9) AS score FROM bm25_scores_web))
+WHERE rank <= {LIST_DEPTH}
 """, ("bm25_scores_web",))
 def rank_by_score(spark, sf_dir):
     c = web_collection(spark, sf_dir)
     s = retrieval.bm25_scores(c.docs, c.queries).withColumn("score", F.round("score", 9))
-    return finish(metrics.rank_by_score(s))
+    return finish(metrics.rank_by_score(s, k=LIST_DEPTH))
 
 
 NDCG_SLICE_SQL = f"""

@@ -82,13 +82,18 @@ def load_id_set(spark: SparkSession, path: str, col: str = "id") -> DataFrame:
 
 def save_store(df: DataFrame, path: str, key: str, order: Column | None = None) -> DataFrame:
     """Keyed table, one row per key; with ``order`` the last row per key wins
-    (as repeated dict assignment), otherwise any one row."""
+    (as repeated dict assignment), otherwise the smallest row per key."""
     from pyspark.sql import Window
     if order is not None:
         w = Window.partitionBy(key).orderBy(order.desc())
         df = df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
     else:
-        df = df.dropDuplicates([key])
+        rest = [c for c in df.columns if c != key]
+        if rest:
+            df = df.groupBy(key).agg(F.min(F.struct(*rest)).alias("__s")).select(
+                *[F.col(f"__s.{c}").alias(c) if c != key else F.col(key) for c in df.columns])
+        else:
+            df = df.distinct()
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -147,17 +152,18 @@ def read_stats(spark: SparkSession, path: str):
 
 # ---- LETOR (S12, S13) ------------------------------------------------------------------
 
-def letor_line(relevance: Column, qid: Column, features: Column, doc_id: Column, fmt: str = "%.6f") -> Column:
-    """``rel qid:Q 1:v 2:v … # doc_id=D`` (1-based feature numbers)."""
+def letor_line(relevance: Column, qid: Column, features: Column, doc_id: Column, fmt: str | None = None) -> Column:
+    """``rel qid:Q 1:v 2:v … # doc_id=D`` (1-based feature numbers). Values are
+    the shortest decimals that read back to the same double, or by ``fmt``."""
     idx = F.transform(features, lambda v, i: F.concat((i + 1).cast("string"), F.lit(":"),
-                                                       F.format_string(fmt, v)))
+                                                       F.format_string(fmt, v) if fmt else v.cast("string")))
     return F.concat_ws(" ", relevance.cast("string"), F.concat(F.lit("qid:"), qid.cast("string")),
                        F.array_join(idx, " "), F.lit("#"), F.concat(F.lit("doc_id="), doc_id))
 
 
-def parse_letor(lines: DataFrame, col: str = "value") -> DataFrame:
-    """(relevance, qid, features ARRAY<DOUBLE>, comment, doc_id) from LETOR
-    lines; a missing comment gives ``""`` and doc id ``_``."""
+def parse_letor(lines: DataFrame, col: str = "value", keep=()) -> DataFrame:
+    """(…keep, relevance, qid, features ARRAY<DOUBLE>, comment, doc_id) from
+    LETOR lines; a missing comment gives ``""`` and doc id ``_``."""
     line = F.trim(F.col(col))
     head = F.split(line, "#", 2)
     body = F.trim(F.get(head, 0))
@@ -167,7 +173,7 @@ def parse_letor(lines: DataFrame, col: str = "value") -> DataFrame:
     feats = F.transform(pairs, lambda p: F.split_part(p, F.lit(":"), F.lit(2)).cast("double"))
     doc = F.when(comment.contains("="), F.trim(F.split_part(comment, F.lit("="), F.lit(2)))).otherwise(F.lit("_"))
     return lines.select(
-        F.get(parts, 0).cast("int").alias("relevance"),
+        *keep, F.get(parts, 0).cast("int").alias("relevance"),
         F.split_part(F.get(parts, 1), F.lit(":"), F.lit(2)).alias("qid"),
         feats.alias("features"), comment.alias("comment"), doc.alias("doc_id"))
 

@@ -59,3 +59,23 @@ def test_cluster_registry_and_unknown(spark):
     assert dm.cluster("random", df, 3).count() == 9
     with pytest.raises(ValueError):
         dm.cluster("spectral", df, 3)
+
+
+def test_a_query_without_a_domain_fails(spark):
+    import pytest
+    feats = spark.createDataFrame([(1, "q1", "d1", 0.5), (0, "q2", "d2", 0.7)], "relevance int, query_id string, doc_id string, f0 double")
+    split = spark.createDataFrame([("q1", 0, "train")], "query_id string, domain_id int, step string")
+    steps = spark.createDataFrame([(0, "train")], "domain_id int, meta_step string")
+    assert dm.divide_dataset(feats.where("query_id = 'q1'"), split, steps, [0]).count() == 1
+    with pytest.raises(Exception, match="for query q2"):
+        dm.divide_dataset(feats, split, steps, [0]).collect()
+
+
+def test_domain_vectors_by_name(spark):
+    import pytest
+    rows = [("train", 0, "train", 1, "q1", 2.0), ("train", 0, "train", 0, "q1", 0.0)]
+    d = spark.createDataFrame(rows, "meta_step string, domain_id int, step string, relevance int, query_id string, s0 double")
+    assert dm.domain_vectors("all_rows", d).first()["s0"] == 1.0
+    assert dm.domain_vectors("positive_rows", d).first()["s0"] == 2.0
+    with pytest.raises(ValueError):
+        dm.domain_vectors("other", d)

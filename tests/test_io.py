@@ -18,7 +18,7 @@ def test_letor_parse(spark):
 def test_letor_write_parse_round_trip(spark):
     df = spark.createDataFrame([(1, "7", [0.25, -3.5], "d1")], "rel int, qid string, f array<double>, doc string")
     line = df.select(io.letor_line(F.col("rel"), F.col("qid"), F.col("f"), F.col("doc")).alias("value"))
-    assert line.first()["value"] == "1 qid:7 1:0.250000 2:-3.500000 # doc_id=d1"
+    assert line.first()["value"] == "1 qid:7 1:0.25 2:-3.5 # doc_id=d1"
     back = io.parse_letor(line).first()
     assert back["features"] == [0.25, -3.5] and back["doc_id"] == "d1"
 
@@ -44,3 +44,28 @@ def test_materialize_skips_when_present(spark):
     assert io.materialize(df, path).count() == 5
     assert io.materialize(spark.range(7), path).count() == 5  # finished copy is reused
     assert io.materialize(spark.range(7), path, override=True).count() == 7
+
+
+def test_full_doubles_survive_letor(spark):
+    values = [1 / 3, 1e-9, -2.5e17, 0.1 + 0.2]
+    df = spark.createDataFrame([(0, "1", values, "d")], "rel int, qid string, f array<double>, doc string")
+    line = df.select(io.letor_line(F.col("rel"), F.col("qid"), F.col("f"), F.col("doc")).alias("value"))
+    assert io.parse_letor(line).first()["features"] == values
+
+
+def test_stage_path_follows_input_and_parameters(spark):
+    from ranklane.session import checkpoint_dir
+    path, base = scratch_path(spark, "t-input"), checkpoint_dir(spark)
+    spark.range(3).write.parquet(path)
+    one = io.stage_path(spark, base, "x", 1, [path], limit=3)
+    assert one == io.stage_path(spark, base, "x", 1, [path], limit=3)
+    assert one != io.stage_path(spark, base, "x", 1, [path], limit=4)
+    assert one != io.stage_path(spark, base, "x", 2, [path], limit=3)
+    spark.range(4).write.mode("overwrite").parquet(path)
+    assert one != io.stage_path(spark, base, "x", 1, [path], limit=3)
+
+
+def test_store_without_order_keeps_the_smallest_row(spark):
+    df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "z"), ("b", 5, "y")], "k string, n int, s string")
+    got = sorted(tuple(r) for r in io.save_store(df, scratch_path(spark, "t-store"), "k").collect())
+    assert got == [("a", 1, "z"), ("b", 5, "y")]

@@ -71,3 +71,10 @@ def test_seeded_order_matches_duckdb(spark):
     import duckdb
     s = one(spark, tx.seeded_hash_order(F.col("x"), 42), "abc")
     assert s == duckdb.sql("select md5('42:abc')").fetchall()[0][0]
+
+
+def test_registrable_domain_wildcards_and_exceptions(spark):
+    rules = ["com", "*.ck", "!www.ck"]
+    for host, want in (("a.b.c.ck", "b.c.ck"), ("c.ck", "c.ck"), ("x.www.ck", "www.ck"), ("www.ck", "www.ck"),
+                       ("a.b.com", "b.com"), ("a.b.zz", "b.zz")):
+        assert one(spark, tx.registrable_domain("x", rules), host) == want
