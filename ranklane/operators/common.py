@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def one_row(df: DataFrame) -> dict:
@@ -11,8 +10,3 @@ def one_row(df: DataFrame) -> dict:
     a global aggregate yields exactly one row)."""
     row = df.first()
     return row.asDict() if row is not None else {}
-
-
-def label_array(rows: list[dict], fields: list[str]):
-    """Literal array of structs from a bounded list of small rows."""
-    return F.array(*[F.struct(*[F.lit(r[f]).alias(f) for f in fields]) for r in rows])

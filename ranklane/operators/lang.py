@@ -10,11 +10,11 @@ smaller label). Empty text gets ``""``, which never matches a target label.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranklane.functions.text import char_grams
-from ranklane.operators.common import label_array, one_row
+from ranklane.operators.common import one_row
 
 
 def train_profile(labelled: DataFrame, n: int = 3) -> DataFrame:
@@ -36,35 +36,49 @@ def label_defaults(profile: DataFrame) -> DataFrame:
     return profile.groupBy("label").agg(F.first("default").alias("default"))
 
 
+def _scored(fields: DataFrame, profile: DataFrame, n: int) -> DataFrame:
+    """(__id, __f, label) for (__id, __f, __t): the best label of each text.
+
+    The profile has one row per gram with a score column per label (labels are
+    bounded by the class count), so a text's grams meet it once and are summed
+    per text in the same pass, for all labels and fields together."""
+    defaults = {r["label"]: r["default"] for r in label_defaults(profile).collect()}
+    labels = sorted(defaults)
+    none = F.lit(None).cast("string")
+    if not labels:
+        return fields.select("__id", "__f", none.alias("label"))
+    wide = profile.groupBy("gram").agg(*[
+        F.sum(F.when(F.col("label") == x, F.col("logp") - F.col("default"))).alias(f"d{i}") for i, x in enumerate(labels)])
+    grams = (fields.where(F.length(F.trim(F.coalesce("__t", F.lit("")))) > 0)
+             .select("__id", "__f", F.explode(char_grams("__t", n)).alias("gram")))
+    total = F.count("*")
+    sums = grams.join(wide, "gram", "left").groupBy("__id", "__f").agg(*[
+        (total * F.lit(defaults[x]) + F.coalesce(F.sum(f"d{i}"), F.lit(0.0))).alias(f"s{i}") for i, x in enumerate(labels)])
+    # the highest score, the first label on ties
+    best = F.array_max(F.array(*[F.struct(F.round(f"s{i}", 6).alias("s"), F.lit(-i).alias("i"), F.lit(x).alias("label"))
+                                 for i, x in enumerate(labels)]))
+    return sums.select("__id", "__f", best["label"].alias("label"))
+
+
 def detect(texts: DataFrame, profile: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            out_col: str = "text_language", n: int = 3) -> DataFrame:
-    """(id, out_col) for every row of ``texts``."""
-    src = texts.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
-    nonempty = src.where(F.length(F.trim(F.coalesce("__t", F.lit("")))) > 0)
-    grams = (nonempty.select("__id", F.explode(char_grams("__t", n)).alias("gram"))
-             .groupBy("__id", "gram").agg(F.count("*").alias("tf")))
-    totals = grams.groupBy("__id").agg(F.sum("tf").alias("total"))
-    deltas = profile.select("label", "gram", (F.col("logp") - F.col("default")).alias("delta"))
-    seen = (grams.join(deltas, "gram")
-            .groupBy("__id", "label").agg(F.sum(F.col("tf") * F.col("delta")).alias("part")))
-    # one row per (text, label); the label list is bounded by the class count
-    labels = [r.asDict() for r in label_defaults(profile).collect()]
-    base = totals.select("__id", "total", F.explode(label_array(labels, ["label", "default"])).alias("__l")).select(
-        "__id", F.col("__l.label").alias("label"), (F.col("total") * F.col("__l.default")).alias("base"))
-    scored = base.join(seen, ["__id", "label"], "left").select(
-        "__id", "label", (F.col("base") + F.coalesce("part", F.lit(0.0))).alias("score"))
-    w = Window.partitionBy("__id").orderBy(F.round("score", 6).desc(), F.col("label"))
-    best = (scored.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1)
-            .select("__id", F.col("label").alias(out_col)))
-    return (src.join(best, "__id", "left")
-            .select(F.col("__id").alias(id_col), F.coalesce(out_col, F.lit("")).alias(out_col)))
+    """(id, out_col) for every row of ``texts``; blank texts give ''."""
+    return _detected(texts, profile, id_col, {text_col: out_col}, n)
+
+
+def _detected(texts: DataFrame, profile: DataFrame, id_col: str, out_of: dict[str, str], n: int = 3) -> DataFrame:
+    ids = texts.select(F.col(id_col).alias("__id"))
+    fields = texts.select(F.col(id_col).alias("__id"), F.inline(F.array(*[
+        F.struct(F.lit(c).alias("__f"), F.col(c).cast("string").alias("__t")) for c in out_of])))
+    best = _scored(fields, profile, n).groupBy("__id").agg(*[
+        F.max(F.when(F.col("__f") == c, F.col("label"))).alias(out) for c, out in out_of.items()])
+    return ids.join(best, "__id", "left").select(
+        F.col("__id").alias(id_col), *[F.coalesce(out, F.lit("")).alias(out) for out in out_of.values()])
 
 
 def detect_doc_languages(docs: DataFrame, profile: DataFrame) -> DataFrame:
-    """doc_lang(doc_id, title_language, text_language)."""
-    t = detect(docs, profile, "doc_id", "title", "title_language")
-    x = detect(docs, profile, "doc_id", "text", "text_language")
-    return t.join(x, "doc_id")
+    """doc_lang(doc_id, title_language, text_language), both in one pass."""
+    return _detected(docs, profile, "doc_id", {"title": "title_language", "text": "text_language"})
 
 
 def detect_query_languages(queries: DataFrame, profile: DataFrame) -> DataFrame:

@@ -43,21 +43,40 @@ def zscore_wide(divided: DataFrame, keys: list[str], prefix: str = "s") -> DataF
     return divided.select(*keys, "query_id", "doc_id", "relevance", *zs)
 
 
-def score_models(z_long: DataFrame, weights: DataFrame, keys=("domain_id",)) -> DataFrame:
+def _dot(w, z):
+    return F.aggregate(F.zip_with(w, z, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
+
+
+def score_wide(z_wide: DataFrame, weights: DataFrame, keys=("domain_id",), prefix: str = "s") -> DataFrame:
     """Linear scores (M10, J18) of every model on every list it applies to.
 
     ``weights(model, domain_id, idx, w)``: rows with a domain apply to that
-    domain only (equi-join on (domain_id, idx)); rows with NULL domain are a
-    global model applied everywhere (equi-join on idx; that side is bounded
-    by models × features and broadcast)."""
+    domain only; rows with NULL domain are global models, applied everywhere.
+    A model's weights are one array, so a judged row meets each of its models
+    once and its score is a row-local dot product: no row per feature, no
+    aggregate over judged rows. Global models (a few, each of one array) travel
+    as a literal."""
+    from ranklane.operators.domains import fcols
     keys = list(keys)
-    own = z_long.join(weights.where(F.col("domain_id").isNotNull()), ["domain_id", "idx"])
-    glob_w = weights.where(F.col("domain_id").isNull()).drop("domain_id")
-    glob = z_long.join(F.broadcast(glob_w), "idx")
-    both = own.select("model", *keys, "query_id", "doc_id", "relevance", "w", "value").unionByName(
-        glob.select("model", *keys, "query_id", "doc_id", "relevance", "w", "value"))
-    return both.groupBy("model", *keys, "query_id", "doc_id", "relevance").agg(
-        F.sum(F.col("w") * F.col("value")).alias("score"))
+    cols = fcols(z_wide, prefix)
+    rows = z_wide.select(*keys, "query_id", "doc_id", "relevance",
+                         F.array(*[F.col(c).cast("double") for c in cols]).alias("__z"))
+    n = len(cols)
+    packed = weights.groupBy("model", "domain_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("idx", F.col("w").cast("double")))).alias("__m"))
+    packed = packed.select("model", "domain_id", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(
+        F.try_element_at("__m", i), F.lit(0.0))).alias("__w"))
+    out = ["model", *keys, "query_id", "doc_id", "relevance", _dot(F.col("__w"), F.col("__z")).alias("score")]
+    shared = packed.where(F.col("domain_id").isNull()).select("model", "__w").collect()
+    glob = None
+    if shared:
+        models = F.array(*[F.struct(F.lit(r["model"]).alias("model"), F.lit([float(x) for x in r["__w"]]).alias("__w"))
+                           for r in shared])
+        glob = rows.select("*", F.inline(models)).select(*out)
+    if "domain_id" not in keys:
+        return glob
+    own = rows.join(packed.where(F.col("domain_id").isNotNull()), "domain_id").select(*out)
+    return own if glob is None else own.unionByName(glob)
 
 
 def best_restart(evals: DataFrame, keys=("model",)) -> DataFrame:

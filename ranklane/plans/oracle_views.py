@@ -198,6 +198,11 @@ JOIN ({lang_detect_sql('docs_web', 'doc_id', 'text', 'text_language')}) x ON t.d
 """)
 view("query_lang_web", lang_detect_sql("queries_web", "query_id", "text", "text_language"))
 
+view("kept_docs_det", """
+SELECT DISTINCT doc_id FROM doc_lang_web WHERE title_language IN ('en') AND text_language IN ('en')
+""")
+view("kept_queries_det", "SELECT DISTINCT query_id FROM query_lang_web WHERE text_language IN ('en')")
+
 # ---- judgements over the language-filtered web collection ---------------
 view("doc_lang_decl_web", "SELECT doc_id, lang AS title_language, lang AS text_language FROM docs_web")
 view("query_lang_decl_web", "SELECT doc_id AS query_id, lang AS text_language FROM docs_web")

@@ -15,7 +15,7 @@ from ranklane.operators import domains as dm
 from ranklane.operators import ltr, metrics, report
 from ranklane.operators.features import feature_names
 from ranklane.plans.oracle_views import view
-from ranklane.plans.q_features import feature_table
+from ranklane.plans.q_features import FEATURES_VERSION, feature_table
 from ranklane.plans.registry import finish, register
 
 N_DOMAINS = 8
@@ -147,11 +147,26 @@ def _assign(spark, sf_dir):
     return dm.equal_freq_domains(qm.select("query_id", F.col(f"f{BIN_FEATURE}").alias("value")), N_DOMAINS)
 
 
+#: raise with any change of what a stage computes
+DIVIDED_VERSION = RANKERS_VERSION = 1
+
+
+def _stage_table(spark, sf_dir, name, version, build):
+    """A stage's result, computed once per state of the input and version."""
+    from ranklane.session import checkpoint_dir
+    from ranklane.sources.formats import has_success, materialize, stage_path
+    path = stage_path(spark, checkpoint_dir(spark), name, version, [f"{sf_dir.rstrip('/')}/pages.parquet"],
+                      features=FEATURES_VERSION, domains=N_DOMAINS)
+    if has_success(spark, path):
+        return spark.read.parquet(path)
+    return materialize(build(), path)
+
+
 def _divided(spark, sf_dir):
-    feats = _feats(spark, sf_dir)
-    qsplit = dm.split_queries(_assign(spark, sf_dir))
-    dsplit = dm.split_domains(spark, N_DOMAINS)
-    return dm.divide_dataset(feats, qsplit, dsplit, LTR)
+    def build():
+        qsplit = dm.split_queries(_assign(spark, sf_dir))
+        return dm.divide_dataset(_feats(spark, sf_dir), qsplit, dm.split_domains(spark, N_DOMAINS), LTR)
+    return _stage_table(spark, sf_dir, "divided", DIVIDED_VERSION, build)
 
 
 def fixed_weights(spark):
@@ -175,12 +190,18 @@ def _test_long(spark, sf_dir):
     return zscore_per_query(long, keys=("domain_id", "query_id")).drop("value").withColumnRenamed("z", "value")
 
 
-def _scores(spark, sf_dir):
-    return ltr.score_models(_test_long(spark, sf_dir), fixed_weights(spark))
+def _test_rows(spark, sf_dir):
+    d = _divided(spark, sf_dir).where((F.col("meta_step") == "test") & (F.col("step") == "test"))
+    return ltr.zscore_wide(d, ["domain_id"])
 
 
-def _metrics(spark, sf_dir):
-    s = _scores(spark, sf_dir)
+def _scores(spark, sf_dir, weights=None):
+    return ltr.score_wide(_test_rows(spark, sf_dir), fixed_weights(spark) if weights is None else weights)
+
+
+def _metrics(spark, sf_dir, weights=None):
+    # three metrics read the scores: computed once
+    s = _scores(spark, sf_dir, weights).checkpoint()
     q = s.select("model", "domain_id", "query_id", "doc_id", "relevance")
     return metrics.evaluate(s, q, keys=["model", "domain_id"])
 
@@ -400,13 +421,12 @@ def restart_weights(spark):
 def _restart_evals(spark, sf_dir):
     """NDCG@10 on the valid step of every domain, for each restart's global
     weights (A21 input); selection is on valid, not test."""
-    from ranklane.operators.stats import zscore_per_query as zq
     d = _divided(spark, sf_dir).where(F.col("step") == "valid")
-    long = zq(ltr.to_long(d, []), keys=("query_id",)).drop("value").withColumnRenamed("z", "value")
-    rw = restart_weights(spark)
-    s = (long.join(F.broadcast(rw), "idx")
-         .groupBy("model", "restart", "query_id", "doc_id", "relevance")
-         .agg(F.sum(F.col("w") * F.col("value")).alias("score")))
+    rw = restart_weights(spark).withColumn("model", F.concat_ws("/", "model", "restart")).withColumn(
+        "domain_id", F.lit(None).cast("int"))
+    s = ltr.score_wide(ltr.zscore_wide(d, []), rw, keys=())
+    s = s.withColumn("restart", F.split_part("model", F.lit("/"), F.lit(2)).cast("int")).withColumn(
+        "model", F.split_part("model", F.lit("/"), F.lit(1)))
     q = d.select("query_id", "doc_id", "relevance").distinct()
     nd = metrics.ndcg_at_k(s, _qrels_for(s, q), keys=["model", "restart"])
     return nd
@@ -456,35 +476,60 @@ def markdown_report(spark, sf_dir):
     return finish(report.markdown_lines(_metrics(spark, sf_dir)))
 
 
+def _valid_ndcg(rows, weights, keys):
+    """Mean NDCG@10 of every restart on valid lists: (…keys, restart, score)."""
+    w = weights.select(F.concat(F.lit("r"), F.col("restart").cast("string")).alias("model"),
+                       F.col("domain_id") if keys else F.lit(None).cast("int").alias("domain_id"), "idx", "w")
+    s = ltr.score_wide(rows, w, keys=keys).checkpoint()
+    nd = metrics.ndcg_at_k(s, s.select("model", *keys, "query_id", "doc_id", "relevance"), keys=["model", *keys])
+    return (nd.groupBy("model", *keys).agg(F.avg("value").alias("score"))
+            .select(*keys, F.expr("int(substring(model, 2))").alias("restart"), "score"))
+
+
+def trained_domain_rankers(spark, sf_dir):
+    """(domain_id, restart, idx, w, objective): coordinate ascent per domain on
+    its train lists, 16 restarts; the restart that is best on the domain's
+    valid lists stays (on the training objective where it has none)."""
+    def build():
+        d = _divided(spark, sf_dir)
+        w = ltr.coordinate_ascent(ltr.zscore_wide(d.where(F.col("step") == "train"), ["domain_id"]),
+                                  ["domain_id"], len(LTR), restarts=16).checkpoint()
+        on_valid = _valid_ndcg(ltr.zscore_wide(d.where(F.col("step") == "valid"), ["domain_id"]), w, ["domain_id"])
+        per = (w.select("domain_id", "restart", "objective").distinct()
+               .join(on_valid, ["domain_id", "restart"], "left"))
+        best = per.groupBy("domain_id").agg(F.max_by("restart", F.struct(
+            F.round(F.coalesce("score", F.lit(-1.0)), 9), F.round("objective", 9), -F.col("restart"))).alias("restart"))
+        return w.join(best, ["domain_id", "restart"])
+    return _stage_table(spark, sf_dir, "domain-rankers", RANKERS_VERSION, build)
+
+
+def trained_global_ranker(spark, sf_dir):
+    """(restart, idx, w): 16 single-restart fits on all train lists; the best on
+    the valid lists stays (on the training objective without any)."""
+    def build():
+        d = _divided(spark, sf_dir)
+        rows = ltr.zscore_wide(d.where(F.col("step") == "train").withColumn("model", F.lit("global")), ["model"])
+        w = ltr.coordinate_ascent(rows, ["model"], len(LTR), restarts=16).checkpoint()
+        on_valid = _valid_ndcg(ltr.zscore_wide(d.where(F.col("step") == "valid"), []), w, [])
+        per = w.select("restart", "objective").distinct().join(on_valid, "restart", "left").select(
+            F.lit("global").alias("model"), "restart",
+            F.struct(F.round(F.coalesce("score", F.lit(-1.0)), 9).alias("v"), F.round("objective", 9).alias("o")).alias("s"))
+        best = per.groupBy("model").agg(F.max_by("restart", F.struct("s", -F.col("restart"))).alias("restart"))
+        return w.join(best, "restart").select("restart", "idx", "w")
+    return _stage_table(spark, sf_dir, "global-ranker", RANKERS_VERSION, build)
+
+
 @register("train_domain_rankers")
 def train_domain_rankers(spark, sf_dir):
-    """Coordinate ascent per domain on the train step (16 restarts, z-scored)."""
-    d = _divided(spark, sf_dir).where(F.col("step") == "train")
-    z = ltr.zscore_wide(d, ["domain_id"])
-    w = ltr.coordinate_ascent(z, ["domain_id"], len(LTR), restarts=16, sweeps=2)
-    best = (w.groupBy("domain_id", "restart").agg(F.first("objective").alias("score"))
-            .groupBy("domain_id").agg(F.max_by("restart", F.struct("score", -F.col("restart"))).alias("restart")))
-    return finish(w.join(best, ["domain_id", "restart"]))
+    return finish(trained_domain_rankers(spark, sf_dir))
 
 
 @register("train_global_ranker")
 def train_global_ranker(spark, sf_dir):
-    """16 single-restart fits on all train rows; the best on valid is kept
-    (on the training objective when the data has no valid lists)."""
-    d = _divided(spark, sf_dir)
-    tr = ltr.zscore_wide(d.where(F.col("step") == "train").withColumn("model", F.lit("global")), ["model"])
-    w = ltr.coordinate_ascent(tr, ["model"], len(LTR), restarts=16, sweeps=1)
-    va = ltr.zscore_wide(d.where(F.col("step") == "valid").withColumn("model", F.lit("global")), ["model"])
-    long = ltr.to_long(va, [])
-    s = ltr.score_models(long.withColumn("domain_id", F.lit(None).cast("int")),
-                         w.select(F.concat(F.lit("r"), F.col("restart").cast("string")).alias("model"),
-                                  F.lit(None).cast("int").alias("domain_id"), "idx", "w"), keys=())
-    q = va.select("query_id", "doc_id", "relevance")
-    keys = s.select("model", "query_id").distinct().join(q, "query_id")
-    ev = metrics.ndcg_at_k(s, keys, keys=["model"]).groupBy("model").agg(F.avg("value").alias("score"))
-    ev = ev.withColumn("restart", F.substring("model", 2, 10).cast("int")).withColumn("model", F.lit("global"))
-    if not ev.take(1):
-        # no valid lists (tiny data): fall back to the training objective
-        ev = w.groupBy("restart").agg(F.first("objective").alias("score")).withColumn("model", F.lit("global"))
-    best = ltr.best_restart(ev)
-    return finish(w.join(best.select("restart"), "restart").select("restart", "idx", "w"))
+    return finish(trained_global_ranker(spark, sf_dir))
+
+
+@register("trained_weight_variance")
+def trained_weight_variance(spark, sf_dir):
+    """Spread of the trained rankers' weights over the domains."""
+    return finish(report.weight_variance(trained_domain_rankers(spark, sf_dir)))

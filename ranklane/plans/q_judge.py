@@ -117,6 +117,28 @@ def detect_languages(spark, sf_dir):
     return finish(lang.detect_doc_languages(_docs(spark, sf_dir), profile))
 
 
+def _profile(spark, sf_dir):
+    return lang.train_profile(lang_training_docs(spark, sf_dir)).cache()
+
+
+@register("detect_query_languages", "SELECT query_id, text_language FROM query_lang_web", ("query_lang_web",))
+def detect_query_languages(spark, sf_dir):
+    return finish(lang.detect_query_languages(web_collection(spark, sf_dir).queries, _profile(spark, sf_dir)))
+
+
+@register("filter_detected_docs", "SELECT doc_id FROM kept_docs_det", ("kept_docs_det",))
+def filter_detected_docs(spark, sf_dir):
+    """The filter fed by the detector, not by declared languages."""
+    found = lang.detect_doc_languages(_docs(spark, sf_dir), _profile(spark, sf_dir))
+    return finish(qr.filter_docs_by_lang(found, ["en"]))
+
+
+@register("filter_detected_queries", "SELECT query_id FROM kept_queries_det", ("kept_queries_det",))
+def filter_detected_queries(spark, sf_dir):
+    found = lang.detect_query_languages(web_collection(spark, sf_dir).queries, _profile(spark, sf_dir))
+    return finish(qr.filter_queries_by_lang(found, ["en"]))
+
+
 # ---- judgements (declared page languages feed the filters) ------------------
 
 def _stage(spark, sf_dir, **options):

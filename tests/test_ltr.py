@@ -39,9 +39,9 @@ def test_coordinate_ascent_finds_informative_feature(spark):
 
 
 def test_score_models_global_and_own(spark):
-    z = spark.createDataFrame([(0, "q", "a", 1, 0, 1.0), (0, "q", "a", 1, 1, 2.0)],
-                              "domain_id int, query_id string, doc_id string, relevance int, idx int, value double")
+    z = spark.createDataFrame([(0, "q", "a", 1, 1.0, 2.0)],
+                              "domain_id int, query_id string, doc_id string, relevance int, s0 double, s1 double")
     w = spark.createDataFrame([("ideal", 0, 0, 0.5), ("ideal", 0, 1, 1.0), ("global", None, 0, 2.0),
                                ("global", None, 1, 0.0)], "model string, domain_id int, idx int, w double")
-    got = {r["model"]: r["score"] for r in ltr.score_models(z, w).collect()}
+    got = {r["model"]: r["score"] for r in ltr.score_wide(z, w).collect()}
     assert got == {"ideal": 2.5, "global": 2.0}

@@ -44,11 +44,11 @@ def test_zscores_have_mean_zero(spark):
 @needs_data
 def test_positive_scaling_keeps_rankings(spark):
     from ranklane.operators import ltr, metrics
-    from ranklane.plans.q_domains import _test_long, fixed_weights
-    z = _test_long(spark, SMOKE)
+    from ranklane.plans.q_domains import _test_rows, fixed_weights
+    z = _test_rows(spark, SMOKE)
     w = fixed_weights(spark)
-    a = metrics.rank_by_score(ltr.score_models(z, w), keys=["model", "domain_id"])
-    b = metrics.rank_by_score(ltr.score_models(z, w.withColumn("w", F.col("w") * 3.5)),
+    a = metrics.rank_by_score(ltr.score_wide(z, w), keys=["model", "domain_id"])
+    b = metrics.rank_by_score(ltr.score_wide(z, w.withColumn("w", F.col("w") * 3.5)),
                               keys=["model", "domain_id"])
     key = ["model", "domain_id", "query_id", "doc_id"]
     diff = a.select(*key, "rank").exceptAll(b.select(*key, "rank")).count()
