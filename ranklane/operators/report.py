@@ -44,6 +44,30 @@ def markdown_lines(per_query: DataFrame, metrics=METRIC_ORDER) -> DataFrame:
     return p.select("dataset", "model", line.alias("line"))
 
 
+def markdown_document(per_query: DataFrame, title: str = "Evaluation", metrics=METRIC_ORDER) -> DataFrame:
+    """(pos, line): the whole report in order (S18, O6) — a title, then the
+    average and one section per dataset, each with a header and its models
+    sorted by name."""
+    from ranklane.operators.ordering import global_position
+    rows = markdown_lines(per_query, metrics)
+    section = F.when(F.col("dataset") == "average", F.lit(-1)).otherwise(F.try_to_number("dataset", F.lit("9999999999")).cast("int"))
+    head = F.array(*[F.struct(F.lit(k).alias("kind"), line.alias("line")) for k, line in enumerate((
+        F.concat(F.lit("## "), F.col("dataset")), F.lit("| model | " + " | ".join(metrics) + " |"),
+        F.lit("| --- |" + " --- |" * len(metrics))))])
+    body = rows.select(section.alias("section"), F.lit(3).alias("kind"), "model", "line")
+    heads = rows.select("dataset").distinct().select(section.alias("section"), F.inline(head)).select(
+        "section", "kind", F.lit("").alias("model"), "line")
+    first = per_query.sparkSession.createDataFrame([(-2, 0, "", f"# {title}")], body.schema)
+    lines = first.unionByName(heads).unionByName(body)
+    return global_position(lines, [F.col("section"), F.col("kind"), F.col("model")]).select("pos", "line")
+
+
+def write_lines(document: DataFrame, path: str) -> None:
+    """A (pos, line) document as text: ordered files, ordered inside."""
+    (document.repartitionByRange("pos").sortWithinPartitions("pos").select(F.col("line").alias("value"))
+     .write.mode("overwrite").text(path))
+
+
 def weight_variance(weights: DataFrame) -> DataFrame:
     """Σ over features of the population variance of the domains' weights."""
     v = weights.groupBy("idx").agg(F.var_pop("w").alias("v"))

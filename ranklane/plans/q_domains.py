@@ -460,7 +460,7 @@ def meta_training_frame(spark, sf_dir):
                                              fixed_weights(spark), len(LTR)))
 
 
-@register("markdown_report", """
+MARKDOWN_SQL = """
 SELECT dataset, model, '| ' || model || ' | ' || CAST(CAST(CAST(n AS DECIMAL(38,6)) AS DECIMAL(38,4)) AS VARCHAR)
        || ' | ' || CAST(CAST(CAST(e AS DECIMAL(38,6)) AS DECIMAL(38,4)) AS VARCHAR)
        || ' | ' || CAST(CAST(CAST(a AS DECIMAL(38,6)) AS DECIMAL(38,4)) AS VARCHAR) || ' |' AS line
@@ -471,11 +471,32 @@ FROM (SELECT dataset, model, max(CASE WHEN metric = 'nDCG@10' THEN value END) AS
                                        ELSE CAST(domain_id AS VARCHAR) END AS dataset, avg(value) AS value
             FROM dom_means GROUP BY GROUPING SETS ((model, metric), (domain_id, model, metric)))
       GROUP BY dataset, model)
-""", ("dom_means",))
+"""
+
+
+@register("markdown_report", MARKDOWN_SQL, ("dom_means",))
 def markdown_report(spark, sf_dir):
     return finish(report.markdown_lines(_metrics(spark, sf_dir)))
 
 
+@register("markdown_document", f"""
+SELECT row_number() OVER (ORDER BY section, kind, model) AS pos, line FROM (
+  SELECT -2 AS section, 0 AS kind, '' AS model, '# Evaluation' AS line
+  UNION ALL SELECT DISTINCT CASE WHEN dataset = 'average' THEN -1 ELSE CAST(dataset AS INTEGER) END, k, '',
+         CASE k WHEN 0 THEN '## ' || dataset WHEN 1 THEN '| model | nDCG@10 | ERR@10 | AP |'
+                ELSE '| --- | --- | --- | --- |' END
+  FROM ({MARKDOWN_SQL}), range(3) h(k)
+  UNION ALL SELECT CASE WHEN dataset = 'average' THEN -1 ELSE CAST(dataset AS INTEGER) END, 3, model, line
+  FROM ({MARKDOWN_SQL}))
+""", ("dom_means",))
+def markdown_document(spark, sf_dir):
+    """The report as a document, also written as ordered text files."""
+    from ranklane.session import scratch_path
+    doc = report.markdown_document(_metrics(spark, sf_dir))
+    report.write_lines(doc, scratch_path(spark, "report"))
+    return finish(doc)
+
+
 def _valid_ndcg(rows, weights, keys):
     """Mean NDCG@10 of every restart on valid lists: (…keys, restart, score)."""
     w = weights.select(F.concat(F.lit("r"), F.col("restart").cast("string")).alias("model"),

@@ -43,3 +43,50 @@ def test_scale_critical_plans(spark, key):
     p = plan(df)
     for bad in BAD:
         assert bad not in p, (key, bad)
+
+
+def test_bm25_cuts_to_k_before_the_shuffle_by_query(spark):
+    """The sums per (query, document) stay in the partitioning by document, and
+    the group limit stands below the only exchange by query."""
+    from ranklane.operators import retrieval
+    from ranklane.sources.tables import web_collection
+    c = web_collection(spark, SMOKE)
+    p = plan(retrieval.bm25_topk(c.docs, c.queries, 11))
+    assert "hashpartitioning(query_id" in p
+    for line in p.splitlines():
+        assert not ("Exchange hashpartitioning(query_id" in line and "doc_id" in line.split("ENSURE")[0])
+    assert p.index("WindowGroupLimit") < p.index("Exchange hashpartitioning(query_id") < p.rindex("WindowGroupLimit")
+
+
+def test_ranked_lists_are_cut_before_the_shuffle(spark):
+    from ranklane.operators import metrics
+    run = spark.range(100).selectExpr("cast(id % 3 as string) query_id", "cast(id as string) doc_id", "cast(id as double) score")
+    assert plan(metrics.rank_by_score(run, k=5)).count("WindowGroupLimit") == 2
+
+
+def test_partition_filters_reach_the_scan(spark):
+    from pyspark.sql import functions as F
+
+    from ranklane.session import scratch_path
+    from ranklane.sources import formats as io
+    path = scratch_path(spark, "t-pruned")
+    io.write_partitioned(spark.range(20).selectExpr("id", "cast(id % 4 as int) part"), path, ["part"], ["id"])
+    back = io.read_partitioned(spark, path, "id long, part int").where(F.col("part") == 2)
+    line = next(x for x in plan(back).splitlines() if "PartitionFilters" in x)
+    assert "part" in line.split("PartitionFilters: [")[1].split("]")[0]
+    assert back.count() == 5
+
+
+def test_report_is_written_in_order(spark):
+    from ranklane.operators import report
+    from ranklane.session import scratch_path
+    rows = [(m, d, "q", x, 0.5) for m in ("b", "a") for d in (10, 2) for x in report.METRIC_ORDER]
+    doc = report.markdown_document(spark.createDataFrame(rows, "model string, domain_id int, query_id string, metric string, value double"))
+    path = scratch_path(spark, "t-report")
+    report.write_lines(doc, path)
+    lines = []
+    for f in sorted(x for x in os.listdir(path.removeprefix("file://")) if x.startswith("part-")):
+        with open(os.path.join(path.removeprefix("file://"), f)) as fh:
+            lines += fh.read().splitlines()
+    assert lines[0] == "# Evaluation" and [x for x in lines if x.startswith("##")] == ["## average", "## 2", "## 10"]
+    assert [x.split("|")[1].strip() for x in lines[4:6]] == ["a", "b"]
