@@ -48,7 +48,7 @@ def view(name: str, sql: str) -> None:
 view("docs_web", r"""
 SELECT lpad(lower(to_hex(page_id)), 16, '0') AS doc_id,
        regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title,
-       trim(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>', ' ', 'g')) AS text,
+       trim(regexp_replace(array_to_string(regexp_extract_all(html, '(?s)<article>(.*?)</article>', 1), ' '), '<[^>]*>', ' ', 'g')) AS text,
        url,
        regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang
 FROM pages

@@ -14,7 +14,7 @@ from ranklane.functions.constants import N_TOPICS, SEED, TRAIN_RATE, VALID_RATE,
 from ranklane.operators import domains as dm
 from ranklane.operators import ltr, metrics, report
 from ranklane.operators.features import feature_names
-from ranklane.plans.oracle_views import view
+from ranklane.plans.oracle_views import VIEWS, view
 from ranklane.plans.q_features import FEATURES_VERSION, feature_table
 from ranklane.plans.registry import finish, register
 
@@ -135,6 +135,13 @@ view("dom_means", """
 SELECT model, domain_id, metric, value FROM m_with_all WHERE query_id = 'all'
 """)
 
+# the same over the lists of every domain and step
+view("zlong_all", VIEWS["zlong"].replace("WHERE meta_step = 'test' AND step = 'test'", ""))
+view("scores_all", VIEWS["scores"].replace("zlong", "zlong_all"))
+view("ranked_scores_all", VIEWS["ranked_scores"].replace("FROM scores", "FROM scores_all"))
+for _m in ("m_err", "m_map"):
+    view(f"{_m}_all", VIEWS[_m].replace("ranked_scores", "ranked_scores_all").replace("FROM scores", "FROM scores_all"))
+
 
 # ---- Spark side ---------------------------------------------------------------------
 
@@ -183,9 +190,8 @@ def fixed_weights(spark):
     return own.unionByName(g)
 
 
-def _test_long(spark, sf_dir):
-    d = _divided(spark, sf_dir).where((F.col("meta_step") == "test") & (F.col("step") == "test"))
-    long = ltr.to_long(d, ["meta_step", "domain_id", "step"])
+def _all_long(spark, sf_dir):
+    long = ltr.to_long(_divided(spark, sf_dir), ["meta_step", "domain_id", "step"])
     from ranklane.operators.stats import zscore_per_query
     return zscore_per_query(long, keys=("domain_id", "query_id")).drop("value").withColumnRenamed("z", "value")
 
@@ -199,6 +205,11 @@ def _scores(spark, sf_dir, weights=None):
     return ltr.score_wide(_test_rows(spark, sf_dir), fixed_weights(spark) if weights is None else weights)
 
 
+def _all_scores(spark, sf_dir):
+    """Every model on the lists of every domain and step."""
+    return ltr.score_wide(ltr.zscore_wide(_divided(spark, sf_dir), ["domain_id"]), fixed_weights(spark))
+
+
 def _metrics(spark, sf_dir, weights=None):
     # three metrics read the scores: computed once
     s = _scores(spark, sf_dir, weights).checkpoint()
@@ -304,39 +315,39 @@ def domain_features_positive(spark, sf_dir):
     return finish(dm.domain_vectors("positive_rows", _divided(spark, sf_dir)))
 
 
-@register("zscore_per_query", "SELECT domain_id, query_id, doc_id, idx, z FROM zlong", ("zlong",))
+@register("zscore_per_query", "SELECT domain_id, query_id, doc_id, idx, z FROM zlong_all", ("zlong_all",))
 def zscore_per_query(spark, sf_dir):
-    z = _test_long(spark, sf_dir)
+    z = _all_long(spark, sf_dir)
     return finish(z.select("domain_id", "query_id", "doc_id", "idx", F.col("value").alias("z")))
 
 
-@register("score_models", "SELECT model, domain_id, query_id, doc_id, score FROM scores", ("scores",))
+@register("score_models", "SELECT model, domain_id, query_id, doc_id, score FROM scores_all", ("scores_all",))
 def score_models(spark, sf_dir):
-    return finish(_scores(spark, sf_dir).select("model", "domain_id", "query_id", "doc_id", "score"))
+    return finish(_all_scores(spark, sf_dir).select("model", "domain_id", "query_id", "doc_id", "score"))
 
 
 @register("score_qrel_join", """
 SELECT s.model, s.domain_id, s.query_id, s.doc_id, d.relevance, s.score
-FROM scores s JOIN (SELECT DISTINCT domain_id, query_id, doc_id, relevance FROM divided) d
+FROM scores_all s JOIN (SELECT DISTINCT domain_id, query_id, doc_id, relevance FROM divided) d
   ON d.domain_id = s.domain_id AND d.query_id = s.query_id AND d.doc_id = s.doc_id
-""", ("scores", "divided"))
+""", ("scores_all", "divided"))
 def score_qrel_join(spark, sf_dir):
-    s = _scores(spark, sf_dir).select("model", "domain_id", "query_id", "doc_id", "score")
+    s = _all_scores(spark, sf_dir).select("model", "domain_id", "query_id", "doc_id", "score")
     q = _divided(spark, sf_dir).select("domain_id", "query_id", "doc_id", "relevance").distinct()
     return finish(s.join(q, ["domain_id", "query_id", "doc_id"])
                   .select("model", "domain_id", "query_id", "doc_id", "relevance", "score"))
 
 
-@register("err_at_k", "SELECT * FROM m_err", ("m_err",))
+@register("err_at_k", "SELECT * FROM m_err_all", ("m_err_all",))
 def err_at_k(spark, sf_dir):
-    s = _scores(spark, sf_dir)
+    s = _all_scores(spark, sf_dir)
     q = s.select("model", "domain_id", "query_id", "doc_id", "relevance")
     return finish(metrics.err_at_k(s, q, keys=["model", "domain_id"]))
 
 
-@register("map_metric", "SELECT * FROM m_map", ("m_map",))
+@register("map_metric", "SELECT * FROM m_map_all", ("m_map_all",))
 def map_metric(spark, sf_dir):
-    s = _scores(spark, sf_dir)
+    s = _all_scores(spark, sf_dir)
     q = s.select("model", "domain_id", "query_id", "doc_id", "relevance")
     return finish(metrics.map_metric(s, q, keys=["model", "domain_id"]))
 

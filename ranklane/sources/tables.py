@@ -70,8 +70,9 @@ TAG_RE = r"<[^>]*>"
 
 
 def web_docs(pages: DataFrame) -> DataFrame:
-    """docs(doc_id, title, text, url, lang) from raw pages."""
-    article = F.regexp_extract("html", ARTICLE_RE, 1)
+    """docs(doc_id, title, text, url, lang) from raw pages (S1); the text is
+    that of all articles of a page."""
+    article = F.array_join(F.regexp_extract_all("html", F.lit(ARTICLE_RE), 1), " ")
     return pages.select(
         hex_id("page_id").alias("doc_id"),
         F.regexp_extract("html", TITLE_RE, 1).alias("title"),

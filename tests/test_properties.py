@@ -34,8 +34,8 @@ def test_collection_stat_bounds(spark):
 
 @needs_data
 def test_zscores_have_mean_zero(spark):
-    from ranklane.plans.q_domains import _test_long
-    z = _test_long(spark, SMOKE)
+    from ranklane.plans.q_domains import _all_long
+    z = _all_long(spark, SMOKE)
     bad = (z.groupBy("domain_id", "query_id", "idx").agg(F.avg("value").alias("m"))
            .where(F.abs("m") > 1e-9).count())
     assert bad == 0
