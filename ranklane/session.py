@@ -14,8 +14,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     UI off, UTC, ANSI semantics kept (the library guards divisions itself).
     Settings given from outside (spark-submit, defaults file) are kept; master,
     memory and shuffle partitions are chosen for a local run alone."""
-    from pyspark import SparkConf
-    given = SparkConf()  # what spark-submit and spark-defaults.conf have set
+    from pyspark import SparkConf, SparkContext
+    if "PYSPARK_GATEWAY_PORT" in os.environ:  # started by spark-submit: its JVM knows what was set
+        SparkContext._ensure_initialized()
+    given = SparkConf()
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     builder = SparkSession.builder.appName(app_name)
     if master is not None or not given.contains("spark.master"):
