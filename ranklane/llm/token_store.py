@@ -23,32 +23,41 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import regex
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ranklane.llm.common import id_and_text, written
+from ranklane.llm.bpe import byte_symbols
+from ranklane.llm.common import id_and_text, null_ids, written
 from ranklane.llm.files import open_read, open_write
 from ranklane.session import scratch_path
 
 #: bytes of ids in a frame, about (a longer document is one frame)
 FRAME = 1 << 20
-CACHE = 300_000
+CACHE = 200_000
 END_ID = 0
-NO_ID = np.iinfo(np.int64).min
 _SKIP_DOCS, _SKIP_SEEK, _SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
 
+# The piece pattern of the byte-level vocabulary (fixed value)
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_ODD_BLANK = re.compile(r" \s|\s ")
+_BLANK = re.compile(r"(?<=\S)(?= \S)")
+_SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to Python alone
+
+
 class ByteCodec:
-    """Encodes with the tokenizers library, piece by piece: a byte-level
-    vocabulary never joins across a blank between two words, so the string from
-    one such blank to the next is encoded once and remembered."""
+    """Encodes with the tokenizers library, piece by piece: no token of a
+    byte-level vocabulary joins two pieces, and no piece reaches across a blank
+    between two words. So the strings from one such blank to the next, and the
+    pieces in them, are given to the library's model once and remembered, as
+    the bytes of their ids."""
 
     def __init__(self, path: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,30 +65,48 @@ class ByteCodec:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.cache, self.seen = cache, {}
-
-    def _pieces(self, text: str) -> list[str]:
-        if any(s in text for s in self.special):
-            return [text]
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.cache = cache
+        self.forget()
+
+    def forget(self) -> None:
+        self.seen: dict[str, bytes] = {}
+        self.piece: dict[str, bytes] = {}
+
+    def _strings(self, text: str) -> list[str] | None:
+        """The strings of a text; None for one that the library takes whole."""
+        if any(s in text for s in self.special) or _SEPARATORS.search(text):
+            return None
         if _ODD_BLANK.search(text):
             return _BLANK.split(text)
         first, *rest = text.split(" ")
         return [first, *[" " + r for r in rest]]
 
-    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, strings: list[str]) -> None:
+        piece, tokenize = self.piece, self.model.tokenize
+        for s in strings:
+            found = _PIECE.findall(s)
+            for p in found:
+                if p not in piece:
+                    symbols = p.encode("utf-8").decode("latin-1").translate(self.symbols)
+                    piece[p] = np.array([t.id for t in tokenize(symbols)], "<u4").tobytes()
+            self.seen[s] = b"".join(map(piece.__getitem__, found))
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of every text."""
         if len(self.seen) > self.cache:
-            self.seen = {}
-        pieces, seen = [self._pieces(t or "") for t in texts], self.seen
-        new = list({p for found in pieces for p in found if p not in seen})
-        for at in range(0, len(new), 1 << 15):
-            part = new[at:at + (1 << 15)]
-            seen.update(zip(part, [e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)]))
-        return [np.array(list(chain.from_iterable(map(seen.__getitem__, found))), "<u4") for found in pieces]
+            self.forget()
+        strings, seen = [self._strings(t or "") for t in texts], self.seen
+        self._learn(list({s for found in strings if found for s in found if s not in seen}))
+        return [self._whole(t) if found is None else b"".join(map(seen.__getitem__, found))
+                for t, found in zip(texts, strings)]
 
 
-_ODD_BLANK = re.compile(r" \s|\s ")
-_BLANK = re.compile(r"(?<=\S)(?= \S)")
 _codecs: dict[str, ByteCodec] = {}
 
 
@@ -95,14 +122,14 @@ class TokenFileWriter:
         self.packer = zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True)
         self.ids, self.counts, self.table, self.held, self.size, self.n_tokens = [], [], [], [], 0, 0
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
-        if self.held and self.size + ids.nbytes > self.frame:
+    def add(self, doc_id: int, ids: bytes) -> None:
+        if self.held and self.size + len(ids) > self.frame:
             self._flush()
         self.ids.append(doc_id)
-        self.counts.append(len(ids))
-        self.held.append(ids.tobytes())
-        self.size += ids.nbytes
-        self.n_tokens += len(ids)
+        self.counts.append(len(ids) // 4)
+        self.held.append(ids)
+        self.size += len(ids)
+        self.n_tokens += len(ids) // 4
 
     def _flush(self) -> None:
         raw = b"".join(self.held)
@@ -174,14 +201,17 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, out, uri, part = codec(path), None, None, TaskContext.get().partitionId()
+        end = struct.pack("<I", end_id)
+        words.forget()  # a worker keeps the vocabulary between tasks, not the pieces
         for rows in batches:
-            ids = rows["doc_id"].fillna(NO_ID).astype("int64").tolist()
+            ids = rows["doc_id"].tolist()
             for at in range(0, len(rows), 512):
                 for doc_id, found in zip(ids[at:at + 512], words.encode_batch(rows["text"].iloc[at:at + 512].tolist())):
                     if out is None:
                         uri = f"{folder}/part-{part:07d}-{uuid.uuid4().hex}.tokens.zst"
                         out = TokenFileWriter(uri, frame)
-                    out.add(doc_id, np.append(found, np.uint32(end_id)).astype("<u4"))
+                    out.add(doc_id, found + end)
+        words.forget()
         if out is not None:
             out.close()
             yield pd.DataFrame({"part": [part], "file": [uri], "n_docs": [len(out.ids)], "n_tokens": [out.n_tokens]})
@@ -201,7 +231,7 @@ def read_tokens(manifest: DataFrame, wanted: list[int] | None = None) -> DataFra
             for r in rows.itertuples():
                 held, size = [], 0
                 for doc_id, start, ids in TokenFile(r.file).read(wanted):
-                    held.append((None if doc_id == NO_ID else doc_id, r.start + start, ids.tobytes()))
+                    held.append((doc_id, r.start + start, ids.tobytes()))
                     size += ids.nbytes
                     if size > 8 << 20:
                         yield _frame(held)
@@ -210,12 +240,10 @@ def read_tokens(manifest: DataFrame, wanted: list[int] | None = None) -> DataFra
                     yield _frame(held)
 
     def _frame(held):
-        made = pd.DataFrame(held, columns=["doc_id", "start", "ids"])
-        made["doc_id"] = made["doc_id"].astype("Int64")
-        return made
+        return pd.DataFrame(held, columns=["doc_id", "start", "ids"])
 
     files = manifest.select("file", "start").repartition("file")
-    return files.mapInPandas(run, "doc_id long, start long, ids binary")
+    return null_ids(files.mapInPandas(run, "doc_id long, start long, ids binary"))
 
 
 def token_digests(tokens: DataFrame) -> DataFrame:
