@@ -12,7 +12,6 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ranklane.llm import bpe, decontaminate, langid, simhash, suffix_dedup
 from ranklane.llm.common import read_table, without, written
@@ -24,9 +23,7 @@ MIN_LANGUAGE_SCORE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: without a letter (``und``) or with
     no language at half the probability they go."""
-    found = langid.identify(docs)
-    return without(docs, found.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < MIN_LANGUAGE_SCORE))
-                   .select("doc_id"))
+    return langid.keep_known(docs, langid.fit(docs), MIN_LANGUAGE_SCORE)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +36,8 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Texts without the 50-byte strings of earlier documents. Bytes of a
     character that was cut are dropped; a document left without text stays,
     with an empty text."""
-    found = (suffix_dedup.remove_repeats(docs).where("n_removed > 0")
-             .select("doc_id", F.col("n_bytes").alias("_bytes"), _text("kept").alias("_text")).dropDuplicates(["doc_id", "_bytes"]))
+    found = (suffix_dedup.remove_repeats(docs, as_text=True).where("n_removed > 0")
+             .select("doc_id", F.col("n_bytes").alias("_bytes"), F.col("kept").alias("_text")).dropDuplicates(["doc_id", "_bytes"]))
     size = F.octet_length("text").cast("long")
     joined = docs.withColumn("_bytes", size).join(found, ["doc_id", "_bytes"], "left")
     text = F.coalesce("_text", "text")
@@ -48,11 +45,6 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return joined.select(*[made.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
-@F.pandas_udf(T.StringType())
-def _text(kept):
-    return kept.map(lambda b: b.decode("utf-8", "ignore"))
-
-
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
     found = decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark"))

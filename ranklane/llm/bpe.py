@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ranklane.llm.common import id_and_text
+from ranklane.llm.common import id_and_text, null_ids
 
 #: chunks (white-space separated strings) remembered by a task
-CACHE = 250_000
+CACHE = 200_000
 #: pair leaves above which a word has its own tree
 WIDE = 64
 _NONE = np.iinfo(np.int64).max
@@ -215,7 +215,7 @@ class WordCodec:
         vocab, self.suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"] or ""
         self.merges = Merges(vocab, spec["model"]["merges"])
         self.pieces = regex.compile(split["pattern"]["Regex"])
-        self.library = Tokenizer.from_file(path)
+        self.path, self._library = path, None
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = added
         self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")")
@@ -226,6 +226,13 @@ class WordCodec:
         self.cache = cache
         self.forget()
 
+    @property
+    def library(self) -> Tokenizer:
+        """Read only for the few chunks that need the library's own normaliser."""
+        if self._library is None:
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
     def forget(self) -> None:
         self.chunk: dict[str, list[int]] = {}
         self.text: dict[str, str] = {}
@@ -296,14 +303,6 @@ class WordCodec:
 
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-_codecs: dict[str, WordCodec] = {}
-
-
-def codec(path: str) -> WordCodec:
-    """The codec of a vocabulary file, made once per Python worker."""
-    if path not in _codecs:
-        _codecs[path] = WordCodec(path)
-    return _codecs[path]
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -313,7 +312,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     more = "ids binary, decoded string, " if with_output else ""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = codec(path)
+        words = WordCodec(path)  # the task's own: a reused worker keeps nothing of it
         for rows in batches:
             for at in range(0, len(rows), 512):
                 part = rows.iloc[at:at + 512]
@@ -326,5 +325,5 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     "ids_sha256": [hashlib.sha256(i.tobytes()).hexdigest() for i, _ in found],
                     "decoded_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for _, t in found]})
 
-    return id_and_text(docs, id_col, text_col).mapInPandas(
-        run, f"doc_id long, {more}n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return null_ids(id_and_text(docs, id_col, text_col).mapInPandas(
+        run, f"doc_id long, {more}n_tokens long, ids_sha256 string, decoded_sha256 string"))

@@ -21,17 +21,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: stands for a null id on its way through pandas, which has no null integers
+NO_ID = -(1 << 63)
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, so other columns of the input
-    can have any name."""
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+    can have any name; null ids are ``NO_ID``."""
+    return df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc_id"),
                      F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def null_ids(df: DataFrame) -> DataFrame:
+    """``NO_ID`` back to null."""
+    return df.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+
+
 def held_out(id_col: Column) -> Column:
     """True for documents never learned from: crc32(id as text) mod 3 = 1.
     A null id counts as held out."""
-    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(True))
+    known = id_col.isNotNull() & (id_col != NO_ID)
+    return F.when(known, F.crc32(id_col.cast("string").cast("binary")) % 3 == 1).otherwise(F.lit(True))
 
 
 def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -25,10 +25,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranklane.llm.common import held_out
+from ranklane.llm.common import held_out, id_and_text, null_ids
 
 ROWS_PER_LANG = 1500
 MAX_WORDS = 60_000
@@ -36,27 +37,29 @@ MAX_GRAMS = 120_000
 ORDERS = (5, 4, 3, 2, 1)
 SMOOTH = 0.5
 UNKNOWN = "und"
-CACHE = 300_000
+CACHE = 150_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
 class Model:
+    """Log frequencies by language: rows of ``table``, by word and by n-gram."""
     langs: list[str]
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: dict[str, np.ndarray] = field(default_factory=dict)
+    words: dict[str, int] = field(default_factory=dict)
+    grams: dict[str, int] = field(default_factory=dict)
+    table: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
 
 def word_scores(model: Model, word: str) -> np.ndarray | None:
     """Log frequency by language of a word or, unseen, of the longest of its
     n-grams that are known (their mean); None if none is."""
-    if (found := model.words.get(word)) is not None:
-        return found
+    if (row := model.words.get(word)) is not None:
+        return model.table[row]
     padded = f"^{word}$"
     for n in ORDERS:
         known = [g for i in range(len(padded) - n + 1) if (g := model.grams.get(padded[i:i + n])) is not None]
         if known:
-            return sum(known) / len(known)
+            return model.table[known].mean(axis=0)
     return None
 
 
@@ -103,8 +106,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             math.log((r["n"].get(x, 0) + SMOOTH) / (totals.get((o, x), 0) + SMOOTH * sizes[o])) for x in langs])
             for r in table for o in [order_of(r[key])]}
 
-    model.words = scored(word_table.collect(), "word", lambda w: 0)
-    model.grams = scored(gram_table.collect(), "gram", len)
+    words, grams = scored(word_table.collect(), "word", lambda w: 0), scored(gram_table.collect(), "gram", len)
+    model.words = {w: i for i, w in enumerate(words)}
+    model.grams = {g: len(words) + i for i, g in enumerate(grams)}
+    model.table = np.array([*words.values(), *grams.values()]).reshape(-1, len(langs))
     return model
 
 
@@ -159,9 +164,26 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pd.DataFrame({"doc_id": rows["doc_id"], "held_out": rows["held_out"],
                                 "lang_pred": [x for x, _ in found], "score": [x for _, x in found]})
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return (rows.withColumn("held_out", held_out(F.col("doc_id")))
-            .mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double"))
+    rows = id_and_text(docs, id_col, text_col)
+    return null_ids(rows.withColumn("held_out", held_out(F.col("doc_id")))
+                    .mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double"))
+
+
+def keep_known(docs: DataFrame, model: Model, min_score: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, whose language is predicted with a score
+    of at least ``min_score``, and those without an id."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    cols = docs.columns
+    text_at, id_at = cols.index(text_col), cols.index(id_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(shared.value)
+        for rows in batches:
+            kept = [i is None or x != UNKNOWN and s >= min_score for i, (x, s) in
+                    zip(rows.column(id_at).to_pylist(), (score(t) for t in rows.column(text_at).to_pylist()))]
+            yield rows.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ranklane.llm.common import id_and_text, written
+from ranklane.llm.common import id_and_text, null_ids, written
 
 _SPACE = str.maketrans("", "", " \t\n\x0b\x0c\r")
 _SYMBOLS = "#*$%&|<>"
@@ -64,8 +64,8 @@ def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found.insert(0, "doc_id", rows["doc_id"].to_numpy())
             yield found
 
-    return id_and_text(docs, id_col, text_col).mapInPandas(
-        run, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
+    return null_ids(id_and_text(docs, id_col, text_col).mapInPandas(
+        run, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)))
 
 
 @dataclass(frozen=True)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ranklane.llm.common import id_and_text, written
+from ranklane.llm.common import id_and_text, null_ids, written
 
 SHARDS = 40
 OVERHEAD = 16
@@ -90,7 +90,7 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, size, text_crc32, digest, shard, slot) for every row: shards of
     near equal bytes, groups of equal text whole, slots gapless from 0."""
     text = F.coalesce("text", F.lit(""))
-    marked = written(id_and_text(docs, id_col, text_col).select(
+    marked = written(null_ids(id_and_text(docs, id_col, text_col)).select(
         "doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.sha2(F.encode(text, "UTF-8"), 256).alias("digest")), "shard-marked")
     # two groups whose digests share this hash would only be kept together

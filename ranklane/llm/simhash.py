@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranklane.llm.common import id_and_text, written
+from ranklane.llm.common import id_and_text, null_ids, written
 from ranklane.llm.graph import connected_components
 
 SHINGLE = 4
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t, shingle, seed) for t in rows["text"]], np.uint64)
             yield pd.DataFrame({"doc_id": rows["doc_id"], "fp": fp.view(np.int64)})
 
-    return id_and_text(docs, id_col, text_col).mapInPandas(run, "doc_id long, fp long")
+    return null_ids(id_and_text(docs, id_col, text_col).mapInPandas(run, "doc_id long, fp long"))
 
 
 def pivots(count: int = PIVOTS) -> np.ndarray:

@@ -435,7 +435,7 @@ def _covered(r, bits: int, length: int) -> tuple[_Suffixes, np.ndarray]:
     return s, np.cumsum(marks[:-1]) > 0
 
 
-def without_covered(flagged: DataFrame, offsets: DataFrame, bits: int, length: int) -> DataFrame:
+def without_covered(flagged: DataFrame, offsets: DataFrame, bits: int, length: int, as_text: bool) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for r in rows.itertuples():
@@ -449,17 +449,21 @@ def without_covered(flagged: DataFrame, offsets: DataFrame, bits: int, length: i
                 removed = total[ends] - total[starts]
                 kept = [data[s:e].tobytes() if not n else data[s:e][~gone[s:e]].tobytes()
                         for s, e, n in zip(starts.tolist(), ends.tolist(), removed.tolist())]
+                if as_text:
+                    kept = [k.decode("utf-8", "ignore") for k in kept]
                 yield pd.DataFrame({"doc_id": ids, "n_bytes": ends - starts, "n_removed": removed,
                                     "n_spans": spans[ends] - spans[starts], "kept": kept})
 
     found = offsets.groupBy("block").agg(F.collect_list(F.struct("part", "offsets")).alias("offsets"))
     return flagged.join(found, "block", "left").mapInPandas(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
+                   as_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for every row: ``kept`` is
-    the UTF-8 bytes that stay."""
+    the UTF-8 bytes that stay, or the text they make, without what is left of
+    characters that were cut."""
     if length < GRAM + 1:
         raise ValueError(f"length must be over {GRAM}")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -472,8 +476,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     flags = flags.groupBy("block").agg(F.collect_list(F.struct("bucket", "flags")).alias("flags"))
     flagged = blocks.join(flags, "block", "left").select("block", "ids", "sizes", "data", "flags")
     offsets = written(earlier_strings(suffix_runs(flagged, bits, length), length), "suffix-offsets")
-    out = without_covered(flagged, offsets, bits, length)
+    out = without_covered(flagged, offsets, bits, length, as_text)
     alone = rows.where("doc_id is null").select(
-        "doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("kept"))
+        "doc_id", (F.coalesce("text", F.lit("")) if as_text else F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("kept"))
     return out.union(alone.select("doc_id", F.octet_length("kept").cast("long"), F.lit(0).cast("long"),
                                   F.lit(0).cast("long"), "kept"))

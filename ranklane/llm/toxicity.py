@@ -34,14 +34,14 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranklane.llm.common import held_out, id_and_text, written
+from ranklane.llm.common import held_out, id_and_text, null_ids, written
 
 MAX_ROWS = 16_000
 MAX_LEXICON = 400
 MIN_CLASS = 4
 THRESHOLD = 0.7
 STEM = 5
-CACHE = 300_000
+CACHE = 150_000
 NEAR = 5  # words between a second-person word and a hit
 
 INSULTS = frozenset("""
@@ -244,7 +244,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             made = _margin(made, trees, f"m{n}")
         scored = model.curve.transform(made.withColumn("margin", (F.col("m0") + F.col("m1")) / 2))
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
-    return scored.select("doc_id", "held_out", score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
+    return null_ids(scored.select("doc_id", "held_out", score.alias("score"), (score >= threshold).cast("int").alias("predicted")))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -11,6 +11,11 @@ from ranklane.llm import bpe
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+@pytest.fixture(scope="module")
+def words():
+    return bpe.WordCodec(PATH)
+
+
 @pytest.fixture(scope="module")
 def library():
     return Tokenizer.from_file(PATH)
@@ -27,8 +32,8 @@ def greedy(symbols, merges):
         ids[i:i + 2] = [merges.of[ids[i], ids[i + 1]][1]]
 
 
-def test_trees_as_the_rule():
-    words, rng = bpe.codec(PATH), random.Random(2)
+def test_trees_as_the_rule(words):
+    rng = random.Random(2)
     cases = []
     for _ in range(600):
         b = "".join(rng.choices("abethinosrld", k=rng.choice([1, 2, 3, 5, 8, 9, 17, 40, 64, 65, 66, 130]))).encode()
@@ -44,10 +49,9 @@ TEXTS = ["", " ", "Hello, World! it's 2024's BEST", "don't we'll I'm they've", "
          "n1234567890", "''s''t", "#*$%&|<>" * 5, "a" * 5000, "ab" * 300 + "." * 300, "ﬁ ǅ ŉ ẞ", "\x00\x01 nul", "don'T 'S 'Re"]
 
 
-def test_ids_and_decoding_as_the_library(library):
+def test_ids_and_decoding_as_the_library(words, library):
     docs = [r[0] for r in __import__("duckdb").sql(
         "select text from '/root/testdata/sf0.01/documents.parquet' where text is not null").fetchall()]
-    words = bpe.codec(PATH)
     texts = TEXTS + docs
     want = library.encode_batch(texts, add_special_tokens=False)
     for t, w, (ids, text) in zip(texts, want, words.encode_batch(texts)):
@@ -55,10 +59,10 @@ def test_ids_and_decoding_as_the_library(library):
         assert text == library.decode(w.ids, skip_special_tokens=False) == words.decode(ids.tolist()), t[:80]
 
 
-def test_small_cache_gives_the_same():
+def test_small_cache_gives_the_same(words):
     small = bpe.WordCodec(PATH, cache=3)
     for t in TEXTS:
-        a, b = small.encode_batch([t])[0], bpe.codec(PATH).encode_batch([t])[0]
+        a, b = small.encode_batch([t])[0], words.encode_batch([t])[0]
         assert (a[0] == b[0]).all() and a[1] == b[1]
 
 
