@@ -7,7 +7,8 @@ items are joined, so a passage is found although tokens were replaced, as long
 as one mask somewhere ignores the replaced ones. Each hit gives a diagonal: the
 document's tokens laid beside the item's. There, a window of ``window`` tokens
 (the whole item, if it is shorter) with at least ``overlap`` of its tokens
-equal, place by place, is a verified passage.
+equal, place by place, is a verified passage. The masks miss none at the default
+window and overlap; a larger window or a lower overlap may need more of them.
 
 The seeds of a document are made where its tokens are, in the scan's stage, and
 only hits leave it. The benchmark's seeds are broadcast if they are counted to
@@ -15,8 +16,8 @@ be few (``BROADCAST_SEEDS``); beyond that both sides are shuffled by seed, with
 the same result.
 
 Defined cases: a null text counts as empty; items of fewer than ``MIN_ITEM``
-tokens are too common to look for; shorter items than a mask are looked for
-whole; repeated ids are one document; passages in rows with a null id are
+tokens are too common to look for; items of fewer than ``SHORT`` tokens are
+looked for whole; repeated ids are one document; passages in rows with a null id are
 reported under a null id.
 """
 
@@ -25,7 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MASKS = ("110101011", "101101101", "111000111")
+# every mask begins and ends with a 1. Of the ways to replace a fifth of 9 to 20
+# tokens none escapes all of them (tests/llm/test_masks.py tries each)
+MASKS = ("110101011", "101101101", "111000111", "111111", "1111011", "1101111", "11101101")
+#: items of fewer tokens are looked for whole
+SHORT = 9
 WINDOW = 20
 OVERLAP = 0.8
 MIN_ITEM = 5
@@ -64,9 +69,8 @@ def passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     verified passage, and the equal tokens of its best window."""
     bench = (items.select(F.col(f"`{item_id}`").alias("item_id"), tokens(F.col(f"`{item_text}`")).alias("b"))
              .where(F.size("b") >= MIN_ITEM).distinct())
-    span = len(MASKS[0])
-    sizes = bench.where(F.size("b") < span).select(F.size("b").alias("n")).distinct()
-    short = sorted(r.n for r in sizes.collect())  # at most span - MIN_ITEM values
+    sizes = bench.where(F.size("b") < SHORT).select(F.size("b").alias("n")).distinct()
+    short = sorted(r.n for r in sizes.collect())  # at most SHORT - MIN_ITEM values
     masks = [*MASKS, *("1" * n for n in short)]
     # a mask for a short length is for items of that length
     bench_seeds = (_seeds(bench, "b", "j", masks)
@@ -114,7 +118,8 @@ def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
         F.max(F.col("matched") / F.col("compared")).alias("overlap"))
 
 
-#: the same in DuckDB SQL, with token strings instead of hashes
+#: nearly the same in DuckDB SQL, with token strings instead of hashes: it has the
+#: first three masks alone and looks for short items whole, so it can find less
 ORACLE = """
 WITH toks AS (
   SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS d FROM documents),
