@@ -16,8 +16,8 @@ be few (``BROADCAST_SEEDS``); beyond that both sides are shuffled by seed, with
 the same result.
 
 Defined cases: a null text counts as empty; items of fewer than ``MIN_ITEM``
-tokens are too common to look for; items of fewer than ``SHORT`` tokens are
-looked for whole; repeated ids are one document; passages in rows with a null id are
+tokens are too common to look for; items of fewer than ``SHORT`` tokens have
+masks that ignore one position each; repeated ids are one document; passages in rows with a null id are
 reported under a null id.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 # every mask begins and ends with a 1. Of the ways to replace a fifth of 9 to 20
 # tokens none escapes all of them (tests/llm/test_masks.py tries each)
 MASKS = ("110101011", "101101101", "111000111", "111111", "1111011", "1101111", "11101101")
-#: items of fewer tokens are looked for whole
+#: items of fewer tokens have masks of their own size
 SHORT = 9
 WINDOW = 20
 OVERLAP = 0.8
@@ -44,6 +44,12 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
+def short_masks(n: int) -> list[str]:
+    """Masks that ignore one of ``n`` positions each: a run of ``n`` - 1 tokens
+    (an end is ignored) and the inner positions."""
+    return ["1" * (n - 1), *("1" * k + "0" + "1" * (n - 1 - k) for k in range(1, n - 1))]
+
+
 def _seeds(df: DataFrame, toks: str, at: str, masks: list[str]) -> DataFrame:
     """A row per position and mask: ``at``, ``mask`` and the ``seed``. One
     seed expression serves all masks (their places come from a literal table):
@@ -71,10 +77,12 @@ def passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
              .where(F.size("b") >= MIN_ITEM).distinct())
     sizes = bench.where(F.size("b") < SHORT).select(F.size("b").alias("n")).distinct()
     short = sorted(r.n for r in sizes.collect())  # at most SHORT - MIN_ITEM values
-    masks = [*MASKS, *("1" * n for n in short)]
+    own = [(mask, n) for n in short for mask in short_masks(n)]
+    masks = [*MASKS, *(mask for mask, _ in own)]
     # a mask for a short length is for items of that length
+    sized = F.get(F.lit([0] * len(MASKS) + [n for _, n in own]), F.col("mask"))
     bench_seeds = (_seeds(bench, "b", "j", masks)
-                   .where((F.col("mask") < len(MASKS)) | (F.size("b") == F.get(F.lit([len(m) for m in masks]), F.col("mask"))))
+                   .where((F.col("mask") < len(MASKS)) | (F.size("b") == sized))
                    .select("seed", "item_id", "b", "j"))
     few = bench_seeds.count() <= broadcast_seeds
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), tokens(F.col(f"`{text_col}`")).alias("d"))

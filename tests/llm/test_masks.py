@@ -30,3 +30,11 @@ def found(spark, items, docs):
 def test_every_pattern_of_9_to_20_tokens(spark):
     items, docs, want = patterns(range(9, 21))
     assert len(docs) > 7_000 and found(spark, items, docs) == want
+
+
+def test_every_pattern_of_short_items(spark):
+    items, docs, want = patterns(range(5, 9))
+    inside = [(100 + i, f"y1 y2 {t} z1") for i, t in docs]
+    assert found(spark, items, [*docs, *inside]) == want | {(100 + i, k) for i, k in want}
+    cut = [(0, "i5t1 i5t2 i5t3 i5t4"), (1, "i8t0 i8t1 i8t2 i8t3 i8t4 i8t5 i8t6"), (2, "i5t1 i5t2 i5t3")]
+    assert found(spark, items, cut) == plain(cut, items) == {(0, 5), (1, 8)}
