@@ -6,9 +6,9 @@ five characters, then four, down to one. A document's score is the posterior
 over the languages of all its words.
 
 Fitting reads at most about ``rows_per_lang`` labelled documents a language
-(a fixed hash of the id chooses them), and keeps the ``max_words`` most
-frequent words and ``max_grams`` most frequent n-grams: the model has a fixed
-largest size and is broadcast. Prediction reads every whole text.
+(a fixed hash of the id chooses them), and keeps at most ``max_words`` words and
+``max_grams`` n-grams: each language's most frequent up to an equal share, then
+the most frequent of all. The model has a fixed largest size and is broadcast. Prediction reads every whole text.
 
 Defined cases: ``und`` with score 0 for a null text or one without a letter;
 no labelled document gives ``und`` everywhere; a word with no known n-gram
@@ -82,7 +82,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     counted = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
     by_lang = F.map_from_entries(F.collect_list(F.struct("lang", "n")))
     word_table = (counted.groupBy("word").agg(by_lang.alias("n"), F.sum("n").alias("total"))
-                  .where("total > 1").orderBy(F.desc("total"), "word").limit(max_words))
+                  .where("total > 1"))
     padded = F.concat(F.lit("^"), "word", F.lit("$"))
     grams = counted.withColumn("p", padded).select(
         "lang", "n", F.explode(F.flatten(F.array(*[
@@ -92,7 +92,22 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             for n in ORDERS]))).alias("gram"))
     gram_table = (grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).groupBy("gram")
                   .agg(by_lang.alias("n"), F.sum("n").alias("total"))
-                  .where("total > 2").orderBy(F.desc("total"), "gram").limit(max_grams))
+                  .where("total > 2"))
+
+    def kept(table: DataFrame, key: str, most: int) -> list:
+        """Each language's most frequent rows, up to its share of ``most``;
+        what shares leave is filled by total."""
+        table, found = table.persist(), {}
+        for x in langs:
+            n = F.col("n")[x]
+            for r in table.where(n.isNotNull()).orderBy(n.desc(), key).limit(most // len(langs)).collect():
+                found[r[key]] = r
+        for r in table.orderBy(F.desc("total"), key).limit(most).collect():
+            if len(found) == most:
+                break
+            found.setdefault(r[key], r)
+        table.unpersist()
+        return list(found.values())
 
     def scored(table: list, key: str, order_of) -> dict[str, np.ndarray]:
         totals: dict[tuple, float] = {}
@@ -106,7 +121,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             math.log((r["n"].get(x, 0) + SMOOTH) / (totals.get((o, x), 0) + SMOOTH * sizes[o])) for x in langs])
             for r in table for o in [order_of(r[key])]}
 
-    words, grams = scored(word_table.collect(), "word", lambda w: 0), scored(gram_table.collect(), "gram", len)
+    words, grams = scored(kept(word_table, "word", max_words), "word", lambda w: 0), scored(kept(gram_table, "gram", max_grams), "gram", len)
     model.words = {w: i for i, w in enumerate(words)}
     model.grams = {g: len(words) + i for i, g in enumerate(grams)}
     model.table = np.array([*words.values(), *grams.values()]).reshape(-1, len(langs))
