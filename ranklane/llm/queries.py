@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranklane.llm import bpe, decontaminate, langid, quality, sharding, simhash, suffix_dedup, token_store, toxicity, warc
+from ranklane.llm import bpe, decontaminate, langid, lexical, quality, sharding, simhash, suffix_dedup, token_store, toxicity, warc
 from ranklane.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_toxicity_trees")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op13_best_position", lexical.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
