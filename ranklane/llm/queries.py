@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranklane.llm import bpe, decontaminate, langid, lexical, quality, sharding, simhash, suffix_dedup, token_store, toxicity, warc
+from ranklane.llm import (bpe, decontaminate, langid, lexical, minhash, quality, sharding, simhash, suffix_dedup, token_store,
+                          toxicity, warc, whitening)
 from ranklane.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +89,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query("op11_cholesky_jacobi_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+@query("op12_one_permutation_minhash")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.edited_fingerprints(read_table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
 @query("op13_best_position", lexical.ORACLE)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
