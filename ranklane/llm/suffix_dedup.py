@@ -23,6 +23,11 @@ the common prefixes of neighbours, which say, for each offset of a string
 around its anchor, which suffixes hold equal strings; the smallest id of those
 goes back to the blocks as the offsets to remove.
 
+Blocks are files in the shared folder, read by the tasks that need them: only
+flags, runs and offsets pass through shuffles, and Spark's own memory never
+holds texts. A task that runs again names its files anew, and a file counts
+once its row of the table of blocks is committed.
+
 What is held at once: a block of documents (``BLOCK`` bytes, or one longer
 document), and the runs of a merge part, whose number follows the input. A
 string that very many documents share is one entry a run.
@@ -34,6 +39,8 @@ place in the order: it keeps all its bytes and takes none from others.
 
 from __future__ import annotations
 
+import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,12 +51,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranklane.llm.common import written
+from ranklane.llm.files import open_read, open_write
+from ranklane.session import scratch_path
 
 LENGTH = 50
 GRAM = 20
 BLOCK = 8 << 20
 #: anchors a hash bucket, and suffixes a merge part, about
 BUCKET = 1 << 18
+#: most tasks that a step over blocks is dealt to
+TASKS = 1 << 17
 _CHUNK = 1 << 17
 _BYTE = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -135,23 +146,35 @@ def _anchor_places(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.
     return (np.concatenate(found), np.concatenate(hashes)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def _read_block(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, document ends, document ids) of a block row."""
-    return (_unpack(r.data, np.uint8), np.cumsum(np.frombuffer(r.sizes, np.int64)), np.frombuffer(r.ids, np.int64))
+def _write_block(uri: str, ids: list[int], texts: list[bytes]) -> None:
+    parts = [_pack(np.array(ids, np.int64)), _pack(np.array([len(t) for t in texts], np.int64)),
+             zstandard.compress(b"".join(texts), 3)]
+    with open_write(uri) as f:
+        f.write(struct.pack("<QQQ", *map(len, parts)))
+        for p in parts:
+            f.write(p)
+
+
+def _read_block(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, document ends, document ids) of a block."""
+    with open_read(uri) as f:
+        sizes = struct.unpack("<QQQ", f.read(24))
+        ids, lengths = (_unpack(f.read(n), np.int64) for n in sizes[:2])
+        return _unpack(f.read(sizes[2]), np.uint8), np.cumsum(lengths), ids
 
 
 def blocks_of(docs: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Documents in order of the scan, packed to rows of about ``size`` bytes."""
+    """Documents in order of the scan, in files of about ``size`` bytes:
+    (block, n_bytes, file)."""
+    folder = scratch_path(docs.sparkSession, "suffix-blocks")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made, ids, texts, held = 0, [], [], 0
+        part, made, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
 
         def row():
-            data = b"".join(texts)
-            return pd.DataFrame({"block": [(TaskContext.get().partitionId() << 24) + made], "n_bytes": [len(data)],
-                                 "ids": [np.array(ids, np.int64).tobytes()],
-                                 "sizes": [np.array([len(t) for t in texts], np.int64).tobytes()],
-                                 "data": [zstandard.compress(data, 3)]})
+            uri = f"{folder}/part-{part:07d}-{made:07d}-{uuid.uuid4().hex}.block"
+            _write_block(uri, ids, texts)
+            return pd.DataFrame({"block": [(part << 24) + made], "n_bytes": [held], "file": [uri]})
         for rows in batches:
             for i, t in zip(rows["doc_id"], rows["text"]):
                 t = (t or "").encode("utf-8", "surrogatepass")
@@ -164,7 +187,22 @@ def blocks_of(docs: DataFrame, size: int = BLOCK) -> DataFrame:
         if ids:
             yield row()
 
-    return docs.mapInPandas(run, "block long, n_bytes long, ids binary, sizes binary, data binary")
+    return docs.mapInPandas(run, "block long, n_bytes long, file string")
+
+
+def _dealt(blocks: DataFrame, *more: DataFrame) -> DataFrame:
+    """Blocks with the rows of other steps for them: (block, file, kind, place,
+    data), the block itself being kind 0 and the tables of ``more`` 1, 2, ... A
+    given number of partitions, since rows are small beside the blocks' files."""
+    rows = blocks.select("block", "file", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("place"),
+                         F.lit(None).cast("binary").alias("data"))
+    n = max(1, min(TASKS, blocks.count()))
+    if not more:
+        return rows.repartitionByRange(n, "block")
+    for kind, other in enumerate(more, 1):
+        place, data = other.columns[1:]
+        rows = rows.union(other.select("block", F.lit(None).cast("string"), F.lit(kind), place, data))
+    return rows.repartition(n, "block").groupBy("block")
 
 
 def _distinct(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,7 +231,7 @@ def repeated_anchors(blocks: DataFrame, bits: int, width: int, length: int) -> D
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for r in rows.itertuples():
-                data, ends, ids = _read_block(r)
+                data, ends, ids = _read_block(r.file)
                 at, hashes, _, _ = anchors(data, ends, length)
                 distinct, _, twice = _distinct(hashes, ids[np.searchsorted(ends, at, "right")])
                 cut = _cut(distinct, bits)
@@ -217,7 +255,7 @@ def repeated_anchors(blocks: DataFrame, bits: int, width: int, length: int) -> D
         return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"],
                              "flags": [np.packbits(b).tobytes() for b in back]})
 
-    sent = blocks.mapInPandas(send, "bucket int, block long, hashes binary, twice binary")
+    sent = _dealt(blocks).mapInPandas(send, "bucket int, block long, hashes binary, twice binary")
     return sent.groupBy("bucket").applyInPandas(count, "block long, bucket int, flags binary")
 
 
@@ -226,12 +264,15 @@ def _contexts(data, at, least, most, length) -> np.ndarray:
     bytes of each belong to strings of the anchor (the others are 0)."""
     left = length - GRAM
     padded = np.concatenate([np.zeros(left, np.uint8), data, np.zeros(length, np.uint8)])
-    both = np.lib.stride_tricks.sliding_window_view(padded, left + length)[at]
+    windows = np.lib.stride_tricks.sliding_window_view(padded, left + length)
     out = np.zeros((len(at), length + left + 2), np.uint8)
-    out[:, :length] = both[:, left:]
-    out[:, length:length + left] = both[:, :left][:, ::-1]
-    out[:, :length][np.arange(length) >= (length - least)[:, None]] = 0
-    out[:, length:length + left][np.arange(left) >= most[:, None]] = 0
+    for lo in range(0, len(at), _CHUNK >> 2):
+        some = slice(lo, lo + (_CHUNK >> 2))
+        both, part = windows[at[some]], out[some]
+        part[:, :length] = both[:, left:]
+        part[:, length:length + left] = both[:, :left][:, ::-1]
+        part[:, :length][np.arange(length) >= (length - least[some])[:, None]] = 0
+        part[:, length:length + left][np.arange(left) >= most[some][:, None]] = 0
     out[:, -2], out[:, -1] = length - least, most
     return out
 
@@ -252,15 +293,18 @@ def _sorted_rows(keys: np.ndarray) -> np.ndarray:
 class _Suffixes:
     """The sorted suffixes of a block whose anchors are in two documents."""
 
-    def __init__(self, r, bits: int, length: int):
-        self.data, self.ends, self.ids = _read_block(r)
+    def __init__(self, rows: pd.DataFrame, bits: int, length: int):
+        """``rows``: a block's row and those of its flags, as ``_dealt``."""
+        self.block = int(rows["block"].iloc[0])
+        self.data, self.ends, self.ids = _read_block(rows["file"][rows["kind"] == 0].iloc[0])
         at, hashes, least, most = anchors(self.data, self.ends, length)
         doc = self.ids[np.searchsorted(self.ends, at, "right")]
         distinct, inverse, _ = _distinct(hashes, doc)
         cut, repeated = _cut(distinct, bits), np.zeros(len(distinct), bool)
-        for f in r.flags if r.flags is not None else ():
-            lo, hi = cut[f["bucket"]], cut[f["bucket"] + 1]
-            repeated[lo:hi] = np.unpackbits(np.frombuffer(f["flags"], np.uint8), count=hi - lo)
+        flags = rows[rows["kind"] == 1]
+        for bucket, bits_of in zip(flags["place"].astype(int), flags["data"]):
+            lo, hi = cut[bucket], cut[bucket + 1]
+            repeated[lo:hi] = np.unpackbits(np.frombuffer(bits_of, np.uint8), count=hi - lo)
         use = repeated[inverse]
         at, least, most, doc = at[use], least[use], most[use], doc[use]
         part = (hashes[use] >> np.uint64(64 - bits)).astype(np.int64)
@@ -279,23 +323,20 @@ class _Suffixes:
         self.low = np.minimum.reduceat(self.doc, first) if len(first) else np.zeros(0, np.int64)
 
 
-def suffix_runs(flagged: DataFrame, bits: int, length: int) -> DataFrame:
-    """Front-coded sorted runs, one a block and merge part, of blocks with the
-    flags of their anchors."""
+def suffix_runs(blocks: DataFrame, flags: DataFrame, bits: int, length: int) -> DataFrame:
+    """Front-coded sorted runs, one a block and merge part."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for r in rows.itertuples():
-                s = _Suffixes(r, bits, length)
-                bounds = np.flatnonzero(np.concatenate([[True], s.part[1:] != s.part[:-1], [True]])) if len(s.part) else []
-                made = []
-                for lo, hi in zip(bounds[:-1], bounds[1:]):
-                    tails = s.keys[lo:hi][np.arange(s.keys.shape[1]) >= s.shared[lo:hi, None]]
-                    made.append((int(s.part[lo]), r.block, int(hi - lo), _pack(s.shared[lo:hi].astype(np.uint8)),
-                                 _pack(tails), _pack(s.low[lo:hi])))
-                yield pd.DataFrame(made, columns=["part", "block", "n", "shared", "tails", "docs"])
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        s = _Suffixes(rows, bits, length)
+        bounds = np.flatnonzero(np.concatenate([[True], s.part[1:] != s.part[:-1], [True]])) if len(s.part) else []
+        made = []
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            tails = s.keys[lo:hi][np.arange(s.keys.shape[1]) >= s.shared[lo:hi, None]]
+            made.append((int(s.part[lo]), s.block, int(hi - lo), _pack(s.shared[lo:hi].astype(np.uint8)),
+                         _pack(tails), _pack(s.low[lo:hi])))
+        return pd.DataFrame(made, columns=["part", "block", "n", "shared", "tails", "docs"])
 
-    return flagged.mapInPandas(run, "part int, block long, n int, shared binary, tails binary, docs binary")
+    return _dealt(blocks, flags).applyInPandas(run, "part int, block long, n int, shared binary, tails binary, docs binary")
 
 
 def _decoded(shared: list[int], tails: bytes, width: int) -> Iterator[tuple[int, bytes]]:
@@ -419,43 +460,40 @@ def earlier_strings(runs: DataFrame, length: int) -> DataFrame:
     return runs.groupBy("part").applyInPandas(merge, "block long, part int, offsets binary")
 
 
-def _covered(r, bits: int, length: int) -> tuple[_Suffixes, np.ndarray]:
+def _covered(rows: pd.DataFrame, bits: int, length: int) -> tuple[_Suffixes, np.ndarray]:
     """A block's suffixes, and which of its bytes go."""
-    s = _Suffixes(r, bits, length)
+    s = _Suffixes(rows, bits, length)
     marks = np.zeros(len(s.data) + 1, np.int32)
     if len(s.at):
-        offsets = np.concatenate([_unpack(o["offsets"], np.uint8).reshape(-1, 2) for o in
-                                  sorted(r.offsets, key=lambda o: o["part"])])[s.entry].astype(np.int64)
+        found = rows[rows["kind"] == 2].sort_values("place")["data"]
+        offsets = np.concatenate([_unpack(o, np.uint8).reshape(-1, 2) for o in found])[s.entry]
         later = s.doc > s.low[s.entry]  # the entry's own first document has all its strings
         least, most = np.where(later, s.least, offsets[:, 0]), np.where(later, s.most, offsets[:, 1])
         use = least <= most
         # strings around one anchor overlap, so together they are one stretch
         np.add.at(marks, (s.at - most)[use], 1)
         np.add.at(marks, (s.at - least + length)[use], -1)
-    return s, np.cumsum(marks[:-1]) > 0
-
-
-def without_covered(flagged: DataFrame, offsets: DataFrame, bits: int, length: int, as_text: bool) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for r in rows.itertuples():
-                s, gone = _covered(r, bits, length)
-                data, ends, ids = s.data, s.ends, s.ids
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                total = np.concatenate([[0], np.cumsum(gone)])
-                begins = gone & ~np.concatenate([[False], gone[:-1]])[:len(gone)]
-                begins[starts[starts < len(gone)]] = gone[starts[starts < len(gone)]]
-                spans = np.concatenate([[0], np.cumsum(begins)])
-                removed = total[ends] - total[starts]
-                kept = [data[s:e].tobytes() if not n else data[s:e][~gone[s:e]].tobytes()
-                        for s, e, n in zip(starts.tolist(), ends.tolist(), removed.tolist())]
-                if as_text:
-                    kept = [k.decode("utf-8", "ignore") for k in kept]
-                yield pd.DataFrame({"doc_id": ids, "n_bytes": ends - starts, "n_removed": removed,
-                                    "n_spans": spans[ends] - spans[starts], "kept": kept})
-
-    found = offsets.groupBy("block").agg(F.collect_list(F.struct("part", "offsets")).alias("offsets"))
-    return flagged.join(found, "block", "left").mapInPandas(
+    return s, np.cumsum(marks[:-1], dtype=np.int32) > 0
+
+
+def without_covered(blocks: DataFrame, flags: DataFrame, offsets: DataFrame, bits: int, length: int, as_text: bool) -> DataFrame:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        s, gone = _covered(rows, bits, length)
+        data, ends, ids = s.data, s.ends, s.ids
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(gone)])
+        begins = gone & ~np.concatenate([[False], gone[:-1]])[:len(gone)]
+        begins[starts[starts < len(gone)]] = gone[starts[starts < len(gone)]]
+        spans = np.concatenate([[0], np.cumsum(begins)])
+        removed = total[ends] - total[starts]
+        kept = [data[s:e].tobytes() if not n else data[s:e][~gone[s:e]].tobytes()
+                for s, e, n in zip(starts.tolist(), ends.tolist(), removed.tolist())]
+        if as_text:
+            kept = [k.decode("utf-8", "ignore") for k in kept]
+        return pd.DataFrame({"doc_id": ids, "n_bytes": ends - starts, "n_removed": removed,
+                             "n_spans": spans[ends] - spans[starts], "kept": kept})
+
+    return _dealt(blocks, flags, offsets).applyInPandas(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary"))
 
 
@@ -467,16 +505,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if length < GRAM + 1:
         raise ValueError(f"length must be over {GRAM}")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    blocks = written(blocks_of(rows.where("doc_id is not null")), "suffix-blocks")
+    blocks = written(blocks_of(rows.where("doc_id is not null")), "suffix-table")
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     expected = total * 2 // (length - GRAM + 2)
     bits = max(2, (expected // BUCKET).bit_length())
     width = min(8 - (bits + 7) // 8, max(4, (total.bit_length() + 12 - bits + 7) // 8))
     flags = written(repeated_anchors(blocks, bits, width, length), "suffix-flags")
-    flags = flags.groupBy("block").agg(F.collect_list(F.struct("bucket", "flags")).alias("flags"))
-    flagged = blocks.join(flags, "block", "left").select("block", "ids", "sizes", "data", "flags")
-    offsets = written(earlier_strings(suffix_runs(flagged, bits, length), length), "suffix-offsets")
-    out = without_covered(flagged, offsets, bits, length, as_text)
+    offsets = written(earlier_strings(suffix_runs(blocks, flags, bits, length), length), "suffix-offsets")
+    out = without_covered(blocks, flags, offsets, bits, length, as_text)
     alone = rows.where("doc_id is null").select(
         "doc_id", (F.coalesce("text", F.lit("")) if as_text else F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("kept"))
     return out.union(alone.select("doc_id", F.octet_length("kept").cast("long"), F.lit(0).cast("long"),
