@@ -43,7 +43,7 @@ SHINGLE = 5
 BINS = 512
 BITS = 4
 #: bytes of text a bucket of consecutive documents, about, and the most buckets
-BUCKET = 16 << 20
+BUCKET = 2 << 20
 MAX_BUCKETS = 1 << 16
 _PIECE = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
