@@ -38,6 +38,23 @@ def valid_tokens(c, stop_words: list[str] | None = None) -> Column:
     return F.filter(_col(c), lambda t: is_valid_token(t, stop_words))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once for a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def term_bag(tokens: Column) -> Column:
+    """Distinct terms of a token array with their counts, sorted by term:
+    ``array<struct<term, tf>>``. Row-local: sorting brings equal tokens
+    together, and a term's count is the distance to the next term's start."""
+    def counted(s):
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return _let(starts, lambda at: F.transform(at, lambda i, k: F.struct(
+            F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("tf"))))
+    return _let(F.sort_array(tokens), counted)
+
+
 def sentence_count(c) -> Column:
     """Number of non-blank pieces between sentence ends."""
     parts = F.split(F.coalesce(_col(c), F.lit("")), SENTENCE_SPLIT)

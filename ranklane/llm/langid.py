@@ -184,18 +184,16 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     .mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double"))
 
 
-def keep_known(docs: DataFrame, model: Model, min_score: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_known(docs: DataFrame, model: Model, min_score: float, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, whole, whose language is predicted with a score
-    of at least ``min_score``, and those without an id."""
+    of at least ``min_score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    cols = docs.columns
-    text_at, id_at = cols.index(text_col), cols.index(id_col)
+    text_at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(shared.value)
         for rows in batches:
-            kept = [i is None or x != UNKNOWN and s >= min_score for i, (x, s) in
-                    zip(rows.column(id_at).to_pylist(), (score(t) for t in rows.column(text_at).to_pylist()))]
+            kept = [x != UNKNOWN and s >= min_score for x, s in map(score, rows.column(text_at).to_pylist())]
             yield rows.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -45,6 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -490,18 +491,23 @@ def without_covered(blocks: DataFrame, flags: DataFrame, offsets: DataFrame, bit
                 for s, e, n in zip(starts.tolist(), ends.tolist(), removed.tolist())]
         if as_text:
             kept = [k.decode("utf-8", "ignore") for k in kept]
-        return pd.DataFrame({"doc_id": ids, "n_bytes": ends - starts, "n_removed": removed,
-                             "n_spans": spans[ends] - spans[starts], "kept": kept})
+        out = {"doc_id": ids, "n_bytes": ends - starts, "n_removed": removed, "n_spans": spans[ends] - spans[starts], "kept": kept}
+        if as_text:
+            out["digest"] = np.array([xxhash.xxh64_intdigest(data[s:e], 42) for s, e in zip(starts.tolist(), ends.tolist())],
+                                     np.uint64).view(np.int64)
+        return pd.DataFrame(out)
 
     return _dealt(blocks, flags, offsets).applyInPandas(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary"))
+        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept " + ("string, digest long" if as_text else "binary"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                    as_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for every row: ``kept`` is
     the UTF-8 bytes that stay, or the text they make, without what is left of
-    characters that were cut."""
+    characters that were cut. With texts also ``digest``, Spark's xxhash64 of
+    the input text (of an empty one for a null), which tells apart rows that
+    share an id."""
     if length < GRAM + 1:
         raise ValueError(f"length must be over {GRAM}")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -513,7 +519,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     flags = written(repeated_anchors(blocks, bits, width, length), "suffix-flags")
     offsets = written(earlier_strings(suffix_runs(blocks, flags, bits, length), length), "suffix-offsets")
     out = without_covered(blocks, flags, offsets, bits, length, as_text)
-    alone = rows.where("doc_id is null").select(
-        "doc_id", (F.coalesce("text", F.lit("")) if as_text else F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("kept"))
-    return out.union(alone.select("doc_id", F.octet_length("kept").cast("long"), F.lit(0).cast("long"),
-                                  F.lit(0).cast("long"), "kept"))
+    text = F.coalesce("text", F.lit(""))
+    alone = rows.where("doc_id is null").select("doc_id", (text if as_text else F.encode(text, "UTF-8")).alias("kept"),
+                                                F.xxhash64(text).alias("digest"))
+    alone = alone.select("doc_id", F.octet_length("kept").cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), "kept", "digest")
+    return out.union(alone if as_text else alone.drop("digest"))

@@ -1,9 +1,10 @@
 """Ranking-feature library: query (7), document (22) and
 query-document (2 × 15) features as DataFrame aggregates.
 
-Shape of the query-document job: only *matched* rows are materialised —
-judged pairs ⋈ query valid terms ⋈ document valid postings on
-(doc_id, term) — and all 30 features are conditional sums of one
+Shape of the query-document job: judged pairs meet their query's terms (one
+array) and the document's term bags (one row a field) by document; the terms
+are looked up within that row, so only *matched* rows are made and no posting
+is shuffled. All 30 features are conditional sums of one
 ``groupBy(query_id, doc_id)``. The parts that do not depend on a match
 (Σ ln p over the query terms, qlen · ln α of the language models) are
 query- or field-level values added afterwards, so pairs with no matching
@@ -150,18 +151,32 @@ def with_topics(dfeat: DataFrame, topic_proba: DataFrame, n_topics: int = N_TOPI
 
 # ---- Q-D features ---------------------------------------------------------------
 
-def field_stats(field_tokens: DataFrame, stop_words=None) -> DataFrame:
-    """(doc_id, field, dlen, nuniq) over valid tokens — row-local."""
-    v = tx.valid_tokens("tokens", stop_words)
-    return field_tokens.select("doc_id", "field", F.size(v).alias("dlen"),
-                               F.size(F.array_distinct(v)).alias("nuniq"))
+def field_stats(bags: DataFrame) -> DataFrame:
+    """(doc_id, field, dlen, nuniq) of valid-term bags — row-local."""
+    return bags.select("doc_id", "field", F.col("n_tokens").alias("dlen"), F.size("bag").alias("nuniq"))
 
 
-def qd_matched_terms(pairs: DataFrame, qterms: DataFrame, vpostings: DataFrame) -> DataFrame:
-    """(query_id, doc_id, field, term, qtf, tf): query terms present in the
-    document field (J12 as an equi-join on (doc_id, term))."""
-    pq = pairs.select("query_id", "doc_id").join(qterms, "query_id")
-    return pq.join(vpostings, ["doc_id", "term"])
+def query_term_arrays(qterms: DataFrame) -> DataFrame:
+    """(query_id, terms): a query's term rows, whatever their columns, as one
+    array. Bounded by the query's text."""
+    rest = [c for c in qterms.columns if c != "query_id"]
+    return qterms.groupBy("query_id").agg(F.collect_list(F.struct(*rest)).alias("terms"))
+
+
+def qd_matched_terms(pairs: DataFrame, qterms: DataFrame, bags: DataFrame) -> DataFrame:
+    """A row per query term present in a document field (J12): the columns of
+    ``qterms``, with doc_id, field, tf, dlen and nuniq. Pairs meet the term bags
+    by document, one row a field; the terms are looked up within that row, so no
+    posting is shuffled."""
+    met = (pairs.select("query_id", "doc_id").join(query_term_arrays(qterms), "query_id")
+           .join(bags, "doc_id"))
+    names = F.array_intersect(F.transform("terms", lambda t: t["term"]), F.transform("bag", lambda b: b["term"]))
+    met = met.select("query_id", "doc_id", "field", F.col("n_tokens").alias("dlen"), F.size("bag").alias("nuniq"),
+                     "terms", "bag", names.alias("common")).where(F.size("common") > 0)
+    found = F.transform(F.filter("terms", lambda t: F.array_contains(F.col("common"), t["term"])),
+                        lambda t: F.struct(t.alias("term"), F.filter(F.col("bag"), lambda b: b["term"] == t["term"])[0]["tf"].alias("tf")))
+    rows = met.select("query_id", "doc_id", "field", "dlen", "nuniq", F.inline(found))
+    return rows.select("query_id", "doc_id", "field", "term.*", "tf", "dlen", "nuniq")
 
 
 def _fx(field: str, coll: dict) -> dict[str, Column]:
@@ -204,9 +219,10 @@ def _fx(field: str, coll: dict) -> dict[str, Column]:
     }
 
 
-def qd_features(pairs: DataFrame, qterms: DataFrame, vpostings: DataFrame, fstats: DataFrame,
-                term_stats: DataFrame, coll: dict, extra: dict | None = None) -> DataFrame:
+def qd_features(pairs: DataFrame, qterms: DataFrame, bags: DataFrame, term_stats: DataFrame, coll: dict,
+                extra: dict | None = None) -> DataFrame:
     """(query_id, doc_id, title_<f>…, text_<f>…) for the 15 features × 2 fields.
+    ``bags``: valid-term bags (``stats.term_bags``) of the documents.
 
     ``extra`` (plug-in X1): name → function(coll) returning a Column over a
     matched row (columns tf, qtf, df, cf, dlen, nuniq); each is summed over
@@ -214,10 +230,9 @@ def qd_features(pairs: DataFrame, qterms: DataFrame, vpostings: DataFrame, fstat
     extra = extra or {}
     cn, vocab = float(coll["cn"]), float(coll["vocab"])
     pairs = pairs.select("query_id", "doc_id").distinct()
-    ts_q = _stats_for_terms(term_stats, qterms)
-    matched = (qd_matched_terms(pairs, qterms, vpostings)
-               .join(fstats, ["doc_id", "field"]))
-    matched = matched.join(ts_q, "term")
+    # the statistics join the query terms, not the matched rows
+    weighted = qterms.join(_stats_for_terms(term_stats, qterms), "term", "left")
+    matched = qd_matched_terms(pairs, weighted, bags)
     aggs = []
     for field in FIELDS:
         for name, c in _fx(field, coll).items():
@@ -228,10 +243,10 @@ def qd_features(pairs: DataFrame, qterms: DataFrame, vpostings: DataFrame, fstat
     m = matched.groupBy("query_id", "doc_id").agg(*aggs)
 
     # query-level parts: qlen and Σ ln p over the distinct query terms
-    qstats = qterms.join(ts_q, "term", "left").groupBy("query_id").agg(
+    qstats = weighted.groupBy("query_id").agg(
         F.sum("qtf").alias("qlen"),
         F.sum(F.ln((F.coalesce("cf", F.lit(0)) + 1) / F.lit(cn + vocab))).alias("sum_lnp"))
-    fs = fstats.groupBy("doc_id").agg(
+    fs = field_stats(bags).groupBy("doc_id").agg(
         *[F.max(F.when(F.col("field") == f, F.col(c))).alias(f"{f}_{c}")
           for f in FIELDS for c in ("dlen", "nuniq")])
     base = (pairs.join(fs, "doc_id", "left").join(qstats, "query_id", "left")
@@ -376,12 +391,8 @@ class FeatureStage:
         return query_valid_terms(self.query_details, self.stop_words)
 
     @cached_property
-    def postings(self):
-        return st.valid_term_freq(self.field_tokens, self.stop_words)
-
-    @cached_property
-    def field_stats(self):
-        return field_stats(self.field_tokens, self.stop_words)
+    def bags(self):
+        return st.term_bags(self.field_tokens, True, self.stop_words)
 
     @cached_property
     def q_features(self):
@@ -400,7 +411,7 @@ class FeatureStage:
     @cached_property
     def qd_features(self):
         pairs = self.judgements.select("query_id", "doc_id")
-        return qd_features(pairs, self.query_terms, self.postings, self.field_stats, self.term_stats, self.coll)
+        return qd_features(pairs, self.query_terms, self.bags, self.term_stats, self.coll)
 
     @cached_property
     def features(self):

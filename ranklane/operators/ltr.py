@@ -1,19 +1,16 @@
 """Linear rankers: z-scoring, scoring, and coordinate ascent.
 
-Coordinate ascent (Metzler & Croft 2007) runs as Spark jobs: every model
-key ``(…keys, restart)`` advances together; one job per (sweep, feature)
-evaluates all candidate step sizes for all keys — rows × candidates →
-ranks per (key, candidate, query) → NDCG@k → mean per (key, candidate) —
-and only the chosen step per key (bounded: keys × features weights) comes
-back to the driver. The training frame is checkpointed once to the shared
-checkpoint folder.
+Coordinate ascent (Metzler & Croft 2007) with an exact line search, as Spark
+jobs. Along one weight every score of a list is a line, so NDCG@k is a step
+function: it changes only where a document with a gain meets another one. Each
+list gives its steps as events (place on the line, change of the mean), the
+events of a model are summed and swept, and every stretch between two events is
+tried, not a grid of step sizes. All models and restarts take a coordinate in
+one job. The weights are a table; nothing is built or picked on the driver.
 """
 
 from __future__ import annotations
 
-import math
-import random
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,14 +28,16 @@ def to_long(divided: DataFrame, keys: list[str], prefix: str = "s") -> DataFrame
 
 def zscore_wide(divided: DataFrame, keys: list[str], prefix: str = "s") -> DataFrame:
     """Per-list z-score of every feature column (A22, sample deviation;
-    zero or undefined deviation → 0); wide in, wide out, ``z`` array added."""
+    constant values or one alone → 0); wide in, wide out."""
     from ranklane.operators.domains import fcols
+    from ranklane.operators.stats import is_constant
     cols = fcols(divided, prefix)
     w = Window.partitionBy(*keys, "query_id")
     zs = []
     for c in cols:
         sd = F.stddev_samp(c).over(w)
-        zs.append(F.when(sd.isNull() | (sd == 0), F.lit(0.0))
+        flat = is_constant(F.min(c).over(w), F.max(c).over(w))
+        zs.append(F.when(sd.isNull() | flat, F.lit(0.0))
                   .otherwise((F.col(c) - F.avg(c).over(w)) / sd).alias(c))
     return divided.select(*keys, "query_id", "doc_id", "relevance", *zs)
 
@@ -88,14 +87,6 @@ def best_restart(evals: DataFrame, keys=("model",)) -> DataFrame:
 
 # ---- coordinate ascent --------------------------------------------------------------
 
-def ideal_dcg(frame: DataFrame, keys: list[str], k: int = CUTOFF) -> DataFrame:
-    """Per list ideal DCG@k (constant during training: computed once)."""
-    w = Window.partitionBy(*keys, "query_id").orderBy(F.col("relevance").desc(), F.col("doc_id"))
-    r = frame.withColumn("__rk", F.row_number().over(w)).where(F.col("__rk") <= k)
-    return r.groupBy(*keys, "query_id").agg(
-        F.sum((F.pow(F.lit(2.0), F.col("relevance")) - 1) / F.log2(F.col("__rk") + 1)).alias("idcg"))
-
-
 def query_lists(zwide: DataFrame, keys: list[str], n_features: int, k: int = CUTOFF) -> DataFrame:
     """One row per judged list: (…keys, query_id, docs ARRAY<STRUCT<doc_id, rel, z>>, idcg).
     A list holds the judged documents of one query — bounded by construction
@@ -110,98 +101,134 @@ def query_lists(zwide: DataFrame, keys: list[str], n_features: int, k: int = CUT
     return lists.withColumn("idcg", F.aggregate(gains, F.lit(0.0), lambda a, x: a + x))
 
 
-def ndcg_from_scores(docs, scores, idcg, k: int = CUTOFF):
-    """NDCG@k of a packed list given one score per document (same order)."""
-    scored = F.zip_with(docs, scores, lambda d, sc: F.struct((-F.round(sc, 9)).alias("neg"),
-                                                            d["doc_id"].alias("doc_id"), d["rel"].alias("rel")))
-    top = F.slice(F.array_sort(scored), 1, k)
-    dcg = F.aggregate(F.transform(top, lambda d, i: (F.pow(F.lit(2.0), d["rel"]) - 1) / F.log2(i + 2)),
-                      F.lit(0.0), lambda a, x: a + x)
-    return F.when(idcg > 0, dcg / idcg).otherwise(F.lit(0.0))
-
-
-def coordinate_ascent(zwide: DataFrame, keys: list[str], n_features: int, restarts: int = 16,
-                      sweeps: int = 3, reg: float = 0.1, k: int = CUTOFF, seed: int = SEED,
-                      tolerance: float = 0.001, steps: int = 6) -> DataFrame:
+#: stretches of the line shorter than this are rounding noise
+MIN_STRETCH = 1e-9
+
+
+def _gain(rank, k: int):
+    """Discount of a rank; nothing below the cutoff."""
+    return F.when(rank <= k, 1 / F.log2(rank + 1)).otherwise(F.lit(0.0))
+
+
+def line_events(lists: DataFrame, state: DataFrame, pos: int, k: int = CUTOFF) -> DataFrame:
+    """(mk, restart, delta, dv): the steps of the sum of the lists' NDCG@k as
+    coordinate number ``pos`` of each model moves by delta from where it is; the
+    value far left stands at minus infinity. Rows, not pairs, leave a list: of a
+    document with a gain, only meetings that change its part of the value."""
+    f = F.col("order")[pos]
+    met = lists.join(state.where("live").select("mk", "restart", "w", f.alias("f")), "mk")
+    line = F.transform("docs", lambda d: F.struct(
+        F.round(_dot(F.col("w"), d["z"]), 9).alias("b"), F.round(F.get(d["z"], F.col("f")), 9).alias("z"),
+        d["rel"].alias("rel"), d["doc_id"].alias("doc_id")))
+    rows = met.where("idcg > 0").select("mk", "restart", "idcg", line.alias("lines"))
+    rows = rows.select("*", F.explode(F.filter("lines", lambda d: d["rel"] > 0)).alias("own"))
+    own = F.col("own")
+    before = F.size(F.filter("lines", lambda j: (j["z"] < own["z"]) | ((j["z"] == own["z"]) & (
+        (j["b"] > own["b"]) | ((j["b"] == own["b"]) & (j["doc_id"] < own["doc_id"]))))))
+    meetings = F.array_sort(F.transform(F.filter("lines", lambda j: j["z"] != own["z"]), lambda j: F.struct(
+        ((own["b"] - j["b"]) / (j["z"] - own["z"])).alias("at"),
+        F.when(j["z"] > own["z"], 1).otherwise(-1).alias("by"))))
+    rows = rows.select("mk", "restart", ((F.pow(F.lit(2.0), own["rel"]) - 1) / F.col("idcg")).alias("g"),
+                       (before + 1).alias("first"), meetings.alias("meetings"))
+    # the rank after each meeting, by a running sum
+    ranks = F.aggregate("meetings", F.array("first"), lambda r, m: F.concat(r, F.array(F.element_at(r, -1) + m["by"])))
+    rows = rows.select("mk", "restart", "g", "meetings", ranks.alias("ranks"))
+    steps = F.filter(F.transform("meetings", lambda m, i: F.struct(
+        m["at"].alias("delta"),
+        (F.col("g") * (_gain(F.get("ranks", i + 1), k) - _gain(F.get("ranks", i), k))).alias("dv"))), lambda e: e["dv"] != 0)
+    start = F.array(F.struct(F.lit(float("-inf")).alias("delta"), (F.col("g") * _gain(F.get("ranks", F.lit(0)), k)).alias("dv")))
+    return rows.select("mk", "restart", F.inline(F.concat(start, steps)))
+
+
+def stretches(events: DataFrame) -> DataFrame:
+    """(mk, restart, delta, value): a place in every stretch between two events,
+    as near to 0 as its inner four fifths allow, and the value there. Events are
+    swept in groups of like size of delta, whose sums are then added up, so one
+    model's events are spread over many tasks."""
+    size = F.least(F.greatest(F.round(F.asinh(F.col("delta") * 1000) * 3), F.lit(-64.0)), F.lit(64.0))
+    group = F.when(F.col("delta") == float("-inf"), F.lit(-64)).otherwise(size.cast("int"))
+    summed = events.withColumn("group", group).groupBy("mk", "restart", "group", "delta").agg(F.sum("dv").alias("dv"))
+    inner = Window.partitionBy("mk", "restart", "group").orderBy("delta")
+    swept = summed.select("mk", "restart", "group", "delta", F.sum("dv").over(inner.rowsBetween(Window.unboundedPreceding, 0)).alias("v"),
+                          F.lead("delta").over(inner).alias("after"))
+    groups = Window.partitionBy("mk", "restart").orderBy("group")
+    sums = (summed.groupBy("mk", "restart", "group").agg(F.sum("dv").alias("dv"), F.min("delta").alias("least"))
+            .select("mk", "restart", "group", F.lead("least").over(groups).alias("next"),
+                    F.coalesce(F.sum("dv").over(groups.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("base")))
+    both = swept.join(sums, ["mk", "restart", "group"]).select(
+        "mk", "restart", (F.col("v") + F.col("base")).alias("value"), F.col("delta").alias("a"), F.coalesce("after", "next").alias("b"))
+    both = both.where(F.col("b").isNull() | (F.col("b") - F.col("a") > MIN_STRETCH))
+    far = lambda c: 1e-3 * F.greatest(F.lit(1.0), F.abs(c))  # noqa: E731  what an open end leaves beside its event
+    open_left, margin = F.col("a") == float("-inf"), F.least((F.col("b") - F.col("a")) * 0.1, F.lit(1e6))
+    low = F.when(open_left, F.lit(float("-inf"))).otherwise(F.col("a") + F.when(F.col("b").isNull(), far(F.col("a"))).otherwise(margin))
+    high = F.when(F.col("b").isNull(), F.lit(float("inf"))).otherwise(F.col("b") - F.when(open_left, far(F.col("b"))).otherwise(margin))
+    return both.select("mk", "restart", F.least(F.greatest(F.lit(0.0), low), high).alias("delta"), "value")
+
+
+def _moved(state: DataFrame, found: DataFrame, pos: int, reg: float) -> DataFrame:
+    """The state after each model's best stretch of coordinate ``pos``: mean
+    NDCG less ``reg`` times the distance from the start, on weights whose
+    absolute values sum to 1."""
+    live = state.where("live").select("mk", "restart", "lists", "w", "start", F.col("order")[pos].alias("f"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    scalars = live.select(
+        "mk", "restart", "lists", F.get("w", F.col("f")).alias("wf"), F.get("start", F.col("f")).alias("sf"),
+        total(F.transform("w", F.abs)).alias("l1"), _dot(F.col("w"), F.col("w")).alias("ww"),
+        _dot(F.col("w"), F.col("start")).alias("ws"), _dot(F.col("start"), F.col("start")).alias("ss"))
+    new = F.col("wf") + F.col("delta")
+    size = F.col("l1") - F.abs("wf") + F.abs(new)
+    apart = ((F.col("ww") - F.col("wf") * F.col("wf") + new * new) / (size * size)
+             - 2 * (F.col("ws") - F.col("wf") * F.col("sf") + new * F.col("sf")) / size + F.col("ss"))
+    tried = found.join(scalars, ["mk", "restart"]).where(size > 1e-12).select(
+        "mk", "restart", "delta", F.round(F.col("value") / F.col("lists") - reg * F.sqrt(F.greatest(apart, F.lit(0.0))), 10).alias("o"))
+    best = tried.groupBy("mk", "restart").agg(F.max(F.struct("o", -F.abs("delta"), "delta")).alias("best")).select(
+        "mk", "restart", F.col("best.o").alias("o"), F.col("best.delta").alias("delta"))
+    f = F.col("order")[pos]
+    changed = F.transform("w", lambda x, i: F.when(i == f, x + F.col("delta")).otherwise(x))
+    joined = state.join(best, ["mk", "restart"], "left").withColumn("__better", F.coalesce(F.col("o") > F.col("objective"), F.lit(False)))
+    joined = joined.withColumn("__w", F.when(F.col("__better"), changed).otherwise(F.col("w")))
+    sum_abs = total(F.transform("__w", F.abs))
+    return joined.select("mk", "restart", "lists", F.transform("__w", lambda x: x / sum_abs).alias("w"), "start", "order",
+                         F.when(F.col("__better"), F.col("o")).otherwise(F.col("objective")).alias("objective"), "before", "live")
+
+
+def start_state(lists: DataFrame, n_features: int, restarts: int, seed: int = SEED) -> DataFrame:
+    """A row per model and restart: weights, start weights, order of the
+    coordinates and objective. Restart 0 starts from equal weights in the order
+    of the features; the others' weights and orders are seeded hashes."""
+    models = lists.groupBy("mk").agg(F.count("*").alias("lists"))
+    rows = models.select("mk", "lists", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("restart"))
+    features = F.sequence(F.lit(0), F.lit(n_features - 1))
+    unit = lambda i, salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("mk"), F.col("restart"), i), F.lit(1 << 32)) / float(1 << 32)
+    drawn = F.transform(features, lambda i: unit(i, "w") * 2 - 1)
+    rows = rows.withColumn("drawn", F.when(F.col("restart") == 0, F.array_repeat(F.lit(1.0), n_features)).otherwise(drawn))
+    l1 = F.aggregate("drawn", F.lit(0.0), lambda s, x: s + F.abs(x))
+    order = F.transform(F.array_sort(F.transform(features, lambda i: F.struct(unit(i, "o").alias("u"), i.alias("i")))), lambda e: e["i"])
+    rows = rows.withColumn("w", F.transform("drawn", lambda x: x / l1))
+    return rows.select("mk", "restart", "lists", "w", F.col("w").alias("start"), F.when(F.col("restart") == 0, features).otherwise(order).alias("order"),
+                       F.lit(float("-inf")).alias("objective"), F.lit(float("-inf")).alias("before"), F.lit(True).alias("live"))
+
+
+def coordinate_ascent(zwide: DataFrame, keys: list[str], n_features: int, restarts: int = 16, reg: float = 0.1,
+                      k: int = CUTOFF, seed: int = SEED, tolerance: float = 0.001) -> DataFrame:
     """Train one linear model per key value and restart.
 
-    ``zwide``: (…keys, query_id, doc_id, relevance, s0…) already z-scored.
-    Candidates per coordinate: w_f + δ for δ ∈ ±0.001·4^j (j < ``steps``)
-    and w_f = 0; objective = NDCG@k − reg·‖w − w_start‖₂ on L1-normalised
-    weights. Each (sweep, coordinate) is one job: packed lists ⋈ the
-    broadcast candidate table (models × candidates, bounded) → row-local
-    NDCG → mean per (model, candidate) with map-side partial aggregation.
-    Returns (…keys, restart, idx, w, objective)."""
-    spark = zwide.sparkSession
+    ``zwide``: (…keys, query_id, doc_id, relevance, s0…) already z-scored. The
+    objective is the mean NDCG@k less ``reg`` times the distance from the start
+    weights. A sweep takes every coordinate in the model's order and moves it to
+    the best stretch of its line; a model is done when a sweep gains no more
+    than ``tolerance``, so there are at most ``1 / tolerance`` sweeps.
+    Lists without a relevant document count as 0. Returns (…keys, restart, idx,
+    w, objective)."""
     key_expr = F.concat_ws("|", *[F.col(c).cast("string") for c in keys])
     lists = query_lists(zwide, keys, n_features, k).withColumn("mk", key_expr)
     lists = lists.select("mk", *keys, "query_id", "docs", "idcg").checkpoint(eager=True)
-    key_rows = [tuple(r) for r in lists.select(*keys).distinct().collect()]  # bounded: model keys
-    models = [(kr, r) for kr in key_rows for r in range(restarts)]
-    start = [1.0 / n_features] * n_features
-    weights = {m: list(start) for m in models}
-    best_obj = {m: -1e18 for m in models}
-    rng = random.Random(seed)
-    orders = {m: rng.sample(range(n_features), n_features) if m[1] > 0 else list(range(n_features))
-              for m in models}
-    deltas = [s * 0.001 * (4 ** j) for j in range(steps) for s in (1, -1)]
-    name = {m: "|".join(str(v) for v in m[0]) for m in models}
-
-    for _sweep in range(sweeps):
-        improved = False
+    slim = lists.select("mk", "docs", "idcg")
+    state = start_state(lists, n_features, restarts, seed).checkpoint(eager=True)
+    while not state.where("live").isEmpty():
+        state = state.withColumn("before", F.col("objective"))
         for pos in range(n_features):
-            cand_rows, cand_w = [], {}
-            for m in models:
-                f = orders[m][pos]
-                w = weights[m]
-                for ci, cv in enumerate([w[f] + d for d in deltas] + [0.0, w[f]]):
-                    nw = list(w)
-                    nw[f] = cv
-                    l1 = sum(abs(x) for x in nw) or 1.0
-                    nw = [x / l1 for x in nw]
-                    pen = reg * math.sqrt(sum((a - b) ** 2 for a, b in zip(nw, start)))
-                    cand_rows.append((name[m], m[1], ci, nw, pen, float(cv - w[f])))
-                    cand_w[(name[m], m[1], ci)] = nw
-            # ranking is invariant to the positive L1 rescaling, so a candidate's
-            # scores are the model's base scores plus delta * z_f: one dot product
-            # per document and model, then one multiply-add per candidate
-            model_df = spark.createDataFrame(
-                [(name[m], m[1], weights[m], orders[m][pos]) for m in models],
-                "mk string, restart int, w array<double>, f int")
-            cand_df = spark.createDataFrame(
-                [(c[0], c[1], c[2], c[5], c[4]) for c in cand_rows],
-                "mk string, restart int, cand int, delta double, pen double")
-            frame = (lists.join(F.broadcast(model_df), "mk")
-                     .select("mk", "restart", "docs", "idcg",
-                             F.transform("docs", lambda d: F.aggregate(
-                                 F.zip_with(F.col("w"), d["z"], lambda a, b: a * b), F.lit(0.0),
-                                 lambda x, y: x + y)).alias("base"),
-                             F.transform("docs", lambda d: F.element_at(d["z"], F.col("f") + 1)).alias("zf"))
-                     .join(F.broadcast(cand_df), ["mk", "restart"]))
-            scores = F.zip_with("base", "zf", lambda b, zf: b + F.col("delta") * zf)
-            # one row per (model, candidate): bounded, so the arg-max runs on the collected rows
-            res = (frame.groupBy("mk", "restart", "cand", "pen")
-                   .agg(F.avg(ndcg_from_scores(F.col("docs"), scores, F.col("idcg"), k)).alias("ndcg"))
-                   .collect())
-            by_name = {}
-            for r in sorted(res, key=lambda r: r["cand"]):
-                obj = round(r["ndcg"] - r["pen"], 12)
-                cur = by_name.get((r["mk"], r["restart"]))
-                if cur is None or obj > cur[1]:
-                    by_name[(r["mk"], r["restart"])] = (r["cand"], obj)
-            for m in models:
-                hit = by_name.get((name[m], m[1]))
-                if hit is None:
-                    continue
-                cand, obj = hit
-                if obj > best_obj[m] + 1e-12:
-                    if obj > best_obj[m] + tolerance:
-                        improved = True
-                    weights[m], best_obj[m] = cand_w[(name[m], m[1], cand)], obj
-        if not improved:
-            break
-    rows = [(*kr, r, i, float(wv), float(best_obj[(kr, r)]))
-            for (kr, r) in models for i, wv in enumerate(weights[(kr, r)])]
-    key_types = dict(zwide.select(*keys).dtypes)
-    schema = ", ".join(f"{c} {key_types[c]}" for c in keys) + ", restart int, idx int, w double, objective double"
-    return spark.createDataFrame(rows, schema)
+            state = _moved(state, stretches(line_events(slim, state, pos, k)), pos, reg).checkpoint(eager=True)
+        state = state.withColumn("live", F.col("live") & (F.col("objective") > F.col("before") + tolerance))
+    names = lists.select("mk", *keys).distinct()
+    return (state.join(names, "mk").select(*keys, "restart", F.posexplode("w").alias("idx", "w"), "objective"))

@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ranklane.functions.text import is_valid_token, shorten_text, tokenize
+from ranklane.functions.text import shorten_text, term_bag, tokenize, valid_tokens
 from ranklane.operators.common import one_row
 
 FIELDS = ("title", "text")
 
+#: values whose spread is within this share of their size are one value
+SAME_VALUE = 1e-9
+
+
+def is_constant(least, most):
+    """Whether the least and the largest of some values differ by no more than
+    what sums in another order leave. Decides where a deviation is none: a
+    deviation of such values is rounding noise, and differs from run to run."""
+    return (most - least) <= F.lit(SAME_VALUE) * F.greatest(F.abs(least), F.abs(most))
+
 
 def field_token_arrays(docs: DataFrame, fields=FIELDS, limit: int | None = None) -> DataFrame:
     """(doc_id, field, tokens ARRAY) — one row per document field (P8 + P9),
@@ -23,30 +33,39 @@ def field_token_arrays(docs: DataFrame, fields=FIELDS, limit: int | None = None)
         "doc_id", F.col("ft.field").alias("field"), F.col("ft.tokens").alias("tokens"))
 
 
+def term_bags(field_tokens: DataFrame, valid: bool = False, stop_words: list[str] | None = None) -> DataFrame:
+    """(doc_id, field, n_tokens, bag): the term bag of each document field as
+    one array on its row. Counting is row-local, so no term is shuffled."""
+    tokens = valid_tokens("tokens", stop_words) if valid else F.col("tokens")
+    return field_tokens.select("doc_id", "field", F.size(tokens).alias("n_tokens"), term_bag(tokens).alias("bag"))
+
+
 def term_freq(field_tokens: DataFrame) -> DataFrame:
     """All-token bag per field (A4): (doc_id, field, term, tf)."""
-    return (field_tokens.select("doc_id", "field", F.explode("tokens").alias("term"))
-            .groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf")))
+    return term_bags(field_tokens).select("doc_id", "field", F.inline("bag"))
 
 
 def valid_term_freq(field_tokens: DataFrame, stop_words: list[str] | None = None) -> DataFrame:
     """Valid-token bag per field (A5): (doc_id, field, term, tf)."""
-    return (field_tokens.select("doc_id", "field", F.explode("tokens").alias("term"))
-            .where(is_valid_token(F.col("term"), stop_words))
-            .groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf")))
+    return term_bags(field_tokens, True, stop_words).select("doc_id", "field", F.inline("bag"))
 
 
-def collection_stats(field_tokens: DataFrame, bag: DataFrame | None = None):
+def collection_stats(field_tokens: DataFrame):
     """Collection statistics (A6) over every field as one document.
 
-    Returns ``(term_stats, coll)``: ``term_stats(term, df, cf)`` and a dict
-    ``{dn, cn, vocab, avgdlen}`` (one-row aggregates). ``dn`` counts fields,
-    empty ones included; ``cn`` counts all tokens.
+    Returns ``(term_stats, coll)``: ``term_stats(term, df, cf)``, written once
+    to the checkpoint folder, and a dict ``{dn, cn, vocab, avgdlen}``. ``dn``
+    counts fields, empty ones included; ``cn`` counts all tokens. One pass over
+    the texts and one shuffle of pre-aggregated terms: each field adds a row
+    without a term that carries its number of tokens, so the group without a
+    term holds ``dn`` and ``cn``.
     """
-    bag = term_freq(field_tokens) if bag is None else bag
-    term_stats = bag.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    coll = one_row(field_tokens.agg(F.count("*").alias("dn"), F.sum(F.size("tokens")).alias("cn")))
-    coll["cn"] = coll.get("cn") or 0
+    own = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.col("n_tokens").cast("long").alias("tf")))
+    rows = term_bags(field_tokens).select(F.inline(F.concat(own, "bag")))
+    counted = rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).checkpoint(eager=True)
+    term_stats = counted.where(F.col("term").isNotNull())
+    whole = counted.where(F.col("term").isNull()).first()
+    coll = {"dn": whole["df"] if whole else 0, "cn": whole["cf"] if whole else 0}
     coll["vocab"] = one_row(term_stats.agg(F.count("*").alias("vocab")))["vocab"]
     coll["avgdlen"] = coll["cn"] / coll["dn"] if coll["dn"] else 0.0
     return term_stats, coll
@@ -58,10 +77,11 @@ def sld_counts(docs_with_sld: DataFrame) -> DataFrame:
 
 
 def standard_scale(df: DataFrame, key: str, value_cols: list[str]) -> DataFrame:
-    """Population z-score per column; a zero deviation scales by 1.
+    """Population z-score per column; a constant column scales by 1.
     Statistics are one global aggregate joined back as a one-row table."""
     st = one_row(df.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(value_cols)],
-                        *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(value_cols)]))
+                        *[F.when(~is_constant(F.min(c), F.max(c)), F.stddev_pop(c)).alias(f"s_{i}")
+                          for i, c in enumerate(value_cols)]))
     cols = [F.col(key)]
     for i, c in enumerate(value_cols):
         s = st[f"s_{i}"]
@@ -72,9 +92,10 @@ def standard_scale(df: DataFrame, key: str, value_cols: list[str]) -> DataFrame:
 
 def zscore_per_query(long_features: DataFrame, keys=("query_id",)) -> DataFrame:
     """Per-list z-score (A22) on the long form (…keys, doc_id, idx, value):
-    sample deviation per (list, feature); zero or undefined deviation → 0."""
+    sample deviation per (list, feature); constant values or one alone → 0."""
     w = Window.partitionBy(*keys, "idx")
     mean = F.avg("value").over(w)
     sd = F.stddev_samp("value").over(w)
+    flat = is_constant(F.min("value").over(w), F.max("value").over(w))
     return long_features.withColumn(
-        "z", F.when(sd.isNull() | (sd == 0), F.lit(0.0)).otherwise((F.col("value") - mean) / sd))
+        "z", F.when(sd.isNull() | flat, F.lit(0.0)).otherwise((F.col("value") - mean) / sd))

@@ -68,8 +68,8 @@ FROM range({len(LTR)}) b(i)
 """)
 view("zlong", """
 SELECT meta_step, domain_id, step, query_id, doc_id, relevance, idx,
-       CASE WHEN sd IS NULL OR sd = 0 THEN 0.0 ELSE (value - mu) / sd END AS z
-FROM (SELECT *, avg(value) OVER w AS mu, stddev_samp(value) OVER w AS sd
+       CASE WHEN sd IS NULL OR high - low <= 1e-9 * greatest(abs(low), abs(high)) THEN 0.0 ELSE (value - mu) / sd END AS z
+FROM (SELECT *, avg(value) OVER w AS mu, stddev_samp(value) OVER w AS sd, min(value) OVER w AS low, max(value) OVER w AS high
       FROM (SELECT meta_step, domain_id, step, query_id, doc_id, relevance,
                    CAST(substr(col, 2) AS INTEGER) AS idx, value
             FROM (UNPIVOT (SELECT * FROM divided WHERE meta_step = 'test' AND step = 'test')
@@ -223,7 +223,8 @@ def query_mean_features(spark, sf_dir):
 
 
 QD_SCALE_SQL = "SELECT query_id, " + ", ".join(
-    f"(f{i} - avg(f{i}) OVER ()) / CASE WHEN coalesce(stddev_pop(f{i}) OVER (), 0) = 0 THEN 1.0 "
+    f"(f{i} - avg(f{i}) OVER ()) / CASE WHEN max(f{i}) OVER () - min(f{i}) OVER () <= "
+    f"1e-9 * greatest(abs(max(f{i}) OVER ()), abs(min(f{i}) OVER ())) THEN 1.0 "
     f"ELSE stddev_pop(f{i}) OVER () END AS f{i}" for i in QD_IDX) + " FROM qmean"
 
 
@@ -412,8 +413,8 @@ JOIN (SELECT query_id, sum(relevance / log2(r + 1)) AS idcg
     "FROM (SELECT model, restart, query_id, CASE", "FROM (SELECT model, restart, query_id, CASE"))
 view("vlong", """
 SELECT query_id, doc_id, relevance, idx,
-       CASE WHEN sd IS NULL OR sd = 0 THEN 0.0 ELSE (value - mu) / sd END AS z
-FROM (SELECT *, avg(value) OVER w AS mu, stddev_samp(value) OVER w AS sd
+       CASE WHEN sd IS NULL OR high - low <= 1e-9 * greatest(abs(low), abs(high)) THEN 0.0 ELSE (value - mu) / sd END AS z
+FROM (SELECT *, avg(value) OVER w AS mu, stddev_samp(value) OVER w AS sd, min(value) OVER w AS low, max(value) OVER w AS high
       FROM (SELECT query_id, doc_id, relevance, CAST(substr(col, 2) AS INTEGER) AS idx, value
             FROM (UNPIVOT (SELECT * FROM divided WHERE step = 'valid') ON """ + ", ".join(SCOLS) + """
                   INTO NAME col VALUE value))

@@ -55,7 +55,7 @@ JOIN jvpost v ON v.doc_id = p.doc_id AND v.term = qt.term
 def qd_matched_terms(spark, sf_dir):
     st = feature_stage(spark, sf_dir)
     pairs = judgement_table(spark, sf_dir).select("query_id", "doc_id").distinct()
-    m = fx.qd_matched_terms(pairs, st["query_terms"], st["postings"])
+    m = fx.qd_matched_terms(pairs, st["query_terms"], st["bags"])
     return finish(m.select("query_id", "doc_id", "field", "term", "qtf", "tf"))
 
 

@@ -56,6 +56,20 @@ def materialize(df: DataFrame, path: str, override: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_bucketed(df: DataFrame, path: str, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet dealt to buckets by ``keys`` and read it back as
+    a table that Spark knows to be so dealt: joins and groups on the keys run
+    without an exchange. ``buckets`` defaults to the shuffle partitions. Rows
+    are dealt before they are written, so a bucket is one file."""
+    import uuid
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"bucketed_{uuid.uuid4().hex}"
+    (df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path)
+     .format("parquet").saveAsTable(name))
+    return spark.table(name)
+
+
 # ---- JSON lines (S4, S5) ---------------------------------------------------------
 
 def write_jsonl(df: DataFrame, path: str) -> None:

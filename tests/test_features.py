@@ -161,8 +161,7 @@ def test_extra_qd_feature_plugin(spark):
     judg = spark.createDataFrame(JUDG, "query_id string, doc_id string, relevance int")
     st = fx.features_stage(judg, docs, queries, ["com", "org", "net"])
     extra = {"tf_sq": lambda coll: F.col("tf").cast("double") * F.col("tf")}
-    q = fx.qd_features(judg.select("query_id", "doc_id"), st.query_terms, st.postings, st.field_stats,
-                       st.term_stats, st.coll, extra=extra)
+    q = fx.qd_features(judg.select("query_id", "doc_id"), st.query_terms, st.bags, st.term_stats, st.coll, extra=extra)
     row = q.where("query_id = 'q1' AND doc_id = 'd1'").first()
     # d1 text: cats 2, dogs 2, birds 1 match q1; title: cats 1, dogs 1
     assert row["text_tf_sq"] == 2 ** 2 + 2 ** 2 + 1 ** 2

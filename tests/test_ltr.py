@@ -1,5 +1,6 @@
 """z-scores (F9) and coordinate ascent."""
 
+import math
 import random
 
 import pytest
@@ -30,7 +31,7 @@ def test_coordinate_ascent_finds_informative_feature(spark):
     df = spark.createDataFrame(rows, "domain_id int, query_id string, doc_id string, relevance int, "
                                      "s0 double, s1 double, s2 double")
     z = ltr.zscore_wide(df, ["domain_id"])
-    w = ltr.coordinate_ascent(z, ["domain_id"], 3, restarts=2, sweeps=2, steps=4)
+    w = ltr.coordinate_ascent(z, ["domain_id"], 3, restarts=2)
     for dom in range(2):
         ws = {r["idx"]: r["w"] for r in w.where((F.col("domain_id") == dom) & (F.col("restart") == 0)).collect()}
         assert abs(ws[0]) == max(abs(v) for v in ws.values())
@@ -45,3 +46,87 @@ def test_score_models_global_and_own(spark):
                                ("global", None, 1, 0.0)], "model string, domain_id int, idx int, w double")
     got = {r["model"]: r["score"] for r in ltr.score_wide(z, w).collect()}
     assert got == {"ideal": 2.5, "global": 2.0}
+
+
+def test_noise_in_a_constant_feature_is_no_deviation(spark):
+    """Sums of equal terms in another order differ in the last bits; such a
+    feature is constant, on the long form and the wide one."""
+    base = 5.05
+    rows = [(0, "q", f"d{i}", 1, base * (1 + (i % 3) * 2.2e-16), float(i)) for i in range(6)]
+    df = spark.createDataFrame(rows, "domain_id int, query_id string, doc_id string, relevance int, s0 double, s1 double")
+    wide = ltr.zscore_wide(df, ["domain_id"]).collect()
+    assert {r.s0 for r in wide} == {0.0} and len({r.s1 for r in wide}) == 6
+    long = zscore_per_query(ltr.to_long(df, ["domain_id"])).collect()
+    assert {r.z for r in long if r.idx == 0} == {0.0} and len({r.z for r in long if r.idx == 1}) == 6
+    from ranklane.operators.stats import standard_scale
+    scaled = standard_scale(df, "doc_id", ["s0", "s1"]).collect()
+    assert all(abs(r.s0) < 1e-12 for r in scaled) and max(r.s1 for r in scaled) > 1
+
+
+def _lists(spark, seed=3, queries=8, docs=7, ties=False):
+    rng = random.Random(seed)
+    value = (lambda: float(rng.randint(-2, 2))) if ties else (lambda: rng.gauss(0, 1))
+    rows = [(0, f"q{q}", f"d{d}", rng.choice([0, 0, 1, 2]), value(), value(), value()) for q in range(queries) for d in range(docs)]
+    df = spark.createDataFrame(rows, "domain_id int, query_id string, doc_id string, relevance int, s0 double, s1 double, s2 double")
+    return rows, ltr.query_lists(df, ["domain_id"], 3).withColumn("mk", F.lit("0"))
+
+
+def plain_ndcg(rows, w, k=10):
+    """Sum over lists of NDCG@k of the scores w·z."""
+    total = 0.0
+    for q in sorted({r[1] for r in rows}):
+        docs = [r for r in rows if r[1] == q]
+        gains = lambda order: sum((2 ** r[3] - 1) / math.log2(i + 2) for i, r in enumerate(order[:k]))
+        ideal = gains(sorted(docs, key=lambda r: -r[3]))
+        if ideal:
+            total += gains(sorted(docs, key=lambda r: (-round(sum(a * b for a, b in zip(w, r[4:])), 9), r[2]))) / ideal
+    return total
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_line_search_equals_brute_force_over_the_meetings(spark, ties):
+    rows, lists = _lists(spark, ties=ties)
+    w = [0.5, -0.3, 0.2]
+    state = spark.createDataFrame([("0", 0, w, [2, 0, 1], True)], "mk string, restart int, w array<double>, order array<int>, live boolean")
+    for pos, f in enumerate([2, 0, 1]):
+        found = [(r.delta, r.value) for r in ltr.stretches(ltr.line_events(lists, state, pos)).collect()]
+        for delta, value in found:
+            assert value == pytest.approx(plain_ndcg(rows, [x + delta * (i == f) for i, x in enumerate(w)]), abs=1e-9)
+        cuts = set()
+        for q in {r[1] for r in rows}:
+            docs = [r[4:] for r in rows if r[1] == q]
+            for a in docs:
+                for b in docs:
+                    if a[f] > b[f]:
+                        cuts.add(round((sum(x * y for x, y in zip(w, b)) - sum(x * y for x, y in zip(w, a))) / (a[f] - b[f]), 9))
+        cuts = sorted(cuts)
+        places = [cuts[0] - 1, *[(a + b) / 2 for a, b in zip(cuts, cuts[1:]) if b - a > 1e-6], cuts[-1] + 1]
+        best = max(plain_ndcg(rows, [x + p * (i == f) for i, x in enumerate(w)]) for p in places)
+        assert max(v for _, v in found) == pytest.approx(best, abs=1e-9)
+        # a stretch holds 0 or ends near it
+        here = min(found, key=lambda e: abs(e[0]))
+        assert here[1] == pytest.approx(plain_ndcg(rows, w), abs=1e-9) or ties
+
+
+def test_ascent_ends_where_no_coordinate_gains(spark):
+    rows, _ = _lists(spark, seed=9)
+    df = spark.createDataFrame(rows, "domain_id int, query_id string, doc_id string, relevance int, s0 double, s1 double, s2 double")
+    got = ltr.coordinate_ascent(df, ["domain_id"], 3, restarts=3, reg=0.0, tolerance=0.001).collect()
+    ends = {}
+    for r in got:
+        ends.setdefault(r.restart, [0, 0, 0, 0])[r.idx] = r.w
+        ends[r.restart][3] = r.objective
+    assert len(ends) == 3 and len({tuple(round(x, 6) for x in e[:3]) for e in ends.values()}) > 1
+    for *w, objective in ends.values():
+        assert sum(map(abs, w)) == pytest.approx(1) and objective == pytest.approx(plain_ndcg(rows, w) / 8, abs=1e-8)
+        for f in range(3):
+            for step in range(-200, 201):
+                moved = [x + step / 50 * (i == f) for i, x in enumerate(w)]
+                assert plain_ndcg(rows, moved) / 8 <= objective + 0.0011
+
+
+def test_starts_are_seeded(spark):
+    _, lists = _lists(spark)
+    a, b, c = ([(r.restart, r.w, r.order) for r in ltr.start_state(lists, 3, 4, seed).orderBy("restart").collect()] for seed in (1, 1, 2))
+    assert a == b and a[0] == c[0] and a[1:] != c[1:] and len({tuple(w) for _, w, _ in a}) == 4
+    assert all(sorted(o) == [0, 1, 2] for _, _, o in a)

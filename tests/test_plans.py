@@ -45,19 +45,36 @@ def test_scale_critical_plans(spark, key):
         assert bad not in p, (key, bad)
 
 
+def exchanges(p):
+    return [line for line in p.splitlines() if "Exchange" in line and "ReusedExchange" not in line]
+
+
 def test_bm25_cuts_to_k_before_the_shuffle_by_query(spark):
-    """The sums per (query, document) stay in the partitioning by document, and
-    the group limit stands below the only exchange by query."""
+    """Also where the optimiser may broadcast nothing: no exchange by term or of
+    (query, document) pairs, and the group limit stands below the only exchange
+    by query."""
     from ranklane.operators import retrieval
     from ranklane.sources.tables import web_collection
     c = web_collection(spark, SMOKE)
-    p = plan(retrieval.bm25_topk(c.docs, c.queries, 11))
-    assert "hashpartitioning(query_id" in p
-    for line in p.splitlines():
-        assert not ("Exchange hashpartitioning(query_id" in line and "doc_id" in line.split("ENSURE")[0])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(retrieval.bm25_topk(c.docs, c.queries, 11))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    shuffles = [x for x in exchanges(p) if "BroadcastExchange" not in x]
+    assert len(shuffles) == 1 and "hashpartitioning(query_id" in shuffles[0] and "doc_id" not in shuffles[0].split("ENSURE")[0]
+    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
     assert p.index("WindowGroupLimit") < p.index("Exchange hashpartitioning(query_id") < p.rindex("WindowGroupLimit")
 
 
+def test_term_counts_are_row_local(spark):
+    from ranklane.operators import stats
+    docs = spark.createDataFrame([("a", "x y", "b b a"), ("b", None, "")], "doc_id string, title string, text string")
+    p = plan(stats.term_freq(stats.field_token_arrays(docs)))
+    assert not exchanges(p) and "Aggregate" not in p
+
+
 def test_ranked_lists_are_cut_before_the_shuffle(spark):
     from ranklane.operators import metrics
     run = spark.range(100).selectExpr("cast(id % 3 as string) query_id", "cast(id as string) doc_id", "cast(id as double) score")
