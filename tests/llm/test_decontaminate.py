@@ -12,14 +12,14 @@ def toks(t):
     return re.findall(r"[^\W_]+", (t or "").lower())
 
 
-def plain(docs, items):
+def plain(docs, items, least=5):
     """Every diagonal of every pair, compared in full."""
     out = set()
     for i, t in docs:
         d = toks(t)
         for k, u in items:
             b = toks(u)
-            if len(b) < 5:
+            if len(b) < least:
                 continue
             w = min(len(b), 20)
             for off in range(-len(b), len(d)):
@@ -69,3 +69,31 @@ def test_odd_rows(spark, odd, empty):
     got = {r.doc_id: (r.n_items, r.item_ids) for r in dc.contaminated(odd, items).collect()}
     assert got == {0: (1, "1"), 8: (1, "1"), 4: (1, "4"), 5: (1, "4")}
     assert dc.contaminated(empty, items).count() == 0 and dc.contaminated(odd, items.limit(0)).count() == 0
+
+
+def test_a_very_long_item_and_both_joins(spark):
+    rng = random.Random(3)
+    long = rng.choices([f"v{i}" for i in range(5_000)], k=50_000)
+    docs = [(0, " ".join(rng.choices(WORDS, k=500))), (1, " ".join(long[:25])), (2, " ".join(long[-20:])), (3, " ".join(long[-15:])), (6, " ".join(long[-16:]))]
+    docs += [(4, " ".join(w if j % 6 else "x" for j, w in enumerate(long[30_000:30_300]))), (5, " ".join(long))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(long[100:130]))], "item_id long, text string")
+    want = {(1, 1, 20), (2, 1, 20), (4, 1, 17), (5, 1, 20), (5, 2, 20), (6, 1, 16)}
+    for limit in (10 ** 6, 0):
+        assert {(r.doc_id, r.item_id, r.matched) for r in dc.passages(d, b, broadcast_seeds=limit).collect()} == want
+
+
+def test_the_oracle_and_items_of_any_length(spark):
+    import duckdb
+    docs, items = planted(5)
+    items += [(20, "w1"), (21, "w7 w8"), (22, "zz yy xx ww")]
+    docs += [(90, "a w7 w8 b"), (91, "zz yy xx ww"), (92, "zz yy xx"), (93, "")]
+    want = plain(docs, items, 1)
+    assert {(90, 21), (91, 22)} <= want and (92, 22) not in want
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in dc.passages(d, b, min_item=1).collect()} == want
+    documents, benchmark = d.toPandas(), b.toPandas()  # noqa: F841 - read by name
+    rows = duckdb.sql(dc.ORACLE).fetchall()
+    got = [tuple(r) for r in dc.contaminated(d, b, min_item=1).select("doc_id", "n_items", "item_ids", "overlap").collect()]
+    assert sorted(rows) == sorted(got)
