@@ -51,3 +51,14 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> Data
     return docs.join(ids, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+
+
+#: bytes that a reading task goes through, about, once the cluster is full
+READ_TASK = 256 << 20
+
+
+def reading_tasks(spark: SparkSession, pieces: int, n_bytes: int) -> int:
+    """Tasks to deal ``pieces`` of files to. Rows that name pieces are tiny, so
+    a shuffle without a count would be merged into very few tasks."""
+    least = max(3 * spark.sparkContext.defaultParallelism, -(-n_bytes // READ_TASK))
+    return max(1, min(pieces, least))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranklane.llm.bpe import byte_symbols
-from ranklane.llm.common import id_and_text, null_ids, written
+from ranklane.llm.common import id_and_text, null_ids, reading_tasks, written
 from ranklane.llm.files import open_read, open_write
 from ranklane.session import scratch_path
 
@@ -196,7 +196,7 @@ class TokenFile:
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", frame: int = FRAME,
                  end_id: int = END_ID) -> DataFrame:
     """Encodes and writes every row; the manifest: (part, file, n_docs,
-    n_tokens, start), ``start`` being the ids in all files before."""
+    n_tokens, first_id, last_id, start), ``start`` being the ids in all files before."""
     folder = scratch_path(docs.sparkSession, "token-files")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,17 +214,19 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         words.forget()
         if out is not None:
             out.close()
-            yield pd.DataFrame({"part": [part], "file": [uri], "n_docs": [len(out.ids)], "n_tokens": [out.n_tokens]})
+            yield pd.DataFrame({"part": [part], "file": [uri], "n_docs": [len(out.ids)], "n_tokens": [out.n_tokens],
+                                "first_id": [out.ids[0]], "last_id": [out.ids[-1]]})
 
     made = written(id_and_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-                   .mapInPandas(run, "part int, file string, n_docs long, n_tokens long"), "token-manifest")
+                   .mapInPandas(run, "part int, file string, n_docs long, n_tokens long, first_id long, last_id long"), "token-manifest")
     # one row a file: a running sum over the list of files
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     return made.withColumn("start", F.coalesce(before, F.lit(0)))
 
 
 def read_tokens(manifest: DataFrame, wanted: list[int] | None = None) -> DataFrame:
-    """(doc_id, start, ids) of the wanted documents, or of all."""
+    """(doc_id, start, ids) of the wanted documents, or of all; files whose
+    ids do not reach a wanted one stay closed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -242,7 +244,12 @@ def read_tokens(manifest: DataFrame, wanted: list[int] | None = None) -> DataFra
     def _frame(held):
         return pd.DataFrame(held, columns=["doc_id", "start", "ids"])
 
-    files = manifest.select("file", "start").repartition("file")
+    files = manifest
+    if wanted is not None:
+        ids = F.lit(sorted(i for i in wanted if i is not None)).cast("array<bigint>")
+        files = files.where(F.exists(ids, lambda i: i.between(F.col("first_id"), F.col("last_id"))))
+    pieces, n_tokens = files.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    files = files.select("file", "start").repartition(reading_tasks(manifest.sparkSession, pieces, 4 * n_tokens))
     return null_ids(files.mapInPandas(run, "doc_id long, start long, ids binary"))
 
 

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranklane.llm.common import written
+from ranklane.llm.common import reading_tasks, written
 from ranklane.llm.files import open_read, open_write
 from ranklane.session import scratch_path
 
@@ -195,6 +195,7 @@ def read_archives(manifest: DataFrame, size: int = RANGE) -> DataFrame:
 
     ranges = (manifest.where("n_bytes > 0")
               .select("file", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bytes") - 1, F.lit(size).cast("long"))).alias("start"))
-              .select("file", "start", F.least(F.col("start") + size, "n_bytes").alias("end"))
-              .repartition("file", "start"))
+              .select("file", "start", F.least(F.col("start") + size, "n_bytes").alias("end")))
+    pieces, n_bytes = ranges.agg(F.count("*"), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))).first()
+    ranges = ranges.repartition(reading_tasks(manifest.sparkSession, pieces, n_bytes))
     return ranges.mapInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")

@@ -72,3 +72,17 @@ def test_odd_rows(odd, empty):
     assert len(rows) == odd.count() and [r.n_tokens for r in rows if r.doc_id in (1, 2)] == [1, 1]
     assert [r.start for r in rows if r.doc_id is None] == [0]
     assert ts.read_tokens(ts.write_tokens(empty, PATH)).count() == 0
+
+
+def test_files_are_read_by_many_tasks_and_pruned(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " * 20) for i in range(400)], "doc_id long, text string").repartition(4)
+    manifest = ts.write_tokens(docs, PATH)
+    files = manifest.collect()
+    read = ts.read_tokens(manifest)
+    assert read.select("doc_id").distinct().count() == 400
+    assert all(f.first_id <= f.last_id for f in files) and sum(f.n_docs for f in files) == 400
+    if len(files) > 1:
+        assert read.rdd.getNumPartitions() == len(files)
+    one = ts.read_tokens(manifest, [files[0].last_id])
+    assert [r.doc_id for r in one.collect()] == [files[0].last_id] and one.rdd.getNumPartitions() == 1
+    assert ts.read_tokens(manifest, []).count() == 0

@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ranklane.llm import warc
 
@@ -57,3 +58,12 @@ def test_odd_rows(odd, empty):
     kw = {"id_col": "doc_id", "url_col": "source", "html_col": "text"}
     assert warc.read_archives(warc.write_archives(odd, **kw)).count() == odd.count()
     assert warc.read_archives(warc.write_archives(empty, **kw)).count() == 0
+
+
+def test_ranges_are_read_by_many_tasks(spark):
+    rows = [(i, "u", f"{i} " + "".join(random.Random(i).choices("abcdefgh", k=2000))) for i in range(60)]
+    manifest = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2))
+    size = manifest.agg(F.sum("n_bytes")).first()[0] // 20
+    read = warc.read_archives(manifest, size)
+    assert read.select(F.spark_partition_id()).distinct().count() >= 10
+    assert sorted(r.page_id for r in read.collect()) == list(range(60))
