@@ -124,27 +124,36 @@ def encode_word(symbols: list[int], merges: Merges) -> list[int]:
 
 def encode_words(words: list[list[int]], merges: Merges) -> list[list[int]]:
     """Ids of many words, whose trees of equal width merge side by side."""
-    out: list[list[int]] = [[]] * len(words)
-    classes: dict[int, list[int]] = {}
-    for n, w in enumerate(words):
-        if len(w) < 2:
-            out[n] = list(w)
-        elif len(w) - 1 > WIDE:
-            out[n] = encode_word(w, merges)
-        else:
-            classes.setdefault(1 << (len(w) - 2).bit_length(), []).append(n)
-    for width, members in classes.items():
+    sizes = np.array([len(w) for w in words], np.int64)
+    flat = np.fromiter(chain.from_iterable(words), np.int64, int(sizes.sum()))
+    return [np.frombuffer(ids, "<u4").tolist() for ids in encode_flat(flat, sizes, merges)]
+
+
+def encode_flat(flat: np.ndarray, sizes: np.ndarray, merges: Merges) -> list[bytes]:
+    """Little-endian unsigned 32-bit ids of each word; the words' symbols lie
+    one after the other in ``flat``."""
+    starts = np.cumsum(sizes) - sizes
+    out = [b""] * len(sizes)
+    for n in np.flatnonzero(sizes == 1).tolist():
+        out[n] = int(flat[starts[n]]).to_bytes(4, "little")
+    for n in np.flatnonzero(sizes > WIDE + 1).tolist():
+        out[n] = np.array(encode_word(flat[starts[n]:starts[n] + sizes[n]].tolist(), merges), "<u4").tobytes()
+    width = 1
+    while width <= WIDE:
+        members = np.flatnonzero((sizes - 1 <= width) & (sizes - 1 > width // 2))
         for at in range(0, len(members), 1 << 15):
             part = members[at:at + (1 << 15)]
-            for n, ids in zip(part, _side_by_side([words[n] for n in part], width, merges)):
+            for n, ids in zip(part.tolist(), _side_by_side(flat, starts[part], sizes[part], width, merges)):
                 out[n] = ids
+        width *= 2
     return out
 
 
-def _side_by_side(words: list[list[int]], width: int, merges: Merges) -> list[list[int]]:
-    rows, sizes = len(words), np.array([len(w) for w in words])
+def _side_by_side(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int, merges: Merges) -> list[bytes]:
+    rows = len(sizes)
     ids = np.full((rows, width + 2), -1, np.int64)
-    ids[np.arange(width + 2) < sizes[:, None]] = np.fromiter(chain.from_iterable(words), np.int64, int(sizes.sum()))
+    inside = np.arange(width + 2) < sizes[:, None]
+    ids[inside] = flat[(starts[:, None] + np.arange(width + 2))[inside]]
     after = np.tile(np.arange(1, width + 3), (rows, 1))
     before = np.tile(np.arange(-1, width + 1), (rows, 1))
     tree = np.full((rows, 2 * width), _NONE)
@@ -195,9 +204,30 @@ def _side_by_side(words: list[list[int]], width: int, merges: Merges) -> list[li
         if has.any():
             put(live[has], left[has], pair(live[has], left[has]))
     kept = ids >= 0
-    flat, counts = ids[kept].tolist(), kept.sum(axis=1).tolist()
-    ends = np.cumsum(counts).tolist()
-    return [flat[e - c:e] for e, c in zip(ends, counts)]
+    packed = ids[kept].astype("<u4").tobytes()
+    ends = [0, *(4 * np.cumsum(kept.sum(axis=1))).tolist()]
+    return [packed[a:b] for a, b in zip(ends, ends[1:])]
+
+
+class Recent(dict):
+    """A cache of bounded size: when it is full, what was not asked for since it
+    was last full is forgotten."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def __missing__(self, key):
+        value = self[key] = self.older[key]
+        return value
+
+    def knows(self, key) -> bool:
+        return key in self or key in self.older
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
 
 
 class WordCodec:
@@ -217,14 +247,13 @@ class WordCodec:
         self.pieces = regex.compile(split["pattern"]["Regex"])
         self.path, self._library = path, None
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.special = added
+        self.special = {t: i.to_bytes(4, "little") for t, i in added.items()}
         self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")")
         self.token = {i: t for t, i in {**vocab, **added}.items()}
         symbols = byte_symbols()
-        self.inner = [vocab[s] for s in symbols]
-        self.last = [vocab[s + self.suffix] for s in symbols]
-        self.cache = cache
-        self.forget()
+        self.inner = np.array([vocab[s] for s in symbols], np.int64)
+        self.last = np.array([vocab[s + self.suffix] for s in symbols], np.int64)
+        self.chunk, self.word = Recent(cache), Recent(cache)  # their ids as bytes
 
     @property
     def library(self) -> Tokenizer:
@@ -233,11 +262,6 @@ class WordCodec:
             self._library = Tokenizer.from_file(self.path)
         return self._library
 
-    def forget(self) -> None:
-        self.chunk: dict[str, list[int]] = {}
-        self.text: dict[str, str] = {}
-        self.word: dict[str, list[int]] = {}
-
     def _normal(self, chunk: str) -> str:
         # the library folds case character by character; Python differs for
         # a capital sigma at a word's end
@@ -245,55 +269,50 @@ class WordCodec:
             return chunk.lower()
         return self.library.normalizer.normalize_str(chunk)
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, chunks: list[str]) -> None:
         """Encodes chunks not seen before."""
-        new = {}
+        whole, cut = {}, {}
         for c in chunks:
+            if c in self.special:
+                self.chunk[c] = self.special[c]
+                continue
             low = self._normal(c)
-            new[c] = [low] if low.isalpha() else self.pieces.findall(low)
-        words = list({w for found in new.values() for w in found if w not in self.word})
-        symbols = []
-        for w in words:
-            b = w.encode("utf-8", "surrogatepass")
-            symbols.append([*map(self.inner.__getitem__, b[:-1]), self.last[b[-1]]])
-        self.word.update(zip(words, encode_words(symbols, self.merges)))
-        token, word = self.token.__getitem__, self.word
-        for c, found in new.items():
-            ids = self.chunk[c] = word[found[0]] if len(found) == 1 else list(chain.from_iterable(map(word.__getitem__, found)))
-            if ids:
-                self.text[c] = " ".join(map(token, ids))
+            if low.isalpha():
+                whole[c] = low
+            else:
+                cut[c] = self.pieces.findall(low)
+        word = self.word
+        words = [w for w in {*whole.values(), *chain.from_iterable(cut.values())} if not word.knows(w)]
+        if words:
+            data = [w.encode("utf-8", "surrogatepass") for w in words]
+            sizes = np.fromiter(map(len, data), np.int64, len(data))
+            raw, ends = np.frombuffer(b"".join(data), np.uint8), np.cumsum(sizes) - 1
+            flat = self.inner[raw]
+            flat[ends] = self.last[raw[ends]]
+            word.update(zip(words, encode_flat(flat, sizes, self.merges)))
+        self.chunk.update((c, word[low]) for c, low in whole.items())
+        self.chunk.update((c, b"".join(map(word.__getitem__, found))) for c, found in cut.items())
 
     def _chunks(self, text: str) -> list[str]:
         # str.split() also cuts at 0x1C-0x1F, which are no white space to the library
         return text.split() if not _SEPARATORS.search(text) else [c for c in _SPACE.split(text) if c]
 
+    def _parts(self, text: str) -> list[str]:
+        """Chunks and special tokens of a text."""
+        if not any(s in text for s in self.special):
+            return self._chunks(text)
+        return list(chain.from_iterable([x] if x in self.special else self._chunks(x) for x in self.cut.split(text)))
+
     def encode_batch(self, texts: list[str | None]) -> list[tuple[np.ndarray, str]]:
         """(ids, decoded text) of every text."""
-        if len(self.chunk) > self.cache:
-            self.forget()
-        parts = []
-        for t in texts:
-            t = t or ""
-            if any(s in t for s in self.special):
-                parts.append([(x, None) if x in self.special else (None, self._chunks(x)) for x in self.cut.split(t)])
-            else:
-                parts.append([(None, self._chunks(t))])
-        seen = self.chunk
-        new = {c for p in parts for _, chunks in p if chunks for c in chunks if c not in seen}
+        self.chunk.turn()
+        self.word.turn()
+        parts = [self._parts(t or "") for t in texts]
+        new = [c for c in set(chain.from_iterable(parts)) if not self.chunk.knows(c)]
         if new:
             self.learn(new)
-        out = []
-        for p in parts:
-            ids, text = [], []
-            for special, chunks in p:
-                if special is not None:
-                    ids.append(self.special[special])
-                    text.append(special)
-                else:
-                    ids.extend(chain.from_iterable(map(seen.__getitem__, chunks)))
-                    text.extend(x for x in map(self.text.get, chunks) if x is not None)
-            out.append((np.array(ids, "<u4"), " ".join(text)))
-        return out
+        ids = [np.frombuffer(b"".join(map(self.chunk.__getitem__, p)), "<u4") for p in parts]
+        return [(i, self.decode(i.tolist())) for i in ids]
 
     def decode(self, ids) -> str:
         """As the library's decode(ids, skip_special_tokens=False): without a
