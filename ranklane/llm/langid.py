@@ -94,37 +94,43 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                   .agg(by_lang.alias("n"), F.sum("n").alias("total"))
                   .where("total > 2"))
 
-    def kept(table: DataFrame, key: str, most: int) -> list:
+    def kept(table: DataFrame, key: str, most: int) -> tuple[list[str], np.ndarray]:
         """Each language's most frequent rows, up to its share of ``most``;
-        what shares leave is filled by total."""
-        table, found = table.persist(), {}
+        what shares leave is filled by total: the keys and their counts by
+        language. The tasks find the rows, which reach the driver as Arrow
+        batches: no list of a task and no object a row is held there."""
+        listed = F.array(*[F.coalesce(F.col("n")[x], F.lit(0)) for x in langs])
+        table, found, counts = table.persist(), {}, np.zeros((most, len(langs)), np.int64)
+
+        def take(rows: DataFrame) -> None:
+            for batch in rows.select(key, listed.alias("counts")).toArrow().to_batches():
+                own = batch.column("counts").flatten().to_numpy().reshape(-1, len(langs))
+                for k, row in zip(batch.column(key).to_pylist(), own):
+                    if len(found) < most and k not in found:
+                        counts[len(found)] = row
+                        found[k] = len(found)
+
         for x in langs:
             n = F.col("n")[x]
-            for r in table.where(n.isNotNull()).orderBy(n.desc(), key).limit(most // len(langs)).collect():
-                found[r[key]] = r
-        for r in table.orderBy(F.desc("total"), key).limit(most).collect():
-            if len(found) == most:
-                break
-            found.setdefault(r[key], r)
+            take(table.where(n.isNotNull()).orderBy(n.desc(), key).limit(most // len(langs)))
+        take(table.orderBy(F.desc("total"), key).limit(most))
         table.unpersist()
-        return list(found.values())
-
-    def scored(table: list, key: str, order_of) -> dict[str, np.ndarray]:
-        totals: dict[tuple, float] = {}
-        for r in table:
-            for lang, n in r["n"].items():
-                totals[order_of(r[key]), lang] = totals.get((order_of(r[key]), lang), 0) + n
-        sizes = {}
-        for r in table:
-            sizes[order_of(r[key])] = sizes.get(order_of(r[key]), 0) + 1
-        return {r[key]: np.array([
-            math.log((r["n"].get(x, 0) + SMOOTH) / (totals.get((o, x), 0) + SMOOTH * sizes[o])) for x in langs])
-            for r in table for o in [order_of(r[key])]}
-
-    words, grams = scored(kept(word_table, "word", max_words), "word", lambda w: 0), scored(kept(gram_table, "gram", max_grams), "gram", len)
+        return list(found), counts[:len(found)]
+
+    def scored(counts: np.ndarray, orders: list[int]) -> np.ndarray:
+        """Log frequency of every row among those of its order."""
+        out, orders = np.zeros(counts.shape), np.array(orders, int)
+        for o in np.unique(orders):
+            own = orders == o
+            rate = (counts[own] + SMOOTH) / (counts[own].sum(axis=0) + SMOOTH * own.sum())
+            out[own] = np.reshape([math.log(r) for r in rate.ravel().tolist()], rate.shape)
+        return out
+
+    words, word_counts = kept(word_table, "word", max_words)
+    grams, gram_counts = kept(gram_table, "gram", max_grams)
     model.words = {w: i for i, w in enumerate(words)}
     model.grams = {g: len(words) + i for i, g in enumerate(grams)}
-    model.table = np.array([*words.values(), *grams.values()]).reshape(-1, len(langs))
+    model.table = np.concatenate([scored(word_counts, [0] * len(words)), scored(gram_counts, [len(g) for g in grams])])
     return model
 
 
