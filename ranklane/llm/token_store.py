@@ -40,7 +40,8 @@ from ranklane.session import scratch_path
 
 #: bytes of ids in a frame, about (a longer document is one frame)
 FRAME = 1 << 20
-CACHE = 200_000
+#: strings, and pieces, in each of a codec's two ages of memory
+CACHE = 300_000
 END_ID = 0
 _SKIP_DOCS, _SKIP_SEEK, _SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
@@ -49,6 +50,8 @@ _SKIP_DOCS, _SKIP_SEEK, _SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _ODD_BLANK = re.compile(r" \s|\s ")
 _BLANK = re.compile(r"(?<=\S)(?= \S)")
+# a word after a blank, and marks behind it: the piece pattern's own two pieces
+_WORD = re.compile("( [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to Python alone
 
 
@@ -57,7 +60,8 @@ class ByteCodec:
     byte-level vocabulary joins two pieces, and no piece reaches across a blank
     between two words. So the strings from one such blank to the next, and the
     pieces in them, are given to the library's model once and remembered, as
-    the bytes of their ids."""
+    the bytes of their ids. A full memory becomes the old one, and what is
+    asked for again comes back from there: it forgets what was not used lately."""
 
     def __init__(self, path: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -74,6 +78,8 @@ class ByteCodec:
     def forget(self) -> None:
         self.seen: dict[str, bytes] = {}
         self.piece: dict[str, bytes] = {}
+        self.old_seen: dict[str, bytes] = {}
+        self.old_piece: dict[str, bytes] = {}
 
     def _strings(self, text: str) -> list[str] | None:
         """The strings of a text; None for one that the library takes whole."""
@@ -87,23 +93,38 @@ class ByteCodec:
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, strings: list[str]) -> None:
-        piece, tokenize = self.piece, self.model.tokenize
+    def _ids(self, p: str) -> bytes:
+        """The ids of a piece that is not in the memory, from the old one or the model."""
+        if (ids := self.old_piece.get(p)) is None:
+            symbols = p.encode("utf-8").decode("latin-1").translate(self.symbols)
+            found = [t.id for t in self.model.tokenize(symbols)]
+            ids = struct.pack(f"<{len(found)}I", *found)
+        self.piece[p] = ids
+        return ids
+
+    def _learn(self, strings: set[str]) -> None:
+        seen, old, known, ids_of, word, pieces = (self.seen, self.old_seen.get, self.piece.get, self._ids,
+                                                  _WORD.fullmatch, _PIECE.findall)
         for s in strings:
-            found = _PIECE.findall(s)
-            for p in found:
-                if p not in piece:
-                    symbols = p.encode("utf-8").decode("latin-1").translate(self.symbols)
-                    piece[p] = np.array([t.id for t in tokenize(symbols)], "<u4").tobytes()
-            self.seen[s] = b"".join(map(piece.__getitem__, found))
+            if (ids := old(s)) is None:
+                if (m := word(s)) is not None:
+                    p, marks = m.groups()
+                    ids = known(p) or ids_of(p)
+                    if marks:
+                        ids += known(marks) or ids_of(marks)
+                else:
+                    ids = b"".join([known(p) or ids_of(p) for p in pieces(s)])
+            seen[s] = ids
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
         if len(self.seen) > self.cache:
-            self.forget()
+            self.seen, self.old_seen = {}, self.seen
+        if len(self.piece) > self.cache:
+            self.piece, self.old_piece = {}, self.piece
         strings, seen = [self._strings(t or "") for t in texts], self.seen
-        self._learn(list({s for found in strings if found for s in found if s not in seen}))
-        return [self._whole(t) if found is None else b"".join(map(seen.__getitem__, found))
+        self._learn({s for found in strings if found for s in found if s not in seen})
+        return [self._whole(t) if found is None else b"".join([seen[s] for s in found])
                 for t, found in zip(texts, strings)]
 
 
@@ -201,8 +222,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, out, uri, part = codec(path), None, None, TaskContext.get().partitionId()
-        end = struct.pack("<I", end_id)
-        words.forget()  # a worker keeps the vocabulary between tasks, not the pieces
+        end = struct.pack("<I", end_id)  # a worker keeps the vocabulary and what it remembers between tasks
         for rows in batches:
             ids = rows["doc_id"].tolist()
             for at in range(0, len(rows), 512):
@@ -211,7 +231,6 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                         uri = f"{folder}/part-{part:07d}-{uuid.uuid4().hex}.tokens.zst"
                         out = TokenFileWriter(uri, frame)
                     out.add(doc_id, found + end)
-        words.forget()
         if out is not None:
             out.close()
             yield pd.DataFrame({"part": [part], "file": [uri], "n_docs": [len(out.ids)], "n_tokens": [out.n_tokens],

@@ -86,3 +86,21 @@ def test_files_are_read_by_many_tasks_and_pruned(spark):
     one = ts.read_tokens(manifest, [files[0].last_id])
     assert [r.doc_id for r in one.collect()] == [files[0].last_id] and one.rdd.getNumPartitions() == 1
     assert ts.read_tokens(manifest, []).count() == 0
+
+
+def test_a_full_memory_keeps_what_is_asked_for_again():
+    """Strings used in every batch are never learned anew, and ids are the
+    library's whatever was forgotten."""
+    class Counted:
+        def tokenize(self, symbols):
+            learned.append(symbols)
+            return model.tokenize(symbols)
+
+    words, learned = ts.ByteCodec(PATH, cache=50), []
+    model, words.model = words.model, Counted()
+    texts = [" common often, " + " ".join(f"w{chr(97 + i)}{chr(97 + j)}." for j in range(26)) for i in range(12)]
+    texts += ["Élan über naïve\u00d7x ß\u01c0ŋ! I'll: it's",  " a\u0300b \u0250c, d", "trail...  two\n\n three?! ", " common often,"]
+    for t in texts:
+        assert words.encode_batch([t]) == [words._whole(t)]
+    assert learned.count("Ġcommon") == learned.count("Ġoften") == 1
+    assert max(len(words.seen), len(words.old_seen)) < 50 + 30
