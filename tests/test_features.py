@@ -166,3 +166,18 @@ def test_extra_qd_feature_plugin(spark):
     # d1 text: cats 2, dogs 2, birds 1 match q1; title: cats 1, dogs 1
     assert row["text_tf_sq"] == 2 ** 2 + 2 ** 2 + 1 ** 2
     assert row["title_tf_sq"] == 2
+
+
+def test_terms_are_found_by_halving_in_bags_of_any_size_and_order(spark):
+    """Every term of a bag is found, none besides it, also in unsorted bags; the
+    bag is not filtered for each term."""
+    rows = [("d%d" % n, "text", n, [(f"t{(7 * i) % 97:02d}", i + 1) for i in range(n)]) for n in (0, 1, 2, 3, 8, 9, 33)]
+    bags = spark.createDataFrame(rows, "doc_id string, field string, n_tokens int, bag array<struct<term:string,tf:bigint>>")
+    terms = [f"t{i:02d}" for i in range(97)] + ["", "zz"]
+    qterms = spark.createDataFrame([("q", t, 1) for t in terms], "query_id string, term string, qtf int")
+    pairs = spark.createDataFrame([("q", r[0]) for r in rows], "query_id string, doc_id string")
+    found = fx.qd_matched_terms(pairs, qterms, bags)
+    got = sorted((r.doc_id, r.term, r.tf, r.nuniq) for r in found.collect())
+    assert got == sorted((d, t, tf, n) for d, _, n, bag in rows for t, tf in bag)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and "array_contains" not in plan

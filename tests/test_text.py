@@ -78,3 +78,18 @@ def test_registrable_domain_wildcards_and_exceptions(spark):
     for host, want in (("a.b.c.ck", "b.c.ck"), ("c.ck", "c.ck"), ("x.www.ck", "www.ck"), ("www.ck", "www.ck"),
                        ("a.b.com", "b.com"), ("a.b.zz", "b.zz")):
         assert one(spark, tx.registrable_domain("x", rules), host) == want
+
+
+def test_first_tokens_are_those_of_the_whole_text(spark):
+    from ranklane.sources.tables import web_queries
+    texts = ["One two, three! four five six seven eight nine ten eleven twelve", "", None, "  a\u00a0b  \u0130x", "x" * 300,
+             ". , ; : ! ? - ( ) [ ] {", "\U0001d4b3 \U0001f600\n\tnine  ten"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, text string")
+    for n in (0, 1, 3, 11):
+        for r in df.select(tx.tokenize("text").alias("all"), tx.first_tokens("text", n).alias("some")).collect():
+            assert r["some"] == r["all"][:n]
+    # the query text does not match the pattern over the whole article
+    plan = web_queries(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "{0,11}" in plan
+
+
