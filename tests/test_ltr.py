@@ -130,3 +130,28 @@ def test_starts_are_seeded(spark):
     a, b, c = ([(r.restart, r.w, r.order) for r in ltr.start_state(lists, 3, 4, seed).orderBy("restart").collect()] for seed in (1, 1, 2))
     assert a == b and a[0] == c[0] and a[1:] != c[1:] and len({tuple(w) for _, w, _ in a}) == 4
     assert all(sorted(o) == [0, 1, 2] for _, _, o in a)
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_best_places_are_the_best_of_all_stretches(spark, ties):
+    """The sweep in tasks finds what the table of all stretches has, wherever
+    its groups are dealt (a coordinate was a checkpointed job of many stages)."""
+    import numpy as np
+    _, lists = _lists(spark, seed=5, ties=ties)
+    w, start = np.array([[0.5, -0.3, 0.2], [-0.1, 0.6, 0.3]]), np.array([[1 / 3] * 3, [0.2, 0.4, -0.4]])
+    state = spark.createDataFrame([("0", i, x.tolist(), [2, 0, 1], True) for i, x in enumerate(w)],
+                                  "mk string, restart int, w array<double>, order array<int>, live boolean")
+    for pos, f in enumerate([2, 0, 1]):
+        every = ltr.stretches(ltr.line_events(lists, state, pos)).collect()
+        for reg in (0.0, 0.1):
+            line = ltr.Line(w, start, np.array([f, f]), np.array([8.0, 8.0]), reg)
+            want = {}
+            for r in every:
+                o = round(float(line.objective(np.array([r.restart]), np.array([r.delta]), np.array([r.value]))[0]), 10)
+                want[r.restart] = max(want.get(r.restart, (-9.0, 0, 0)), (o, -abs(round(r.delta, 9)), round(r.delta, 9)))
+            for n_parts in (1, 3):
+                m, o, delta = ltr.best_places(ltr.packed_lists(lists, 2), n_parts, {"0": np.array([0, 1])}, w, np.array([f, f]), line, 10)
+                got = {int(i): (x, -abs(round(d, 9)), round(d, 9)) for i, x, d in zip(m, o.tolist(), delta.tolist())}
+                assert got.keys() == want.keys()
+                for i in got:
+                    assert got[i] == pytest.approx(want[i], abs=2e-9)
