@@ -85,3 +85,10 @@ def test_wide_scores_are_dot_products(spark):
                               "model string, domain_id int, idx int, w double")
     got = {(r.model, r.doc_id): r.score for r in ltr.score_wide(z, w).collect()}
     assert got == {("own", "a"): 2.5, ("all", "a"): 4.0, ("all", "b"): -2.0}
+
+
+def test_fits_side_by_side_are_as_many_as_the_driver_holds():
+    gb = 1 << 30
+    assert topics.fits_at_once(8, 2_000, 5, gb) == 8
+    assert topics.fits_at_once(8, 400_000, 5, gb) == 1
+    assert topics.fits_at_once(8, 1 << 30, 13, gb) == 1 and topics.fits_at_once(8, 0, 0, gb) == 8
