@@ -79,3 +79,22 @@ def test_domain_vectors_by_name(spark):
     assert dm.domain_vectors("positive_rows", d).first()["s0"] == 2.0
     with pytest.raises(ValueError):
         dm.domain_vectors("other", d)
+
+
+def test_kmeans_fits_run_side_by_side(spark, monkeypatch):
+    """Two fits must be under way at once to pass the barrier; the cheapest one stays."""
+    import threading
+
+    from pyspark.ml import clustering
+    met = threading.Barrier(2, timeout=60)
+
+    fit = clustering.KMeans._fit
+
+    def meeting(self, dataset):
+        met.wait()
+        return fit(self, dataset)
+
+    monkeypatch.setattr(clustering.KMeans, "_fit", meeting)
+    v = spark.createDataFrame([(f"q{i}", float(i // 4)) for i in range(8)], "query_id string, f0 double")
+    got = {r.query_id: r.domain_id for r in dm.kmeans_domains(v, 2, seeds=range(2)).collect()}
+    assert len({got[f"q{i}"] for i in range(4)}) == 1 and len(set(got.values())) == 2
