@@ -155,3 +155,30 @@ def test_best_places_are_the_best_of_all_stretches(spark, ties):
                 assert got.keys() == want.keys()
                 for i in got:
                     assert got[i] == pytest.approx(want[i], abs=2e-9)
+
+
+def test_wide_zscores_follow_the_long_form_without_windows(spark):
+    """Nulls, a constant column, a list of one, a null query: as the window form; no sort of wide rows per feature."""
+    rows = [(0, "q", "a", 1, 1.0, None), (0, "q", "b", 0, 3.0, 2.0), (0, "q", "c", 0, 8.0, 5.0), (0, None, "a", 0, 1.0, 4.0),
+            (0, None, "a", 0, 2.0, 4.0), (1, "q", "a", 1, 7.0, None), (1, "r", "x", 0, float("inf"), 1.0), (1, "r", "y", 0, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "domain_id int, query_id string, doc_id string, relevance int, s0 double, s1 double")
+    wide = ltr.zscore_wide(df, ["domain_id"])
+    assert wide.schema.names == ["domain_id", "query_id", "doc_id", "relevance", "s0", "s1"]
+    assert "Window" not in wide._jdf.queryExecution().executedPlan().toString()
+    got = [(r[:4], (r.s0, r.s1)[i], i) for r in wide.collect() for i in range(2)]
+    want = [((r.domain_id, r.query_id, r.doc_id, r.relevance), r.z, r.idx)
+            for r in zscore_per_query(ltr.to_long(df, ["domain_id"]), keys=("domain_id", "query_id")).collect()]
+    order = lambda x: (str(x[0]), x[2], x[1] is None, x[1] or 0.0)
+    got, want = sorted(got, key=order), sorted(want, key=order)
+    assert [(g[0], g[2]) for g in got] == [(w[0], w[2]) for w in want]
+    assert all(g[1] == w[1] or g[1] == pytest.approx(w[1]) for g, w in zip(got, want))
+
+
+def test_scores_of_all_models_make_the_rows_once(spark):
+    z = spark.createDataFrame([(0, "q", "a", 1, 1.0), (None, "r", "b", 0, 2.0)],
+                              "domain_id int, query_id string, doc_id string, relevance int, s0 double")
+    w = spark.createDataFrame([("ideal", 0, 0, 0.5), ("global", None, 0, 2.0)], "model string, domain_id int, idx int, w double")
+    scored = ltr.score_wide(ltr.zscore_wide(z, ["domain_id"]), w)
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = {(r.model, r.domain_id, r.doc_id) for r in ltr.score_wide(z, w).collect()}
+    assert got == {("ideal", 0, "a"), ("global", 0, "a"), ("global", None, "b")}
