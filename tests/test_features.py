@@ -181,3 +181,39 @@ def test_terms_are_found_by_halving_in_bags_of_any_size_and_order(spark):
     assert got == sorted((d, t, tf, n) for d, _, n, bag in rows for t, tf in bag)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "array_intersect" not in plan and "array_contains" not in plan
+
+
+def test_words_are_the_valid_tokens_and_bags_are_made_once(spark):
+    from ranklane.functions import text as tx
+    from ranklane.operators import stats
+    texts = ["The cat, and the hat! ÄRGER über 3.5 x² 漢字 naïve—co-op", "", None, "a {b} |c| ~d _e 'f'", "\U00010400\U00010428 Σας"]
+    df = spark.createDataFrame([(str(i), t, t) for i, t in enumerate(texts)], "doc_id string, title string, text string")
+    for r in df.select(tx.words("text").alias("a"), tx.valid_tokens(tx.tokenize("text")).alias("b")).collect():
+        assert r.a == r.b
+    fields = stats.field_token_arrays(df)
+    kept = stats.valid_bags(stats.term_bags(fields))
+    want = stats.term_bags(fields, True)
+    assert kept.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(str, kept.collect())) == sorted(map(str, want.collect()))
+
+
+def test_feature_stage_counts_terms_of_a_document_once(spark):
+    """The valid bags come from the kept bags of all tokens, not from the tokens again."""
+    from ranklane.operators import features as fx
+    docs = spark.createDataFrame([("d", "A cat", "the cat sat", "http://a.b/c")], "doc_id string, title string, text string, url string")
+    queries = spark.createDataFrame([("q", "cat")], "query_id string, text string")
+    judged = spark.createDataFrame([("q", "d", 1)], "query_id string, doc_id string, relevance int")
+    stage = fx.features_stage(judged, docs, queries, ["b"], checkpoint=False)
+    assert stage.all_bags.storageLevel.useMemory
+    assert {(r.field, r.n_tokens) for r in stage.bags.collect()} == {("title", 1), ("text", 2)}
+
+
+def test_a_probe_comes_after_all_tasks_parsed(spark):
+    from ranklane.plans.stages import declared_languages, judgements_stage
+    from ranklane.sources.tables import Collection, web_qrels, web_queries
+    docs = spark.range(8, numPartitions=8).selectExpr(
+        "string(id) doc_id", "'t' title", "'one two three four five six seven' text", "'u' url", "'en' lang").persist()
+    stage = judgements_stage(Collection(docs, web_queries(docs), web_qrels(docs)), *declared_languages(docs))
+    assert stage.kept_queries.count() == 8
+    assert stage.parsed == 8
+    docs.unpersist()
