@@ -52,9 +52,23 @@ _ODD_BLANK = re.compile(r" \s|\s ")
 _BLANK = re.compile(r"(?<=\S)(?= \S)")
 # a word after a blank, and marks behind it: the piece pattern's own two pieces
 _WORD = re.compile("( [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)")
+_MARKS = ".,;:!?"
+_PACKED = [struct.Struct(f"<{n}I").pack for n in range(32)]
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to Python alone
 
 
+class _Seen(dict):
+    """Ids by string; a string that is not there is learnt as it is asked for."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, s: str) -> bytes:
+        ids = self[s] = self.learn(s)
+        return ids
+
+
 class ByteCodec:
     """Encodes with the tokenizers library, piece by piece: no token of a
     byte-level vocabulary joins two pieces, and no piece reaches across a blank
@@ -76,19 +90,19 @@ class ByteCodec:
         self.forget()
 
     def forget(self) -> None:
-        self.seen: dict[str, bytes] = {}
+        self.seen, self.old_seen = _Seen(self._learn), {}
         self.piece: dict[str, bytes] = {}
-        self.old_seen: dict[str, bytes] = {}
         self.old_piece: dict[str, bytes] = {}
 
     def _strings(self, text: str) -> list[str] | None:
-        """The strings of a text; None for one that the library takes whole."""
+        """The strings of a text, without the blank that all but the first
+        begin with; None for a text that the library takes whole."""
         if any(s in text for s in self.special) or _SEPARATORS.search(text):
             return None
         if _ODD_BLANK.search(text):
-            return _BLANK.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + r for r in rest]]
+            first, *rest = _BLANK.split(text)
+            return [first, *[r[1:] for r in rest]]
+        return text.split(" ")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -96,36 +110,50 @@ class ByteCodec:
     def _ids(self, p: str) -> bytes:
         """The ids of a piece that is not in the memory, from the old one or the model."""
         if (ids := self.old_piece.get(p)) is None:
-            symbols = p.encode("utf-8").decode("latin-1").translate(self.symbols)
+            if p.isascii() and p[1:].isalpha():  # a letter stands for itself
+                symbols = self.symbols[ord(p[0])] + p[1:]
+            else:
+                symbols = p.encode("utf-8").decode("latin-1").translate(self.symbols)
             found = [t.id for t in self.model.tokenize(symbols)]
-            ids = struct.pack(f"<{len(found)}I", *found)
+            ids = _PACKED[len(found)](*found) if len(found) < len(_PACKED) else struct.pack(f"<{len(found)}I", *found)
         self.piece[p] = ids
         return ids
 
-    def _learn(self, strings: set[str]) -> None:
-        seen, old, known, ids_of, word, pieces = (self.seen, self.old_seen.get, self.piece.get, self._ids,
-                                                  _WORD.fullmatch, _PIECE.findall)
-        for s in strings:
-            if (ids := old(s)) is None:
-                if (m := word(s)) is not None:
-                    p, marks = m.groups()
-                    ids = known(p) or ids_of(p)
-                    if marks:
-                        ids += known(marks) or ids_of(marks)
-                else:
-                    ids = b"".join([known(p) or ids_of(p) for p in pieces(s)])
-            seen[s] = ids
+    def _pieces(self, s: str) -> bytes:
+        known, ids_of = self.piece.get, self._ids
+        return b"".join([known(p) or ids_of(p) for p in _PIECE.findall(s)])
+
+    def _learn(self, r: str) -> bytes:
+        """The ids of a blank and ``r``, a string that is not in the memory."""
+        if (ids := self.old_seen.get(r)) is not None:
+            return ids
+        word = r.rstrip(_MARKS)
+        if word.isascii() and word.isalpha():
+            p, marks = " " + word, r[len(word):]
+        elif (m := _WORD.fullmatch(" " + r)) is not None:
+            p, marks = m.groups()
+        else:
+            return self._pieces(" " + r)
+        known = self.piece.get
+        ids = known(p) or self._ids(p)
+        return ids + (known(marks) or self._ids(marks)) if marks else ids
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
         if len(self.seen) > self.cache:
-            self.seen, self.old_seen = {}, self.seen
+            self.seen, self.old_seen = _Seen(self._learn), self.seen
         if len(self.piece) > self.cache:
             self.piece, self.old_piece = {}, self.piece
-        strings, seen = [self._strings(t or "") for t in texts], self.seen
-        self._learn({s for found in strings if found for s in found if s not in seen})
-        return [self._whole(t) if found is None else b"".join([seen[s] for s in found])
-                for t, found in zip(texts, strings)]
+        ids_of, out = self.seen.__getitem__, []
+        for t in texts:
+            found = self._strings(t or "")
+            if found is None:
+                out.append(self._whole(t))
+            else:
+                found[0] = self._pieces(found[0])
+                found[1:] = map(ids_of, found[1:])
+                out.append(b"".join(found))
+        return out
 
 
 _codecs: dict[str, ByteCodec] = {}

@@ -104,3 +104,16 @@ def test_a_full_memory_keeps_what_is_asked_for_again():
         assert words.encode_batch([t]) == [words._whole(t)]
     assert learned.count("Ġcommon") == learned.count("Ġoften") == 1
     assert max(len(words.seen), len(words.old_seen)) < 50 + 30
+
+
+def test_plain_words_meet_no_pattern(monkeypatch):
+    """A new string of letters and marks is encoded without a pattern, and learnt once."""
+    class Refused:
+        def fullmatch(self, s):
+            raise AssertionError(s)
+
+    words = ts.ByteCodec(PATH)
+    monkeypatch.setattr(ts, "_WORD", Refused())
+    text = "one two, three two, one?! " + " ".join(["again."] * 5)
+    assert words.encode_batch([text, text]) == [words._whole(text)] * 2
+    assert sorted(words.seen) == ["again.", "one?!", "three", "two,"]
