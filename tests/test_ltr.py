@@ -182,3 +182,34 @@ def test_scores_of_all_models_make_the_rows_once(spark):
     assert scored._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     got = {(r.model, r.domain_id, r.doc_id) for r in ltr.score_wide(z, w).collect()}
     assert got == {("ideal", 0, "a"), ("global", 0, "a"), ("global", None, "b")}
+
+
+def test_only_bins_that_can_hold_the_best_place_are_swept():
+    """The best place of a line of many events is between two bins or in one that
+    is kept; few bins are."""
+    import numpy as np
+    rng = np.random.default_rng(4)
+    models, n, features, fine = 3, 40_000, 5, 16
+    w = rng.normal(size=(models, features))
+    w /= np.abs(w).sum(1, keepdims=True)
+    line = ltr.Line(w, np.roll(w, 1, 0), np.array([0, 2, 4]), np.full(models, n / 10.0), 0.1)
+    m, delta = rng.integers(0, models, n), rng.standard_cauchy(n)
+    dv = rng.normal(size=n) * 0.05 - np.tanh(delta - 0.3) * 0.1
+    bins = 128 * fine + 1
+    cell = m * bins + ltr._bin_of(delta, fine)
+    least, last = np.full(models * bins, np.inf), np.full(models * bins, -np.inf)
+    np.minimum.at(least, cell, delta)
+    np.maximum.at(last, cell, delta)
+    sums = np.bincount(cell, dv, models * bins), np.bincount(cell, np.maximum(dv, 0), models * bins), least, last
+    base, between, matter = ltr._cells_that_matter(*(x.reshape(models, bins) for x in sums), line)
+    assert np.bincount(cell, minlength=models * bins)[matter.ravel()].sum() < n / 5
+    for i in range(models):
+        order = np.argsort(delta[m == i])
+        d, v = delta[m == i][order], np.cumsum(dv[m == i][order])
+        at = ltr._place(d, np.append(d[1:], np.inf))
+        wide = np.append(np.diff(d) > ltr.MIN_STRETCH, True)
+        o = np.where(wide, line.objective(np.full(len(d), i), at, v), -np.inf)
+        best = int(np.argmax(o))
+        own = between[0] == i
+        found = line.objective(between[0][own], between[1][own], between[2][own]).max()
+        assert matter[i, ltr._bin_of(d[best:best + 1], fine)[0]] or found >= o[best] - 1e-9
